@@ -14,7 +14,8 @@ import unicodedata
 
 #: Where each library's own white space lies below U+0250.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
-_LIMIT = 0x250
+#: Lower-casing may lead up to here.
+_LIMIT = 0x2B0
 #: Characters from U+0250, those that lower-case to such, and controls that Python takes for white space.
 UNSAFE = re.compile("[^\x00-\x1b\x20-įı-ȹȻ-Ƚȿ-ɏ]")
 #: A run of pre-tokens: an optional space and what is not space, or white space as the byte-level pattern cuts it.
