@@ -13,6 +13,8 @@ MODULES = {
     "op5_token_counts": "token_counts",
     "op6_packing": "packing",
     "op7_token_files": "token_files",
+    "op10_embedding_dups": "embedding_dups",
+    "op4_toxicity": "toxicity",
 }
 
 
