@@ -15,6 +15,7 @@ MODULES = {
     "op7_token_files": "token_files",
     "op10_embedding_dups": "embedding_dups",
     "op4_toxicity": "toxicity",
+    "op1_quality_rules": "quality_rules",
 }
 
 
