@@ -16,6 +16,7 @@ MODULES = {
     "op10_embedding_dups": "embedding_dups",
     "op4_toxicity": "toxicity",
     "op1_quality_rules": "quality_rules",
+    "op3_quality_classifier": "perplexity",
 }
 
 
