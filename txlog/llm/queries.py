@@ -17,6 +17,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op1_quality_rules": "quality_rules",
     "op3_quality_classifier": "perplexity",
+    "op9_substring_dedup": "substring_dedup",
 }
 
 
