@@ -18,6 +18,7 @@ MODULES = {
     "op1_quality_rules": "quality_rules",
     "op3_quality_classifier": "perplexity",
     "op9_substring_dedup": "substring_dedup",
+    "op8_jaccard_join": "jaccard_join",
 }
 
 
