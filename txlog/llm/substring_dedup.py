@@ -194,6 +194,7 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Documents, all columns, with the repeated words cut out of their texts (words then joined by one
     space) and n_chars, where there is one, counted again; texts without repeats stay as they are."""
+    names = docs.columns
 
     def run(batches):
         for b in batches:
@@ -203,7 +204,7 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
                     w = words(text)
                     text = " ".join([x for x, g in zip(w, _covered(len(w), spans, window)) if not g])
                 texts.append(text)
-            yield {c: b[c] for c in docs.columns} | {"text": texts}
+            yield {c: b[c] for c in names} | {"text": texts}
 
     rows = docs.withColumn("rid", _key(docs)).join(repeated_spans(docs, window, k), "rid", "left").drop("rid")
     out = map_rows(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
