@@ -1,0 +1 @@
+"""Spark jobs over transaction logs of a web cache."""
