@@ -33,4 +33,5 @@ class Slot:
 
     @property
     def column(self) -> str:
-        return f"slot:{self.tag}:{self.header.lower()}" if self.header else f"slot:{self.tag}"
+        # A backtick would have to be doubled wherever the column is named; a backslash is no header character.
+        return f"slot:{self.tag}:{self.header.lower()}".replace("`", "\\") if self.header else f"slot:{self.tag}"
