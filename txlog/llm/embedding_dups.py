@@ -124,5 +124,16 @@ def _multiply(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([counts.astype(object), forest.astype(object)])
 
 
+ORACLE_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+ok as (select * from v where label is not null and len(x) > 0 and len(list_filter(x, lambda y: y is null or not isfinite(y))) = 0 and list_inner_product(x, x) > 0),
+p as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98),
+r as (select vec_id as v, vec_id as c from v union select p.b, r.c from r join p on p.a = r.v),
+m as (select v, min(c) as c from r group by v), n as (select a, count(*) as n from p group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, m.c as component_id, v.vec_id = m.c as kept from v join m on m.v = v.vec_id left join n on n.a = v.vec_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

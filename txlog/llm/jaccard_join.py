@@ -353,6 +353,18 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+ORACLE_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+u as (select doc_id, len(s) as n, unnest(s) as t from s),
+p as (select a.doc_id as a, b.doc_id as b from u a join u b on a.t = b.t and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r as (select doc_id as v, doc_id as c from d union select e.b, r.c from r join e on e.a = r.v)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, m.c as component_id from s join (select v, min(c) as c from r group by v) m on m.v = s.doc_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 

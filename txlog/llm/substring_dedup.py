@@ -211,5 +211,18 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+s as (select doc_id, i, array_to_string(w[i:i + 34], ' ') as s from i),
+twice as (select s from s group by s having count(*) > 1),
+hit as (select doc_id, i from s semi join twice using (s)),
+gone as (select distinct doc_id, i + o as pos from hit, (select unnest(range(0, 35)) as o)),
+x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+k as (select x.doc_id, count(gone.pos) as n_removed, string_agg(word, ' ' order by x.pos) filter (where gone.pos is null) as kept from x left join gone using (doc_id, pos) group by x.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(documents(spark, sf_dir))
