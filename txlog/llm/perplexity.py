@@ -13,7 +13,7 @@ operations.
 3. The probabilities are split by hash into shards of a bounded size (``SHARD_ROWS``).  A scan
    per shard adds up each document's log-probabilities in that shard; the sums give perplexities.
 4. Per language, a document is rejected where its perplexity exceeds ``MARGIN`` times the
-   ``QUANTILE`` of the trusted documents.
+   ``QUANTILE`` of the trusted documents, with more room for short texts.
 
 Nulls: a null text or one without words has no perplexity and is not kept; a null language is a
 language of its own; a null doc_id is never trusted.  Repeated rows each give a row; extra
@@ -168,7 +168,7 @@ class Lookup:
     def __init__(self, grams: np.ndarray, values: np.ndarray):
         self.levels = []
         while len(grams):
-            bits = max(4, int(np.ceil(np.log2(3 * len(grams)))))
+            bits = max(4, int(np.ceil(np.log2(1.5 * len(grams)))))
             at = self._slot(grams, bits)
             keys, vals = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
             keys[at], vals[at] = grams, values
@@ -195,15 +195,46 @@ class Lookup:
         return out
 
 
+class Table:
+    """A shard as packed arrays; a worker builds the lookups when it first needs them."""
+
+    def __init__(self, parts: dict[str | None, tuple[np.ndarray, np.ndarray]]):
+        self.parts = parts
+        self._lookups: dict | None = None
+
+    def __getstate__(self):
+        return {"parts": self.parts, "_lookups": None}
+
+    @property
+    def lookups(self) -> dict[str | None, Lookup]:
+        if self._lookups is None:
+            self._lookups = {lang: Lookup(g, v) for lang, (g, v) in self.parts.items()}
+            self.parts = {}
+        return self._lookups
+
+
+def _collect(shard: DataFrame) -> Table:
+    """SHARD_ROWS grams or a little more, 12 bytes each."""
+
+    def pack(batches):
+        for b in batches:
+            langs = {*b["lang"]}
+            which = {lang: [i for i, g in enumerate(b["lang"]) if g == lang] for lang in langs}
+            g, p = np.array(b["gram"], np.int64), np.log(np.array(b["p"]))
+            yield {"lang": [*which], "grams": [g[i].tobytes() for i in which.values()], "logs": [p[i].astype("<f4").tobytes() for i in which.values()]}
+
+    parts: dict[str | None, list[tuple[bytes, bytes]]] = {}
+    for r in map_rows(shard.select("lang", "gram", "p"), pack, "lang string, grams binary, logs binary").collect():
+        parts.setdefault(r["lang"], []).append((bytes(r["grams"]), bytes(r["logs"])))
+    joined = {k: (b"".join(g for g, _ in v), b"".join(x for _, x in v)) for k, v in parts.items()}
+    return Table({k: (np.frombuffer(g, "<i8"), np.frombuffer(v, "<f4")) for k, (g, v) in joined.items()})
+
+
 def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
-    table = shard.toPandas()  # SHARD_ROWS rows or a little more
-    lookup = {}
-    for lang, t in table.groupby("lang", dropna=False):
-        lookup[lang if isinstance(lang, str) else None] = Lookup(t["gram"].to_numpy(), np.log(t["p"].to_numpy()).astype(np.float32))
-    shipped = docs.sparkSession.sparkContext.broadcast(lookup)
+    shipped = docs.sparkSession.sparkContext.broadcast(_collect(shard))
 
     def run(batches):
-        tables = shipped.value
+        tables = shipped.value.lookups
         for b in batches:
             sums, sizes = [], []
             for part in _slices(b["text"]):
@@ -261,7 +292,9 @@ def judge(scored: DataFrame) -> DataFrame:
     ranked = cells.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(every))
     cut = ranked.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy("lang").agg((F.exp((F.min("cell") + 1) / 1000) * MARGIN).alias("threshold"))
     out = _join(scored, cut, ["lang"], "left")
-    return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    # A mean over n characters strays by some 2 / sqrt(n): short texts get that much more room.
+    room = F.exp(2 / F.sqrt(F.greatest("n_chars", F.lit(1))))
+    return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold") * room, F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
