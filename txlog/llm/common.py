@@ -1,16 +1,18 @@
-"""Helpers shared by the operators: shared-folder tables, words, rows to Arrow."""
+"""Helpers shared by the operators: words, rows to Arrow, tables in the shared folder."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txlog.scratch import materialize, scratch_path
+
+__all__ = ["documents", "drop_ids", "map_rows", "materialize", "scratch_path", "words"]
+
 #: Python's str.split() also splits at these characters; a word keeps them.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,27 +25,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share; one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="txlog-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/txlog/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow with batches as dicts of Python lists (or numpy arrays on the way out)."""
     fields = _arrow_schema(df.sparkSession, schema)
