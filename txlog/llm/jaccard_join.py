@@ -8,14 +8,15 @@ when the intersection is at least ``percent`` % of the union.  The join is exact
    p = n - ceil(percent/100 n) + 1 of their shingles in any order common to all.  The order
    used here puts shingles that many texts hold last, so that a passage which thousands share
    doesn't tie them together; a text whose list has too few others gives back its rarest ones.
-2. Texts that share such a shingle fall into blocks (connected components in Spark).  Blocks
-   are small, or else hold many true copies.
-3. Per block the whole sets are compared by signature trees: a node holds the OR of its texts'
-   token bitmaps, its size range, and the most tokens that one of its texts loses to collisions.
-   Two trees are traversed together, and node pairs are pruned whose sizes exclude a link, whose
-   largest possible overlap (common bits plus lost tokens) is too small, or whose texts are
-   linked already.  What remains is counted exactly.  Large blocks are cut into tiles by size
-   and hash; pairs of tiles are tasks of their own.
+2. Texts that share such a shingle fall into blocks (connected components in Spark).
+3. Per block, texts are compared by signature trees: a node holds the OR of its texts' token
+   bitmaps, its size range, the most tokens that one of its texts loses to collisions, and the
+   most that lie beyond its list.  Two trees are traversed together, and node pairs are pruned
+   whose sizes exclude a link, whose largest possible overlap (common bits plus lost and
+   unlisted tokens) is too small, or whose texts are linked already.  What remains is counted.
+   Large blocks are cut into tiles by size and hash; pairs of tiles are tasks of their own.
+   This is done with the lists first, which leaves as blocks what may be linked at all, and
+   then with the whole sets.
 4. The trees return spanning forests, whose components are the answer.
 
 Nulls and texts without words have empty sets and link with nothing; rows without a doc_id
@@ -38,9 +39,12 @@ from txlog.llm.substring_dedup import Hashes
 from txlog.llm.vocab import Bounded
 
 WIDTH, PERCENT = 4, 85
-#: A shingle in more texts than this counts as frequent.
-FREQUENT = 8
-TILE_TOKENS = 1_000_000
+#: A shingle that more texts list than this counts as frequent.
+FREQUENT = 1
+TILE_TOKENS, TILE_TEXTS = 1_000_000, 2000
+#: Up to this many rows (of two or three integers) are broadcast to a join; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+_ALL = np.iinfo(np.int64).max
 _BIT_WORDS = 64  # of 64 bits each, in a node's bitmap
 _FANOUT = 8
 _SLICE = 100_000
@@ -121,18 +125,27 @@ def text_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n int, class long, head array<long>")
 
 
-def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): texts (class representatives) tied to the smallest text with which they share a prefix shingle."""
-    # One listing per class, under the name of the class' smallest id.
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def class_names(rows: DataFrame) -> DataFrame:
+    """(doc_id, rep): per class one text that lists, and the smallest id."""
     classes = rows.where("class is not null and doc_id is not null").groupBy("class")
     lister = F.min(F.when(F.col("head").isNotNull(), F.col("doc_id"))).alias("doc_id")
-    listers = classes.agg(lister, F.min("doc_id").alias("rep")).select("doc_id", "rep")
+    return materialize(classes.agg(lister, F.min("doc_id").alias("rep")).select("doc_id", "rep"), "classes")
+
+
+def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """(a, b): texts (class representatives) tied to the smallest text with which they share a prefix shingle."""
     listing = rows.where("head is not null").select("doc_id", "n", F.posexplode("head").alias("rank", "token"))
-    common = listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = listing.join(common, "token")
+    # Written first, so that a join by shuffle has exchanges of its own, whose hot partitions Spark can split.
+    common = materialize(listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    shared = listing.join(_small(common), "token")
     # What a text lists and others list too: at most its list.
     own = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
-    own = own.join(listers, "doc_id").select(F.col("rep").alias("doc_id"), "n", "shared")
+    own = own.join(names, "doc_id").select(F.col("rep").alias("doc_id"), "n", "shared")
     own = materialize(own, "shared")
 
     def give_back(batches):
@@ -165,7 +178,8 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
 
     prefix = materialize(map_rows(own, prefixes, "doc_id long, token long"), "prefixes")
     first = prefix.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return prefix.join(first.select("token", "a"), "token").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+    first = materialize(first.select("token", "a"), "first-texts")
+    return prefix.join(_small(first), "token").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -173,37 +187,42 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Levels of nodes over texts (sorted token arrays), leaves first."""
+    """Levels of nodes over texts (sorted token arrays, lists or whole sets), leaves first."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray):
         bits = np.zeros((len(sets), _BIT_WORDS), np.uint64)
         for i, s in enumerate(sets):
             at = (s.view(np.uint64) % np.uint64(64 * _BIT_WORDS)).astype(np.int64)
             np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        lost = self.n - _popcount(bits)
-        self.levels = [(bits, self.n, self.n, lost)]
+        listed_n = np.array([len(s) for s in sets], np.int64)
+        self.levels = [(bits, n, n, listed_n - _popcount(bits), n - listed_n)]
         while len(self.levels[-1][0]) > 1:
-            bits, lo, hi, lost = self.levels[-1]
+            bits, lo, hi, lost, rest = self.levels[-1]
             cut = np.arange(0, len(bits), _FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(lost, cut)))
+            most = [np.maximum.reduceat(x, cut) for x in (hi, lost, rest)]
+            self.levels.append((np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(lo, cut), *most))
 
 
 def _linkable(x, y, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether some text of node a[i] and some of node b[i] may link."""
-    (bx, lox, hix, lost_x), (by, loy, hiy, lost_y) = x, y
+    (bx, lox, hix, lost_x, rest_x), (by, loy, hiy, lost_y, rest_y) = x, y
     ok = (100 * hix[a] >= percent * loy[b]) & (100 * hiy[b] >= percent * lox[a])
     a, b = a[ok], b[ok]
     most = np.concatenate([_popcount(bx[a[k : k + 8192]] & by[b[k : k + 8192]]) for k in range(0, len(a), 8192)] or [np.zeros(0, np.int32)])
-    most = np.minimum(most + np.minimum(lost_x[a], lost_y[b]), np.minimum(hix[a], hiy[b]))
+    most = most + np.minimum(lost_x[a], lost_y[b]) + np.maximum(rest_x[a], rest_y[b])
+    most = np.minimum(most, np.minimum(hix[a], hiy[b]))
     # intersection * (100 + percent) >= percent * (sum of sizes)
     ok[ok] = most * (100 + percent) >= percent * (lox[a] + loy[b])
     return ok
 
 
-def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+def links_of(sets: list[np.ndarray], n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """A spanning forest (as each text's root) of the links between texts ``left`` and texts ``right``
-    (places in ``sets``; the same array: within it)."""
+    (places in ``sets``; the same array: within it).
+
+    ``n`` are the sizes of the whole sets.  Where ``sets`` are lists of their smallest tokens, the links
+    are those that are possible: up to the smaller of two lists' ends the overlap is known, and beyond
+    it is at most what either set has left."""
     root = np.arange(len(sets))
     same = left is right
 
@@ -217,6 +236,14 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     ends = np.cumsum([len(s) for s in sets])
     starts = ends - [len(s) for s in sets]
     mark = np.zeros(len(vocabulary), bool)
+    last = np.array([_ALL if len(s) >= k else s[-1] for s, k in zip(sets, n)], np.int64)
+
+    def unlisted(i: int, js: np.ndarray) -> np.ndarray:
+        if last[i] == _ALL and (last[js] == _ALL).all():
+            return np.zeros(len(js), np.int64)
+        end = np.minimum(last[i], last[js])
+        own = n[i] - np.searchsorted(sets[i], end, side="right")
+        return np.minimum(own, [n[j] - np.searchsorted(sets[j], e, side="right") for j, e in zip(js, end)])
 
     def verify(i: int, js: np.ndarray) -> None:
         mine = dense[starts[i] : ends[i]]
@@ -228,12 +255,12 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
                 tokens = np.concatenate([dense[starts[j] : ends[j]] for j in part])
                 sizes = ends[part] - starts[part]
                 both = np.add.reduceat(mark[tokens], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
-                for j in part[both * (100 + percent) >= percent * (len(mine) + sizes)]:
+                for j in part[(both + unlisted(i, part)) * (100 + percent) >= percent * (n[i] + n[part])]:
                     root[find(int(j))] = find(i)
         mark[mine] = False
 
     # Neighbours in the order of smallest shingles are mostly copies: link them first.
-    smallest = lambda i: (int(sets[i][0]), len(sets[i]), i)
+    smallest = lambda i: (int(sets[i][0]), int(n[i]), i)
     left = np.array(sorted(left, key=smallest))
     right = left if same else np.array(sorted(right, key=smallest))
     every = left if same else np.array(sorted(np.r_[left, right], key=smallest))
@@ -243,8 +270,8 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
             if (same or side[int(i)] != side[int(j)]) and find(int(i)) != find(int(j)):
                 verify(int(i), np.array([j]))
 
-    x = Tree([sets[i] for i in left])
-    y = x if same else Tree([sets[i] for i in right])
+    x = Tree([sets[i] for i in left], n[left])
+    y = x if same else Tree([sets[i] for i in right], n[right])
     level = max(len(x.levels), len(y.levels)) - 1
     at = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -303,52 +330,66 @@ def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
             left = right = np.arange(len(sets))
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        root = links_of(sets, left, right, percent)
+        root = links_of(sets, group["n"].to_numpy(np.int64), left, right, percent)
         tied = np.flatnonzero(root != np.arange(len(sets)))
         out += zip(ids[root[tied]], ids[tied])
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def link_edges(docs: DataFrame, blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each block (doc_id, block)."""
-
-    def run(batches):
-        for b, at, part in _sliced(batches):
-            sets = shingle_sets(part, width)
-            yield {"doc_id": [b["doc_id"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
-
-    texts = docs.select("doc_id", "text").join(blocks, "doc_id")
-    members = materialize(map_rows(texts, run, "doc_id long, block long, n int, tokens array<long>"), "members").where("n > 0")
-    sizes = members.groupBy("block").agg(F.sum("n").alias("tokens"))
-    large = materialize(sizes.where(F.col("tokens") > TILE_TOKENS).select("block"), "large-blocks")
+def forest(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the (possible) links within each block of (doc_id, block, n, tokens)."""
+    sizes = members.groupBy("block").agg(F.sum(F.size("tokens")).alias("tokens"), F.count("*").alias("texts"))
+    sizes = materialize(sizes, "block-sizes")
+    large = sizes.where((F.col("tokens") > TILE_TOKENS) | (F.col("texts") > TILE_TEXTS)).select("block")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     bins = max(1, 2 * total // TILE_TOKENS)
-    small = members.join(large, "block", "left_anti").withColumn("pair", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
-    small = small.select("pair", "block", "doc_id", "tokens", F.lit(0).alias("side"), F.lit(True).alias("same"))
+    columns = ["pair", "block", "doc_id", "n", "tokens", "side", "same"]
+    small = members.join(_small(large), "block", "left_anti").withColumn("pair", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
+    small = small.withColumns({"side": F.lit(0), "same": F.lit(True)}).select(columns)
 
     cell = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # linked sizes lie in a cell or its neighbours
-    placed = members.join(large, "block").withColumn("cell", cell)
-    parts = placed.groupBy("block", "cell").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("parts"))
+    placed = members.join(_small(large), "block").withColumn("cell", cell)
+    volume = F.greatest(F.sum(F.size("tokens")) / TILE_TOKENS, F.count("*") / TILE_TEXTS)
+    parts = materialize(placed.groupBy("block", "cell").agg(F.ceil(volume).cast("int").alias("parts")), "tile-parts")
     tiles = parts.select("block", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"))
-    placed = placed.join(parts, ["block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    placed = placed.join(_small(parts), ["block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     other = tiles.select("block", F.col("cell").alias("cell2"), F.col("sub").alias("sub2"))
     pairs = tiles.join(other, "block").where("cell2 - cell between 0 and 1 and (cell < cell2 or sub <= sub2)")
     pairs = materialize(pairs.withColumn("pair", F.concat_ws("/", F.lit("t"), "block", "cell", "sub", "cell2", "sub2")), "tile-pairs")
     same = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
     sides = pairs.select("pair", "block", "cell", "sub", F.lit(0).alias("side"), same.alias("same"))
     sides = sides.union(pairs.where(~same).select("pair", "block", "cell2", "sub2", F.lit(1), F.lit(False)))
-    tiled = placed.join(sides, ["block", "cell", "sub"]).select("pair", "block", "doc_id", "tokens", "side", "same")
-    return small.union(tiled).groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long")
+    tiled = placed.join(_small(sides), ["block", "cell", "sub"]).select(columns)
+    return materialize(small.union(tiled).groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "forest")
+
+
+def _blocks(edges: DataFrame, name: str) -> DataFrame:
+    return materialize(components(edges).select(F.col("v").alias("doc_id"), F.col("component").alias("block")), name)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = materialize(text_sets(docs, width, percent), "sets")
-    blocks = components(candidate_edges(rows, percent)).select(F.col("v").alias("doc_id"), F.col("component").alias("block"))
-    found = components(materialize(link_edges(docs, blocks, width, percent), "links"))
+    names = class_names(rows)
+    blocks = _blocks(candidate_edges(rows, names, percent), "blocks")
+
+    listers = materialize(names.join(blocks.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "rep", "block"), "listers")
+    heads = rows.where("head is not null").select("doc_id", "n", F.col("head").alias("tokens")).join(_small(listers), "doc_id")
+    heads = materialize(heads.select(F.col("rep").alias("doc_id"), "block", "n", "tokens"), "heads")
+    blocks = _blocks(forest(heads, percent), "blocks")
+
+    def whole(batches):
+        for b, at, part in _sliced(batches):
+            sets = shingle_sets(part, width)
+            yield {"doc_id": [b["doc_id"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
+
+    texts = docs.select("doc_id", "text").join(_small(blocks), "doc_id")
+    members = materialize(map_rows(texts, whole, "doc_id long, block long, n int, tokens array<long>"), "members").where("n > 0")
+    found = components(forest(members, percent))
     reps = rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     named = reps.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    keyed = rows.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
+    named = materialize(named, "components")
+    keyed = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
     out = keyed.join(named, "class", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
