@@ -140,9 +140,9 @@ def class_names(rows: DataFrame) -> DataFrame:
 def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """(a, b): texts (class representatives) tied to the smallest text with which they share a prefix shingle."""
     listing = rows.where("head is not null").select("doc_id", "n", F.posexplode("head").alias("rank", "token"))
-    # Written first, so that a join by shuffle has exchanges of its own, whose hot partitions Spark can split.
+    # Written first, so that the join has exchanges of its own, whose hot partitions Spark can split.
     common = materialize(listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    shared = listing.join(_small(common), "token")
+    shared = listing.join(common, "token")  # as large as the corpus: by a shuffle at any size
     # What a text lists and others list too: at most its list.
     own = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
     own = own.join(names, "doc_id").select(F.col("rep").alias("doc_id"), "n", "shared")
