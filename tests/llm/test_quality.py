@@ -176,6 +176,19 @@ def test_classifier_separates_labels(spark):
     assert (~got[got.quality == 0].kept).mean() > 0.6
 
 
+def test_quantile_of_held_out_rows_decides(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = kn.judge(kn.perplexities(docs, labels)).join(labels, "doc_id").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    held = good[good.held]
+    print("bad rejected", (~bad.kept).sum(), len(bad), "held-out good rejected", (~held.kept).sum(), len(held), "counted", (~good[~good.held].kept).sum())
+    assert 0.15 < len(held) / len(good) < 0.25
+    assert held.kept.mean() > 0.98
+    assert (~bad.kept).mean() > 0.85
+    for _, g in held.groupby("lang"):
+        assert abs(np.log(g.threshold.iloc[0] / g.perplexity.quantile(kn.QUANTILE, interpolation="higher"))) < 0.005
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]

@@ -12,8 +12,9 @@ operations.
    by order, gives the probability of every 5-gram of the corpus.
 3. The probabilities are split by hash into shards of a bounded size (``SHARD_ROWS``).  A scan
    per shard adds up each document's log-probabilities in that shard; the sums give perplexities.
-4. Per language, a document is rejected where its perplexity exceeds ``MARGIN`` times the
-   ``QUANTILE`` of the trusted documents, with more room for short texts.
+4. Per language, a document is rejected where its perplexity exceeds the ``QUANTILE`` of the
+   trusted documents that were left out of the counts, with more room for short texts.  A language
+   with fewer than ``LEAST_TRUSTED`` leaves none out and takes ``MARGIN`` times the quantile of all.
 
 Nulls: a null text or one without words has no perplexity and is not kept; a null language is a
 language of its own; a null doc_id is never trusted.  Repeated rows each give a row; extra
@@ -33,7 +34,10 @@ ALPHABET = 1 << BITS
 SHARD_ROWS = 2_000_000
 #: Ids of trusted documents go to every scan only up to this number (16 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: MARGIN is for languages that leave no trusted documents out of the counts, whose perplexities are too low then.
 QUANTILE, MARGIN = 0.99, 1.5
+#: One in HELD trusted documents, by its text, is left out of the counts where a language has LEAST_TRUSTED of them.
+HELD, LEAST_TRUSTED = 5, 500
 _CHARS = 1_000_000
 _MERGE = 1_500_000
 
@@ -251,25 +255,29 @@ def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
                 sums.append(total)
                 sizes.append(n)
             empty = np.zeros(0)
-            yield {k: b[k] for k in ("doc_id", "lang", "trusted", "mark")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
+            yield {k: b[k] for k in ("doc_id", "lang", "trusted", "held", "mark")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
 
-    rows = docs.select("doc_id", "lang", "text", "trusted", F.xxhash64("text").alias("mark"))
-    return map_rows(rows, run, "doc_id long, lang string, trusted boolean, mark long, logp double, n_chars long")
+    rows = docs.select("doc_id", "lang", "text", "trusted", "held", F.xxhash64("text").alias("mark"))
+    return map_rows(rows, run, "doc_id long, lang string, trusted boolean, held boolean, mark long, logp double, n_chars long")
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, text and whether labels call the document good."""
+    """doc_id, lang, text, whether labels call the document good, and whether it is held back from the counts."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("good", F.lit(True))
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     docs = docs.select("doc_id", "lang", "text").join(good, "doc_id", "left")
-    return docs.select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
+    docs = docs.select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
+    many = docs.where("trusted").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
+    docs = _join(docs, materialize(many, "trusted-languages"), ["lang"], "left")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    return docs.select("doc_id", "lang", "text", "trusted", (F.col("trusted") & F.col("n").isNotNull() & drawn).alias("held"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, n_chars and perplexity of every document (null without words)."""
+    """doc_id, lang, trusted, held, n_chars and perplexity of every document (null without words)."""
     rows = with_trust(docs, labels)
-    grams = materialize(corpus_grams(rows), "grams")
+    grams = materialize(corpus_grams(rows.withColumn("trusted", F.expr("trusted and not held"))), "grams")
     p = probabilities(grams)
     shards = -(-p.count() // SHARD_ROWS) or 1
     place = F.pmod(F.xxhash64("gram", "lang"), F.lit(shards))
@@ -279,18 +287,20 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for x in parts[1:]:
             got = got.union(x)
         # Rows that repeat entirely share a key: their sums are divided, and the rows brought back.
-        got = got.groupBy("doc_id", "lang", "trusted", "mark").agg(F.sum("logp").alias("logp"), F.max("n_chars").alias("n_chars"), (F.count("*") / shards).cast("int").alias("copies"))
+        got = got.groupBy("doc_id", "lang", "trusted", "held", "mark").agg(F.sum("logp").alias("logp"), F.max("n_chars").alias("n_chars"), (F.count("*") / shards).cast("int").alias("copies"))
         got = got.withColumn("logp", F.col("logp") / F.col("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     ppl = F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars")))
-    return materialize(got.select("doc_id", "lang", "trusted", "n_chars", ppl.alias("perplexity")), "perplexity")
+    return materialize(got.select("doc_id", "lang", "trusted", "held", "n_chars", ppl.alias("perplexity")), "perplexity")
 
 
 def judge(scored: DataFrame) -> DataFrame:
     """Perplexities with the language's ``threshold`` and ``kept``."""
-    cells = scored.where("trusted and perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * 1000).alias("cell")).agg(F.count("*").alias("n"))
-    run, every = Window.partitionBy("lang").orderBy("cell"), Window.partitionBy("lang")  # some thousand cells a language
+    cells = scored.where("trusted and perplexity is not null").groupBy("lang", "held", F.floor(F.log("perplexity") * 1000).alias("cell")).agg(F.count("*").alias("n"))
+    run, every = Window.partitionBy("lang", "held").orderBy("cell"), Window.partitionBy("lang", "held")  # some thousand cells a language
     ranked = cells.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(every))
-    cut = ranked.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy("lang").agg((F.exp((F.min("cell") + 1) / 1000) * MARGIN).alias("threshold"))
+    cut = ranked.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy("lang", "held").agg(F.exp((F.min("cell") + 1) / 1000).alias("at"))
+    held, all_ = (F.max(F.when(F.col("held") == h, F.col("at"))) for h in (True, False))
+    cut = cut.groupBy("lang").agg(F.coalesce(held, all_ * MARGIN).alias("threshold"))
     out = _join(scored, cut, ["lang"], "left")
     # A mean over n characters strays by some 2 / sqrt(n): short texts get that much more room.
     room = F.exp(2 / F.sqrt(F.greatest("n_chars", F.lit(1))))
