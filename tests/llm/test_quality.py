@@ -189,6 +189,19 @@ def test_quantile_of_held_out_rows_decides(spark):
         assert abs(np.log(g.threshold.iloc[0] / g.perplexity.quantile(kn.QUANTILE, interpolation="higher"))) < 0.005
 
 
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфхцчшыья", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"])
+def test_perplexity_tells_letters_of_one_block_apart(spark, letters):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    vocabulary = [word(rng.randrange(3, 9)) for _ in range(60)]
+    good = [rng.choices(vocabulary, k=60) for _ in range(160)]
+    junk = [[word(len(x)) for x in w] for w in good[:20]]
+    docs = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(good + junk)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in kn.judge(kn.perplexities(docs, labels)).collect()}
+    assert all(kept[i] for i in range(160)) and not any(kept[i] for i in range(160, 180))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(300)]

@@ -1,9 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
 Texts are streams of characters with white space runs as one space; an event is a character
-after the four before it.  A character is a 10-bit code (its code point below U+0250, else a
-class of its block), so a 5-gram is one 50-bit integer and suffixes and contexts are bit
-operations.
+after the four before it.  A character is its code point, of 21 bits: the last three characters of
+a 5-gram are the integer ``lo``, the two before them ``hi``, and suffixes and contexts are bit
+operations.  Within a worker, a 63-bit hash of both stands for the pair.
 
 1. One scan gathers every distinct 5-gram of all documents with its count in trusted text
    (documents that labels call good; a language without any is not judged).
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from txlog.llm.common import documents, drop_ids, map_rows, materialize, words
 
-ORDER, BITS = 5, 10
-ALPHABET = 1 << BITS
+ORDER, BITS = 5, 21
+ALPHABET = 0x110000
+LOW = 3  # characters in lo
 SHARD_ROWS = 2_000_000
 #: Ids of trusted documents go to every scan only up to this number (16 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -42,24 +43,43 @@ _CHARS = 1_000_000
 _MERGE = 1_500_000
 
 
-def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """5-grams of all texts in a row, and how many each text has."""
+def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """5-grams (hi, lo) of all texts in a row, and how many each text has."""
     pad = " " * (ORDER - 1)
     streams = [pad + " ".join(w) if w else "" for w in map(words, texts)]
     sizes = np.array([max(0, len(s) - len(pad)) for s in streams], np.int64)
     c = np.frombuffer("".join(streams).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    c = np.where(c < 592, c, 592 + (c >> 7) % (ALPHABET - 592))
     if not len(c):
-        return c, sizes
-    gram = np.zeros(len(c), np.int64)
+        return c, c, sizes
+    hi, lo = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
     for k in range(ORDER):  # the k-th character before the last
-        gram[k:] |= c[: len(c) - k] << (BITS * k)
+        (lo if k < LOW else hi)[k:] |= c[: len(c) - k] << (BITS * (k % LOW))
     own = np.ones(len(c), bool)
     full = sizes > 0
     starts = np.r_[0, np.cumsum(sizes[full] + len(pad))[:-1]]
     for k in range(len(pad)):
         own[starts + k] = False
-    return gram[own], sizes
+    return hi[own], lo[own], sizes
+
+
+def key_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of 63 bits."""
+    h = hi.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ h >> np.uint64(29) ^ lo.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ h >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
+
+
+def _summed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 5-grams with the sums of n."""
+    key = key_of(hi, lo)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    if not len(first):
+        return hi, lo, n
+    at = order[first]
+    return hi[at], lo[at], np.add.reduceat(n[order], first)
 
 
 def _slices(texts: list[str | None]):
@@ -74,31 +94,30 @@ def _slices(texts: list[str | None]):
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): every 5-gram of documents (lang, text, trusted) with its count in trusted ones."""
+    """(lang, hi, lo, n): every 5-gram of documents (lang, text, trusted) with its count in trusted ones."""
 
     def run(batches):
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         rows = 0
 
         def merged(parts):
-            grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            return grams, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+            return _summed(*map(np.concatenate, zip(*parts)))
 
         def flush():
             for lang, parts in held.items():
-                grams, n = merged(parts)
-                for k in range(0, len(grams), 200_000):
-                    g = grams[k : k + 200_000]
-                    yield {"lang": [lang] * len(g), "gram": g, "n": n[k : k + 200_000]}
+                hi, lo, n = merged(parts)
+                for k in range(0, len(n), 200_000):
+                    h = hi[k : k + 200_000]
+                    yield {"lang": [lang] * len(h), "hi": h, "lo": lo[k : k + 200_000], "n": n[k : k + 200_000]}
 
         for b in batches:
             for part in _slices(b["text"]):
                 langs, trusted = b["lang"][part], b["trusted"][part]
                 for lang, good in {*zip(langs, trusted)}:
-                    grams, _ = codes([t for t, g, k in zip(b["text"][part], langs, trusted) if g == lang and k == good])
-                    grams, n = np.unique(grams, return_counts=True)
-                    held.setdefault(lang, []).append((grams, n if good else np.zeros_like(n)))
-                    rows += len(grams)
+                    hi, lo, _ = codes([t for t, g, k in zip(b["text"][part], langs, trusted) if g == lang and k == good])
+                    found = _summed(hi, lo, np.full(len(lo), 1 if good else 0, np.int64))
+                    held.setdefault(lang, []).append(found)
+                    rows += len(found[0])
                 if rows > _MERGE:
                     held = {lang: [merged(parts)] for lang, parts in held.items()}
                     rows = sum(len(p[0][0]) for p in held.values())
@@ -107,12 +126,21 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                         held, rows = {}, 0
         yield from flush()
 
-    found = map_rows(docs.select("lang", "text", "trusted"), run, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = map_rows(docs.select("lang", "text", "trusted"), run, "lang string, hi long, lo long, n long")
+    return found.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _suffix(order: int, hi: str = "hi", lo: str = "lo") -> list[Column]:
+    """The last characters of (hi, lo), under the given names."""
+    low = F.col("lo") if order >= LOW else F.col("lo").bitwiseAND(F.lit((1 << (BITS * order)) - 1).cast("long"))
+    high = F.col("hi").bitwiseAND(F.lit((1 << (BITS * max(0, order - LOW))) - 1).cast("long"))
+    return [high.alias(hi), low.alias(lo)]
 
 
-def _suffix(gram: Column, order: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+def _context() -> list[Column]:
+    """All characters of (hi, lo) but the last, as chi and clo."""
+    moved = F.shiftleft(F.col("hi").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")), BITS * (LOW - 1))
+    return [F.shiftright("hi", BITS).alias("chi"), F.shiftright("lo", BITS).bitwiseOR(moved).alias("clo")]
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -123,12 +151,12 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """(lang, gram, p): the probability of the last character of every 5-gram of (lang, gram, n)."""
-    count = grams.where("n > 0").select(F.lit(ORDER).alias("k"), "lang", "gram", "n")
+    """(lang, hi, lo, p): the probability of the last character of every 5-gram of (lang, hi, lo, n)."""
+    count = grams.where("n > 0").select(F.lit(ORDER).alias("k"), "lang", "hi", "lo", "n")
     tables = [count]
     for k in range(ORDER - 1, 0, -1):
-        count = count.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))
-        count = count.select(F.lit(k).alias("k"), "lang", "gram", "n")
+        count = count.groupBy("lang", *_suffix(k)).agg(F.count("*").alias("n"))
+        count = count.select(F.lit(k).alias("k"), "lang", "hi", "lo", "n")
         tables.append(count)
     counts = tables[0]
     for t in tables[1:]:
@@ -145,24 +173,24 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
     n = F.col("n")
     cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-    parts = _join(counts, discounts, ["k", "lang"], "inner").select("k", "lang", "gram", F.shiftright("gram", BITS).alias("ctx"), "n", cut.alias("cut"))
-    context = parts.groupBy("k", "lang", "ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-    seen = materialize(_join(parts, context, ["k", "lang", "ctx"], "inner").select("k", "lang", "gram", ((n - F.col("cut")) / F.col("total")).alias("own")), "kn-seen")
-    weights = materialize(context.select("k", "lang", "ctx", (F.col("left") / F.col("total")).alias("weight")), "kn-weights")
+    parts = _join(counts, discounts, ["k", "lang"], "inner").select("k", "lang", "hi", "lo", *_context(), "n", cut.alias("cut"))
+    context = parts.groupBy("k", "lang", "chi", "clo").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+    seen = materialize(_join(parts, context, ["k", "lang", "chi", "clo"], "inner").select("k", "lang", "hi", "lo", ((n - F.col("cut")) / F.col("total")).alias("own")), "kn-seen")
+    weights = materialize(context.select("k", "lang", "chi", "clo", (F.col("left") / F.col("total")).alias("weight")), "kn-weights")
 
     lower = None
     for k in range(1, ORDER + 1):
-        asked = grams.select("lang", _suffix(F.col("gram"), k).alias("gram"))
+        asked = grams.select("lang", *_suffix(k))
         asked = asked.distinct() if k < ORDER else asked
-        asked = asked.select("lang", "gram", F.shiftright("gram", BITS).alias("ctx"), _suffix(F.col("gram"), k - 1).alias("rest"))
-        got = _join(asked, seen.where(F.col("k") == k).drop("k"), ["lang", "gram"], "left")
-        got = _join(got, weights.where(F.col("k") == k).drop("k"), ["lang", "ctx"], "left")
+        asked = asked.select("lang", "hi", "lo", *_context(), *_suffix(k - 1, "rhi", "rlo"))
+        got = _join(asked, seen.where(F.col("k") == k).drop("k"), ["lang", "hi", "lo"], "left")
+        got = _join(got, weights.where(F.col("k") == k).drop("k"), ["lang", "chi", "clo"], "left")
         if lower is None:
             got = got.withColumn("below", F.lit(1.0 / ALPHABET))
         else:
-            got = _join(got, lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"], "inner")
+            got = _join(got, lower.select("lang", F.col("hi").alias("rhi"), F.col("lo").alias("rlo"), F.col("p").alias("below")), ["lang", "rhi", "rlo"], "inner")
         p = F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("below")
-        lower = materialize(got.select("lang", "gram", p.alias("p")), f"kn-{k}")
+        lower = materialize(got.select("lang", "hi", "lo", p.alias("p")), f"kn-{k}")
     return lower
 
 
@@ -224,11 +252,11 @@ def _collect(shard: DataFrame) -> Table:
         for b in batches:
             langs = {*b["lang"]}
             which = {lang: [i for i, g in enumerate(b["lang"]) if g == lang] for lang in langs}
-            g, p = np.array(b["gram"], np.int64), np.log(np.array(b["p"]))
+            g, p = key_of(np.array(b["hi"], np.int64), np.array(b["lo"], np.int64)), np.log(np.array(b["p"]))
             yield {"lang": [*which], "grams": [g[i].tobytes() for i in which.values()], "logs": [p[i].astype("<f4").tobytes() for i in which.values()]}
 
     parts: dict[str | None, list[tuple[bytes, bytes]]] = {}
-    for r in map_rows(shard.select("lang", "gram", "p"), pack, "lang string, grams binary, logs binary").collect():
+    for r in map_rows(shard.select("lang", "hi", "lo", "p"), pack, "lang string, grams binary, logs binary").collect():
         parts.setdefault(r["lang"], []).append((bytes(r["grams"]), bytes(r["logs"])))
     joined = {k: (b"".join(g for g, _ in v), b"".join(x for _, x in v)) for k, v in parts.items()}
     return Table({k: (np.frombuffer(g, "<i8"), np.frombuffer(v, "<f4")) for k, (g, v) in joined.items()})
@@ -242,7 +270,8 @@ def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
         for b in batches:
             sums, sizes = [], []
             for part in _slices(b["text"]):
-                grams, n = codes(b["text"][part])
+                hi, lo, n = codes(b["text"][part])
+                grams = key_of(hi, lo)
                 owner = np.repeat(np.arange(len(n)), n)
                 langs = b["lang"][part]
                 total = np.zeros(len(n))
@@ -280,7 +309,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     grams = materialize(corpus_grams(rows.withColumn("trusted", F.expr("trusted and not held"))), "grams")
     p = probabilities(grams)
     shards = -(-p.count() // SHARD_ROWS) or 1
-    place = F.pmod(F.xxhash64("gram", "lang"), F.lit(shards))
+    place = F.pmod(F.xxhash64("hi", "lo", "lang"), F.lit(shards))
     parts = [_score_shard(rows, p.where(place == s)) for s in range(shards)]
     got = parts[0]
     if shards > 1:
