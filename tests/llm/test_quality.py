@@ -108,6 +108,20 @@ def test_rules_on_groups_with_nulls(spark, monkeypatch):
     assert rules.keep_documents(df).columns == df.columns
 
 
+def test_rules_reject_moderate_outliers(spark):
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choices("abcdefgh", k=rng.randrange(a, b)))
+    plain = [[word(2, 9) for _ in range(rng.randrange(100, 200))] for _ in range(200)]
+    signs = [[x + "#" if k % 6 == 0 else x for k, x in enumerate(w)] for w in plain[:10]]  # one word of 6
+    again = [w + w[:30] for w in plain[10:20] if len(w) < 160]  # 60 words of fewer than 190
+    long = [[word(10, 18) for _ in range(100)] for _ in range(10)]
+    one = [[*w[:50], "5%"] for w in plain[20:40]]  # a single symbol
+    texts = [(" ".join(w), k) for k, part in enumerate([plain, signs, again, long, one]) for w in part]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, (t, _) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(rules.records(df)).collect()}
+    assert len(again) > 2 and [got[i] for i in range(len(texts))] == [k in (0, 4) for _, k in texts]
+
+
 def brute_perplexity(docs, trusted):
     """doc_id -> perplexity: interpolated modified Kneser-Ney with dictionaries, per language."""
     code = lambda c: c if c < 592 else 592 + (c >> 7) % (kn.ALPHABET - 592)

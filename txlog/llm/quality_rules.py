@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from txlog.llm.common import documents, drop_ids, materialize
 
 STATS = ["log_word_chars", "symbols", "dup_lines", "repeats"]
-#: Scatter is never taken to be smaller than this in a coordinate (a statistic that hardly varies in clean text).
-FLOOR = [0.10, 0.05, 0.10, 0.06]
+#: Twice the noise of a statistic that hardly varies in clean text; ``scale`` is 0.25 there, which halves it.  The root of a
+#: count over n words strays by 0.5 / sqrt(n): 50 words for symbols and lines; repeats come 6 words at a time, over 100.
+FLOOR = [0.10, 50**-0.5, 50**-0.5, (6 / 100) ** 0.5]
 #: Whether only larger values are suspicious.
 LARGER = [False, True, True, True]
-#: Far beyond the chi-square quantiles, as clean text is not normal: its largest distances stay below.
-CUTOFF = 400.0
+#: The 0.999 quantile of chi-square with 4 degrees of freedom.
+CUTOFF = 18.467
 STEPS = 3
 MIN_GROUP = 100
 _D = len(STATS)
