@@ -58,10 +58,11 @@ def microseconds(p: Column) -> Column:
 
 
 def basic_auth_user(header: Column) -> Column:
-    """User name of basic authorization, else ``-``."""
-    decoded = F.decode(F.try_to_binary(field(header, 1), F.lit("base64")), "UTF-8")
+    """User name of basic authorization, else ``-``; it ends at a colon or a NUL.  Bytes that are not UTF-8
+    become U+FFFD; what is not base64 gives ``-``."""
+    decoded = F.make_valid_utf8(F.try_to_binary(field(header, 1), F.lit("base64")).cast("string"))
     basic = F.lower(field(header, 0)).startswith("basic")
-    return F.coalesce(F.when(basic, F.substring_index(decoded, ":", 1)), F.lit("-"))
+    return F.coalesce(F.when(basic, F.substring_index(F.substring_index(decoded, "\0", 1), ":", 1)), F.lit("-"))
 
 
 def url_path(u: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,24 +48,28 @@ def assemble(
     with_disposition: bool = True,
     include_open: bool = True,
     keep: Iterable[str] = (),
+    needed: Column | None = None,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per (instance, vxid, side): pvxid, ts, seq of the first record, n_recs (records some slot needs),
     disposition, the slots' payloads, and for ``binary_tags`` their bytes (``raw:<tag>``).
 
     ``where`` keeps whole transactions with a record that satisfies it, in the same aggregate.  Without
     ``include_open`` transactions without an End record are dropped.  The only exchange is on the key;
-    give records that are already cut to the tags and headers that the slots need."""
+    give records that are already cut to the tags and headers that the slots need.  ``needed`` says which
+    records n_recs counts instead; ``extra`` are further aggregates by name."""
     slots = sorted(set(slots))
     rows = records.where("side <> '-'")
     if any(s.header for s in slots):
         tagged = F.col("tag").isin(*sorted({s.tag for s in slots if s.header}))
         rows = rows.withColumn("hname", F.when(tagged, header_name(F.col("payload"))))
     payload = F.coalesce("payload", F.lit(""))
-    needed = F.lit(False)
-    for s in slots:
-        needed = needed | _slot_condition(s)
-    if with_disposition:
-        needed = needed | F.col("tag").isin(*DISPOSITION_TAGS)
+    if needed is None:
+        needed = F.lit(False)
+        for s in slots:
+            needed = needed | _slot_condition(s)
+        if with_disposition:
+            needed = needed | F.col("tag").isin(*DISPOSITION_TAGS)
     aggs = [F.max("pvxid").alias("pvxid"), F.min("ts").alias("ts"), F.min("seq").alias("seq"), F.count(F.when(F.coalesce(needed, F.lit(False)), 1)).alias("n_recs")]
     if with_disposition:
         aggs.append(disposition().alias("disposition"))
@@ -75,7 +79,7 @@ def assemble(
             aggs.append(_first(F.struct(payload.alias("payload"), F.col("raw").alias("raw")), _slot_condition(s)).alias(f"pair:{s.tag}"))
         else:
             aggs.append(_first(payload, _slot_condition(s)).alias(s.column))
-    aggs += [F.first(c, ignorenulls=True).alias(c) for c in keep]
+    aggs += [F.first(c, ignorenulls=True).alias(c) for c in keep] + [a.alias(name) for name, a in (extra or {}).items()]
     if where is not None:
         aggs.append(F.max(F.coalesce(where, F.lit(False))).alias("wanted"))
     if not include_open:

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlog.operators.select import MAX_RECLEN
 
-
-def _overview(kept: DataFrame, max_reclen: int) -> list[Column]:
-    size = F.octet_length("payload") + 1
-    return [F.coalesce(F.max(F.least(size, F.lit(max_reclen))), F.lit(0)).alias("len_hi"), F.count(F.when(size > max_reclen, 1)).alias("len_overflows")]
-
-
-def log_stats(seen: DataFrame, lines: DataFrame, kept: DataFrame, interval: str | None = None, max_reclen: int = MAX_RECLEN, running: bool = False) -> DataFrame:
-    """seen, submitted, writes, bytes, len_hi, len_overflows, of the log or of each ``interval``.
-
-    ``seen``: assembled transactions of logged sides; ``lines``: their lines; ``kept``: the records
-    that formats need, before they are cut; all with ``ts``.  ``running`` adds totals up to each
-    interval, over the few rows already aggregated."""
-    by = [F.window("ts", interval)["start"].alias("start")] if interval else []
-    count = F.count("*")
-    parts = [
-        seen.groupBy(*by).agg(count.alias("seen")),
-        lines.groupBy(*by).agg(count.alias("submitted"), count.alias("writes"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes")),
-        kept.groupBy(*by).agg(*_overview(kept, max_reclen)),
-    ]
+COUNTS = ["seen", "submitted", "writes", "bytes", "len_hi", "len_overflows"]
+
+
+def log_stats(records: DataFrame, formats: dict[str, str], interval: str | None = None, max_reclen: int = MAX_RECLEN, running: bool = False) -> DataFrame:
+    """seen, submitted, writes, bytes, len_hi, len_overflows of the sides in ``formats`` (side -> format), for
+    the log or for each ``interval``: transactions count where they begin, payloads where they were read.
+
+    Transactions and lines come from one assembly.  The longest payload and the overflows of a whole log
+    are columns of it; those of intervals are an aggregate of their own that combines before its exchange.
+    ``running`` adds totals up to each interval, over the few rows already aggregated."""
+    from txlog.plans.formats import format_lines, needed, plan
+
+    formats = {s: f for s, f in formats.items() if f}
+    kept = needed(formats)
+    size = F.when(kept, F.octet_length("payload") + 1)
+    too_long = F.when(size > max_reclen, 1)
+    extra = {} if interval else {"longest": (F.max, size), "over": (F.count, too_long)}
+    tx = format_lines(plan(records, formats, max_reclen=max_reclen, keep_all=True, extra=extra), formats)
+    sent = (F.col("n_recs") > 0) | F.col("bare")
+    lines = [
+        F.count("*").alias("seen"), F.count(F.when(sent, 1)).alias("submitted"), F.count(F.when(sent, 1)).alias("writes"),
+        F.coalesce(F.sum(F.when(sent, F.octet_length("line") + 1)), F.lit(0)).alias("bytes"),
+    ]
     if not interval:
-        return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
-    out = parts[0].join(parts[1], "start", "full").join(parts[2], "start", "full")
-    out = out.fillna(0, ["seen", "submitted", "writes", "bytes", "len_hi", "len_overflows"])
+        return tx.agg(*lines, F.coalesce(F.least(F.max("longest"), F.lit(max_reclen)), F.lit(0)).alias("len_hi"), F.coalesce(F.sum("over"), F.lit(0)).alias("len_overflows"))
+    start = F.window("ts", interval)["start"].alias("start")
+    read = records.where(kept).groupBy(start).agg(F.least(F.max(size), F.lit(max_reclen)).alias("len_hi"), F.count(too_long).alias("len_overflows"))
+    out = tx.groupBy(start).agg(*lines).join(read, "start", "full").fillna(0, COUNTS)
     if running:
         upto = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumns({f"total_{c}": F.sum(c).over(upto) for c in ("seen", "submitted", "writes", "bytes")})

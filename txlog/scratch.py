@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Open ``scratch_scope``s, innermost last: the folders made in each.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder made here where the session names none."""
+    """spark.checkpoint.dir, or, on a single machine, a folder made here where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         named = "file://" + tempfile.mkdtemp(prefix="txlog-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/txlog/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/txlog/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -26,3 +36,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` named."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end: nothing that is read later may depend on them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            discard(spark, path)
