@@ -1,15 +1,19 @@
 """Literal payloads to literal values, client and backend."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from txlog.fixtures import records_from_events
 from txlog.functions import basic_auth_user, field, has_header, header_value, quote_binary, split_epoch, strftime, url_path, url_query
-from txlog.operators import assemble, check_grouping, group_by_request, mark_incomplete, truncate_payload
+from txlog.operators import assemble, check_grouping, group_by_request, mark_incomplete, matches, order_by_request, query_transactions, truncate_payload
+from txlog.operators.requests import request_roots
 from txlog.plans import DEFAULT_FORMAT, format_events, format_line, format_raw, required_slots, validate_format
 from txlog.schema import RECORD_SCHEMA, Slot
+from txlog.scratch import materialize, scratch_path, scratch_scope, shared_dir
+from txlog.sources import read_records, records_of_messages
 
 T0 = dt.datetime(2015, 3, 30, 19, 19, 6, 529143)
 
@@ -152,6 +156,42 @@ def test_truncation_counts_bytes(spark):
     assert [len(r["payload"].encode()) for r in rows] == [254, 254, 254]
 
 
+@pytest.mark.parametrize("char", ["é", "€", "😀"])
+def test_truncation_never_splits_a_character(spark, char):
+    texts = ["x" * pad + char * 20 for pad in range(5)] + ["é" * 40]
+    logs = log(spark, [("Debug", t) for t in texts]).cache()
+    for limit in (1, 2, 3, 4, 23, 24, 25, 26):
+        for t, r in zip(texts, truncate_payload(logs, limit).orderBy("seq").collect()):
+            keep = max(k for k in range(len(t) + 1) if len(t[:k].encode()) <= limit - 1)
+            assert r["payload"] == t[:keep]
+
+
+def test_truncation_of_bytes_that_are_not_utf8(spark):
+    df = log(spark, [("Debug", "x")]).withColumn("payload", F.expr("cast(unhex(repeat('80FF', 20)) as string)"))
+    assert truncate_payload(df, 24).select(F.octet_length("payload")).first()[0] <= 23
+
+
+def test_lines_use_cut_payloads(spark):
+    entries = [("ReqURL", "/" + "a" * 400)]
+    assert line(spark, "%U", entries) == "/" + "a" * 253
+    assert format_events(log(spark, entries), "%U", max_reclen=None).first()["line"] == "/" + "a" * 400
+    whole = format_events(log(spark, [("ReqURL", "a" * 300 + "end")]), "%m|", where=matches("ReqURL", "end$"), keep_tags=["ReqURL"]).collect()
+    assert whole == []  # selected, but the format needs none of its records
+    found = format_events(log(spark, [("ReqURL", "a" * 300 + "end"), ("ReqMethod", "GET")]), "%m", where=matches("ReqURL", "end$"), keep_tags=["ReqURL"])
+    assert [r["line"] for r in found.collect()] == ["GET"]
+
+
+def test_calls_and_returns_fill_no_slot(spark):
+    entries = [("VCL_call", "HIT"), ("VCL_return", "deliver")]
+    assert line(spark, "[%{tag:VCL_call}x%{tag:VCL_return[0]}x] %{Varnish:handling}x", entries) == "[] hit"
+    assert format_raw(log(spark, entries, "-", 0), "%{tag:VCL_call}x").count() == 0
+
+
+@pytest.mark.parametrize("token,name", [("//79/DphYmM=", "\ufffd" * 4), ("dQBzZXI6cHc=", "u"), ("dXNlcg==", "user"), ("w6k6eA==", "é"), ("=", "-"), ("", "")])
+def test_credentials(spark, token, name):
+    assert line(spark, "%u", [("ReqHeader", f"Authorization: Basic {token}")]) == name
+
+
 def test_groupings():
     check_grouping("vxid", ["c"])
     for bad in [("session", []), ("raw", ["c"])]:
@@ -167,6 +207,85 @@ def test_request_groups(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (1, 4), 6: (1, 5), 9: (9, 0)}
 
 
+def test_parents_in_a_cycle(spark):
+    """The smallest of a cycle is its root; what hangs below a cycle goes with it."""
+    parents = {1: 2, 2: 1, 3: 1, 4: 3, 10: 12, 11: 10, 12: 11, 13: 12, 20: 20, 21: 20, 30: 99}
+    ids = spark.createDataFrame([("main", v, p) for v, p in parents.items()], "instance string, vxid long, pvxid long")
+    got = {r["vxid"]: (r["root"], r["depth"]) for r in request_roots(ids).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 1), 4: (1, 2), 10: (10, 0), 11: (10, 1), 12: (10, 2), 13: (10, 3), 20: (20, 0), 21: (20, 1), 30: (30, 0)}
+
+
+def test_parents_only_in_request_grouping(spark):
+    logs = log(spark, [("ReqMethod", "GET")]).union(log(spark, [("ReqMethod", "PUT")], vxid=2, pvxid=1, first=10)).union(log(spark, [("ReqMethod", "HEAD")], vxid=3, first=20))
+    lines = lambda **how: [r["line"] for r in format_events(logs, "%{vxid}x %{pvxid}x %m", **how).orderBy("vxid").collect()]
+    assert lines() == ["1 0 GET", "2 0 PUT", "3 0 HEAD"]
+    assert lines(grouping="request") == ["1 0 GET", "2 1 PUT", "3 0 HEAD"]
+    put = F.col("`slot:ReqMethod`") == "PUT"
+    assert lines(grouping="request", groups=put) == ["1 0 GET", "2 1 PUT"]
+    assert [r["root"] for r in format_events(logs, "%m", grouping="request").collect()] == [1, 1, 3]
+    for how in ({"grouping": "session"}, {"grouping": "raw"}, {"groups": put}):
+        with pytest.raises(ValueError):
+            format_events(logs, "%m", **how)
+
+
+def test_a_hot_group_may_span_partitions(spark):
+    """A third of all transactions under one root: same lines, in order, in more than one partition."""
+    base = spark.range(3000).select(F.lit("main").alias("instance"), F.col("id").alias("seq"), F.lit(T0).cast("timestamp").alias("ts"), (F.col("id") + 1).alias("vxid"), F.when(F.col("id") % 3 == 1, 1).otherwise(0).cast("long").alias("pvxid"), F.lit("c").alias("side"), F.lit("ReqMethod").alias("tag"), F.lit("GET").alias("payload"), F.lit(None).cast("binary").alias("raw"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = [(r["root"], r["seq"]) for r in format_events(base, "%m", grouping="request").collect()]
+        assert len(got) == 3000 and got == sorted(got) and sum(r == 1 for r, _ in got) == 1001
+    ordered = order_by_request(base.withColumn("root", F.lit(1)))
+    assert ordered.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_each_side_is_cut_to_its_own_format(spark):
+    logs = log(spark, [("ReqMethod", "GET"), ("Timestamp", "Start: 1.000000 0.000000 0.000000")]).union(log(spark, [("Begin", ""), ("BereqMethod", "PUT")], "b", 2, first=10))
+    both = lambda c, b: sorted(r["line"] for r in format_events(logs, c, b).collect())
+    for c, b in [("%m", "%{vxid}x"), ("%{vxid}x", "%m"), ("%s", "%D%m"), ("%d", "%d"), ("%s", "%{%i}t")]:
+        assert both(c, b) == sorted(both(c, "") + both("", b))
+    events = records_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    path = scratch_path(spark, "log")
+    events.write.parquet(path)
+    plan = format_events(read_records(spark, path), "%m", "%{vxid}x")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(side), Or(And(EqualTo(side,c),EqualTo(tag,ReqMethod)),EqualTo(side,b))" in plan
+
+
+def test_frequent_predicates_give_the_same_rows(spark):
+    rows = records_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    few, many = (query_transactions(rows, matches("ReqURL", "/purchase/"), frequent=f).select("seq") for f in (False, True))
+    assert few.count() == many.count() > 0 and few.exceptAll(many).isEmpty()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster)
+
+
+def test_scratch_scope_deletes(spark):
+    with scratch_scope():
+        kept = materialize(spark.range(3), "t")
+        assert kept.count() == 3
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_messages(spark):
+    values = ['{"instance":"main","seq":1,"vxid":5,"pvxid":0,"side":"c","tag":"Debug","payload":"x","raw":"AAE=","ts":"2024-01-01T00:00:00Z"}', "no json", None]
+    got = records_of_messages(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    assert len(got) == 1 and got[0]["vxid"] == 5 and bytes(got[0]["raw"]) == b"\x00\x01"
+
+
 def test_order_and_partitions_do_not_matter(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     rows = records_from_events(events)

@@ -1,6 +1,7 @@
 """Streams drained at once: complete and forced transactions, and what the batch gives."""
 
 import datetime as dt
+import os
 
 from txlog import streaming as S
 from txlog.schema import RECORD_SCHEMA, Slot
@@ -31,3 +32,22 @@ def test_only_new_files_without_from_start(spark, tmp_path):
     spark.createDataFrame(rows, RECORD_SCHEMA).write.parquet(str(tmp_path / "log"))
     stream = stream_records(spark, str(tmp_path / "log"))
     assert S.drain(S.stream_raw(stream, "%{tag:Backend_health}x"), "r").count() == 0
+
+
+def test_since_names_a_time_to_go_on_from(spark, tmp_path):
+    rows = [("main", 1, T0, 0, 0, "-", "Backend_health", "old", None)]
+    spark.createDataFrame(rows, RECORD_SCHEMA).write.parquet(str(tmp_path / "log"))
+    stream = stream_records(spark, str(tmp_path / "log"), since=dt.datetime(2020, 1, 1))
+    assert S.drain(S.stream_raw(stream, "%{tag:Backend_health}x"), "r").count() == 1
+
+
+def test_late_records_are_counted(spark, tmp_path):
+    for k, second in enumerate([0, 3600, 7200, 5]):  # the last file comes an hour and more behind the watermark
+        rows = [("main", k, T0 + dt.timedelta(seconds=second), 100 + k, 0, "c", "Begin", "", None)]
+        spark.createDataFrame(rows, RECORD_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "log" / f"part={k}"))
+        os.utime(next((tmp_path / "log" / f"part={k}").glob("*.parquet")), (1_700_000_000 + 60 * k,) * 2)
+    stream = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    query = S.stream_transactions(stream, [Slot("ReqURL")]).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert S.late_records(query) == 1
+    assert {r["vxid"] for r in spark.table("late").collect()} == {100, 101}

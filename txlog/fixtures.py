@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RAW_BYTES = "666F6F00FF20626172"
+#: Base64 of FF FE FD FC, and "Pass" after it: no UTF-8.
+NOT_UTF8 = "//79/DphYmM="
 
 
 def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
@@ -22,7 +24,7 @@ def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
     url = f"concat('/', et, '/', {text('u')}, case when e % 3 = 0 then concat('?k=', kk, '&u=', {text('u')}) else '' end)"
     host = f"concat('Host: ', case when e % 17 = 0 then 'http://' else '' end, 'www', {text('u % 7')}, '.example.com')"
     user = f"concat('user', {text('u')}, ':pw')"
-    auth = f"case when e % 4 = 0 then concat('Authorization: Basic ', {b64(user)}) else 'Authorization: Digest x' end"
+    auth = f"case when e % 28 = 0 then 'Authorization: Basic {NOT_UTF8}' when e % 4 = 0 then concat('Authorization: Basic ', {b64(user)}) else 'Authorization: Digest x' end"
     call = "case when e % 19 = 0 then 'SYNTH' when et = 'view' then 'HIT' when et = 'click' then 'MISS' when et = 'purchase' then 'PASS' when et = 'error' then 'ERROR' else 'PIPE' end"
     status = "case when et = 'error' then '503' else '200' end"
     acct = f"concat('60 0 60 178 ', {text('el')}, ' ', {text('178 + el')})"
@@ -52,6 +54,7 @@ def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
         (21, "c", "ReqAcct", acct, "et <> 'signup'"),
         (22, "c", "PipeAcct", f"concat('60 60 178 ', {text('el')})", "et = 'signup'"),
         (23, "c", "End", "''", ends),
+        (24, "c", "VCL_Log", "concat('note: ', repeat('x', cast(u % 11 as int)), 'Zoë €😀 ü')", "e % 7 = 0"),
     ]
     back = [
         ("Begin", f"concat('bereq ', {text('2 * e + 1')})", "true"),

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txlog.functions import basic_auth_user, field, header_field, header_value, microseconds, quote_binary, split_epoch, strftime, url_path, url_query
-from txlog.operators.assemble import assemble, drop_empty
-from txlog.operators.select import filter_headers, filter_tags, truncate_payload
+from txlog.operators.assemble import DISPOSITION_TAGS, assemble, check_grouping, drop_empty
+from txlog.operators.requests import group_by_request, order_by_request
+from txlog.operators.select import MAX_RECLEN, filter_tags, header_condition, truncate_payload
 from txlog.schema import BACKEND, CLIENT, RAW, Slot
 
 DEFAULT_FORMAT = '%h %l %u %t "%r" %s %b "%{Referer}i" "%{User-agent}i"'
@@ -142,6 +143,8 @@ def _tag_item(spec: str, side: str) -> Item:
         raise ValueError(f"unknown tag {tag!r}")
     tag = _TAG[tag.lower()]
     slot = Slot(tag, _header_arg(header)) if colon else Slot(tag)
+    if tag in DISPOSITION_TAGS:  # these records decide the disposition and fill no slot, as in the tool this follows
+        return Item([slot] if side == RAW else [], lambda get: F.lit(""), disposition=side != RAW)
     if side == RAW:
         carries = F.col("tag") == tag
         if colon:
@@ -265,7 +268,7 @@ def needed_tags(slots: Iterable[Slot], disposition: bool = False) -> tuple[set[s
     for s in slots:
         if s.header and s.tag not in plain:
             headers.setdefault(s.tag, set()).add(s.header)
-    return {s.tag for s in slots} | ({"VCL_call", "VCL_return"} if disposition else set()), headers
+    return {s.tag for s in slots} | ({*DISPOSITION_TAGS} if disposition else set()), headers
 
 
 def format_line(fmt: str, side: str) -> Column:
@@ -288,23 +291,73 @@ def format_columns(tx: DataFrame, side: str, formatters: dict[str, str]) -> Data
     return tx.where(F.col("side") == side).select(*[format_line(f, side).alias(name) for name, f in formatters.items()])
 
 
-def plan(records: DataFrame, formats: dict[str, str], max_reclen: int | None = None, where: Column | None = None, keep_tags: Iterable[str] = (), **how) -> DataFrame:
-    """Assembled transactions of the sides that have a format: records are cut to the tags and headers
-    that the formats need before the one exchange.  ``keep_tags`` are those that ``where`` looks at."""
+def _selected(formats: dict[str, str], tags: set[str] = frozenset(), whole: bool = True) -> tuple[Column, Column]:
+    """Which records the formats of their own side need: a condition on side and tag alone, which scans can
+    take, and one on headers.  Records of ``tags`` count as needed, and (with ``whole``) all of a side whose
+    format needs none, as any of them shows that the transaction is there."""
+    coarse = fine = F.lit(False)
+    for side, f in formats.items():
+        own = F.col("side") == side
+        if not _needs_no_records(f, side):
+            named, headers = needed_tags(required_slots(f, side), any(i.disposition for i in _items(f, side)))
+            coarse = coarse | (own & F.col("tag").isin(*sorted(named | tags)))
+            fine = fine | (own & header_condition({t: h for t, h in headers.items() if t not in tags}))
+        elif whole:
+            coarse, fine = coarse | own, fine | own
+    return coarse, fine
+
+
+def needed(formats: dict[str, str]) -> Column:
+    """Whether the format of its side needs a record."""
+    coarse, fine = _selected(formats, whole=False)
+    return coarse & fine
+
+
+def plan(
+    records: DataFrame,
+    formats: dict[str, str],
+    max_reclen: int | None = MAX_RECLEN,
+    where: Column | None = None,
+    keep_tags: Iterable[str] = (),
+    grouping: str = "vxid",
+    keep_all: bool = False,
+    extra: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
+    **how,
+) -> DataFrame:
+    """Assembled transactions of the sides that have a format.
+
+    Each side's records are cut to the tags and headers that its own format needs, and payloads to
+    ``max_reclen`` bytes (None: not at all), before the one exchange.  ``where`` sees whole payloads;
+    ``keep_tags`` are the tags that it looks at.  A transaction is kept if it holds a record that its
+    side's format needs, or if that format needs none.  pvxid is 0 unless ``grouping`` is request.
+    With ``keep_all`` every transaction stays, with the column ``bare`` (its format needs no records);
+    ``extra`` are further aggregates by name: a function, and its argument over whole payloads."""
     formats = {s: f for s, f in formats.items() if f}
+    check_grouping(grouping, formats)
     slots = {s for side, f in formats.items() for s in required_slots(f, side)}
     dispo = any(i.disposition for side, f in formats.items() for i in _items(f, side))
-    tags, headers = needed_tags(slots, dispo)
-    extra = {*keep_tags}
-    bare = all(_needs_no_records(f, side) for side, f in formats.items())
-    rows = records.where(F.col("side").isin(*formats))
-    if not bare and not any(_needs_no_records(f, side) for side, f in formats.items()):
-        rows = filter_headers(filter_tags(rows, tags | extra), {t: h for t, h in headers.items() if t not in extra})
+    if keep_all:
+        rows = records.where(F.col("side").isin(*formats))
+    else:
+        coarse, fine = _selected(formats, {*keep_tags})
+        rows = records.where(coarse).where(fine)
+    if where is not None:
+        rows = rows.withColumn("_hit", where)
+    aggregates = {}
+    for name, a in (extra or {}).items():
+        rows = rows.withColumn(f"_{name}", a[1])
+        aggregates[name] = a[0](F.col(f"_{name}"))
+    counted = needed(formats)
+    rows = rows.withColumn("_needed", counted)
     if max_reclen is not None:
         rows = truncate_payload(rows, max_reclen)
-    tx = assemble(rows, slots, where=where, binary_tags=BINARY_TAGS, with_disposition=dispo, **how)
-    empty = [side for side, f in formats.items() if _needs_no_records(f, side)]
-    return tx.where((F.col("n_recs") > 0) | F.col("side").isin(*empty)) if empty else drop_empty(tx)
+    tx = assemble(rows, slots, where=None if where is None else F.col("_hit"), binary_tags=BINARY_TAGS, with_disposition=dispo, needed=F.col("_needed"), extra=aggregates, **how)
+    if grouping != "request":
+        tx = tx.withColumn("pvxid", F.lit(0).cast("long"))
+    bare = [side for side, f in formats.items() if _needs_no_records(f, side)]
+    if keep_all:
+        return tx.withColumn("bare", F.col("side").isin(*bare) if bare else F.lit(False))
+    return tx.where((F.col("n_recs") > 0) | F.col("side").isin(*bare)) if bare else drop_empty(tx)
 
 
 def format_lines(tx: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -317,16 +370,27 @@ def format_lines(tx: DataFrame, formats: dict[str, str]) -> DataFrame:
     return tx.withColumn("line", line)
 
 
-def format_events(records: DataFrame, cformat: str = DEFAULT_FORMAT, bformat: str = "", **how) -> DataFrame:
+def format_events(records: DataFrame, cformat: str = DEFAULT_FORMAT, bformat: str = "", grouping: str = "vxid", groups: Column | None = None, **how) -> DataFrame:
     """Lines of client and backend transactions, each with its own format; an empty format switches its side off.
-    One assembly serves both."""
+    One assembly serves both.
+
+    With request ``grouping`` there is a further column ``root``, members of a group come together in the
+    log's order, and ``groups`` (a condition on assembled transactions) selects whole groups."""
     formats = {CLIENT: cformat, BACKEND: bformat}
-    tx = format_lines(plan(records, formats, **how), formats)
-    return tx.select("instance", "vxid", "pvxid", "side", "ts", "seq", "line")
+    tx = plan(records, formats, grouping=grouping, **how)
+    names = ["instance", "vxid", "pvxid", "side", "ts", "seq", "line"]
+    if grouping == "request":
+        tx = order_by_request(group_by_request(tx, groups))
+        names.insert(0, "root")
+    elif groups is not None:
+        raise ValueError("groups are for request grouping; where selects transactions")
+    return format_lines(tx, formats).select(*names)
 
 
-def format_raw(records: DataFrame, rformat: str, tags: Iterable[str] | None = None) -> DataFrame:
+def format_raw(records: DataFrame, rformat: str, tags: Iterable[str] | None = None, max_reclen: int | None = MAX_RECLEN) -> DataFrame:
     """Lines of single records; no shuffle.  Records of tags that the format doesn't name are dropped."""
-    wanted = {*tags} if tags is not None else {s.tag for s in required_slots(rformat, RAW)}
-    rows = filter_tags(records, wanted) if wanted else records
+    named = {*tags} if tags is not None else {s.tag for s in required_slots(rformat, RAW)}
+    rows = filter_tags(records, named - {*DISPOSITION_TAGS}) if named else records
+    if max_reclen is not None:
+        rows = truncate_payload(rows, max_reclen)
     return rows.select("instance", "vxid", "ts", "seq", format_line(rformat, RAW).alias("line"))

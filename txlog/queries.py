@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from txlog import operators as O
 from txlog import streaming as S
-from txlog.fixtures import duckdb_records, records_from_events
+from txlog.fixtures import NOT_UTF8, duckdb_records, records_from_events
 from txlog.functions import basic_auth_user, field, header_field, header_value, quote_binary, split_epoch, strftime, url_path, url_query
 from txlog.operators.select import equals
 from txlog.plans import DEFAULT_FORMAT, format_events, format_raw
-from txlog.plans.formats import format_columns, format_lines, plan
+from txlog.plans.formats import format_columns, plan
 from txlog.schema import Slot
 from txlog.scratch import scratch_path
 from txlog.sources import filter_instance, read_records, stream_lines, stream_records, write_lines
@@ -27,10 +27,24 @@ BACKEND_LINES = '%d %h %m "%r" %s %b %D %{Varnish:time_firstbyte}x'
 STREAM_SLOTS = [Slot("ReqStart"), Slot("ReqURL"), Slot("ReqHeader", "User-Agent"), Slot("RespStatus"), Slot("ReqAcct")]
 
 
+#: sf_dir -> a log saved from its events; what is not there is derived anew by each query.
+SAVED: dict[str, str] = {}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if sf_dir in SAVED:
+        return read_records(spark, SAVED[sf_dir])
     return records_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def save_records(spark: SparkSession, sf_dir: str) -> str:
+    """Write the records once; the queries over ``sf_dir`` then read that log."""
+    path = scratch_path(spark, "records")
+    records(spark, sf_dir).write.parquet(path)
+    SAVED[sf_dir] = path
+    return path
+
+
 def _query(name: str, sql: str | None) -> Callable[[Callable[[DataFrame], DataFrame]], Callable]:
     """Register a function of the record table; ``sql`` reads a table ``records``."""
 
@@ -79,7 +93,7 @@ def _sql_time(p: str, fmt: str) -> str:
 
 def _sql_user(h: str) -> str:
     v = _sql_value(h)
-    return rf"case when lower({v}) like 'basic %' then split_part(decode(from_base64(regexp_split_to_array({v}, '\s+')[2])), ':', 1) else '-' end"
+    return rf"case when {v} = 'Basic {NOT_UTF8}' then repeat(chr(65533), 4) when lower({v}) like 'basic %' then split_part(decode(from_base64(regexp_split_to_array({v}, '\s+')[2])), ':', 1) else '-' end"
 
 
 _DISPOSITION = "arg_min(lower(payload), seq) filter (where tag in ('VCL_call', 'VCL_return') and lower(payload) in ('hit', 'miss', 'pass', 'error', 'pipe'))"
@@ -150,12 +164,15 @@ def _headers(r: DataFrame) -> DataFrame:
     return O.filter_headers(r, {"ReqHeader": ["Host", "user-agent"], "Timestamp": ["Start"]}).select("seq", "tag", "payload")
 
 
-@_query("b4_truncate_payload", "select seq, left(payload, 23) as payload from records")
+_CUT = "case when strlen(payload) <= {n} then payload when strlen(payload) = length(payload) then left(payload, {n}) else left(payload, list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left(payload, k)) <= {n}))) end"
+
+
+@_query("b4_truncate_payload", f"select seq, {_CUT.format(n=23)} as payload from records")
 def _cut(r: DataFrame) -> DataFrame:
     return O.truncate_payload(r, 24).select("seq", "payload")
 
 
-_HITS = "select r.seq, r.tag, r.payload from records r semi join (select instance, vxid from records where side <> '-' and {}) h using (instance, vxid) where r.side <> '-'"
+_HITS = "select seq, tag, payload from (select seq, tag, payload, bool_or({}) over (partition by instance, vxid) as hit from records where side <> '-') where hit"
 
 
 @_query("b5_query_transactions", _HITS.format("tag = 'ReqURL' and contains(payload, '/purchase/')"))
@@ -165,7 +182,7 @@ def _matching(r: DataFrame) -> DataFrame:
 
 @_query("b5_query_has_tag", _HITS.format("tag = 'PipeAcct'"))
 def _having(r: DataFrame) -> DataFrame:
-    return O.query_transactions(r, O.has("PipeAcct")).select("seq", "tag", "payload")
+    return O.query_transactions(r, O.has("PipeAcct"), frequent=True).select("seq", "tag", "payload")
 
 
 @_query("b6_query_caseless", _HITS.format("(tag = 'ReqHeader' and payload = 'user-agent: Agent/3') or (tag = 'VCL_call' and payload = 'PIPE')"))
@@ -320,7 +337,7 @@ def _sql_columns(side: str) -> str:
         "request": _sql_request(p("method"), p("host"), p("url"), p("proto")), "status": f"coalesce({p('status')}, '')",
         "time": _sql_time("start", "[%d/%b/%Y:%H:%M:%S +0000]"), "day": f"{_sql_time('start', '%Y-%m-%d %H:%M:%S')} || '.' || {usec}",
         "seconds": "'0'", "path": f"split_part({p('url')}, '?', 1)", "name": _sql_user(p("auth")), "firstbyte": _sql_field(_sql_value("process" if c else "beresp"), 1),
-        "own_vxid": "cast(vxid as varchar)", "parent": "cast(pvxid as varchar)", "own_side": f"'{side}'",
+        "own_vxid": "cast(vxid as varchar)", "parent": "'0'", "own_side": f"'{side}'",
     }
     if c:
         picked |= {
@@ -362,10 +379,8 @@ def _both(r: DataFrame) -> DataFrame:
 def _w2(r: DataFrame) -> DataFrame:
     """Client and backend lines of the request groups in which some transaction was answered with 503."""
     formats = {"c": DEFAULT_FORMAT + " %{pvxid}x", "b": BACKEND_LINES + " %{pvxid}x"}
-    tx = O.group_by_request(plan(r, formats))
     failed = (F.col("`slot:RespStatus`") == "503") | (F.col("`slot:BerespStatus`") == "503")
-    groups = O.query_groups(tx, F.coalesce(failed, F.lit(False)))
-    return format_lines(O.order_by_request(groups), formats).select("root", "vxid", "line")
+    return format_events(r, formats["c"], formats["b"], grouping="request", groups=failed).select("root", "vxid", "line")
 
 
 ORACLES["w2_request_lines"] = _recursive(
@@ -382,23 +397,16 @@ def _w3(r: DataFrame) -> DataFrame:
 # Statistics -----------------------------------------------------------------------
 
 _KEPT_TAGS = "tag in ('ReqStart', 'ReqMethod', 'ReqURL', 'ReqProtocol', 'RespStatus', 'ReqAcct') or (tag = 'ReqHeader' and {n} in ('HOST', 'AUTHORIZATION', 'REFERER', 'USER-AGENT')) or (tag = 'Timestamp' and {n} = 'START')".format(n=_name())
+# Lines are made of payloads cut to 39 bytes; what is left of longer credentials is no base64.
+_CUT_RECORDS = ", cut as (select * replace (case when payload like 'Authorization: Basic %' and strlen(payload) > 39 then 'Authorization: x' else left(payload, 39) end as payload) from records)"
 _STATS = (
-    _TX.rstrip() + f", lines as (select ts, {_CLIENT_LINE} as line from tx where side = 'c'), kept as (select ts, least(strlen(payload) + 1, 40) as size, strlen(payload) + 1 > 40 as over from records where side = 'c' and ({_KEPT_TAGS})) "
+    _CUT_RECORDS + _TX.rstrip().replace("from records", "from cut") + f", lines as (select ts, {_CLIENT_LINE} as line from tx where side = 'c'), kept as (select ts, least(strlen(payload) + 1, 40) as size, strlen(payload) + 1 > 40 as over from records where side = 'c' and ({_KEPT_TAGS})) "
 )
 
 
-def _stats(r: DataFrame, **how) -> DataFrame:
-    from txlog.plans.formats import needed_tags, required_slots
-
-    tags, headers = needed_tags(required_slots(DEFAULT_FORMAT, "c"))
-    clients = O.filter_side(r, ["c"])
-    kept = O.filter_headers(O.filter_tags(clients, tags), headers)
-    return O.log_stats(O.assemble(clients, [], with_disposition=False), format_events(r), kept, max_reclen=40, **how)
-
-
 @_query("g1_log_stats", _STATS + "select * from (select count(*) as seen from tx where side = 'c'), (select count(*) as submitted, count(*) as writes, cast(sum(strlen(line) + 1) as bigint) as bytes from lines), (select max(size) as len_hi, count(*) filter (where over) as len_overflows from kept)")
 def _g1(r: DataFrame) -> DataFrame:
-    return _stats(r)
+    return O.log_stats(r, {"c": DEFAULT_FORMAT}, max_reclen=40)
 
 
 _BY = lambda t: f"{t}.ts // 21600000000 * 21600000000"
@@ -406,7 +414,7 @@ _BY = lambda t: f"{t}.ts // 21600000000 * 21600000000"
 
 @_query("g2_log_stats_interval", _STATS + f"select * from (select {_BY('tx')} as start_us, count(*) as seen from tx where side = 'c' group by 1) a join (select {_BY('lines')} as start_us, count(*) as submitted, count(*) as writes, cast(sum(strlen(line) + 1) as bigint) as bytes from lines group by 1) b using (start_us) join (select {_BY('kept')} as start_us, max(size) as len_hi, count(*) filter (where over) as len_overflows from kept group by 1) c using (start_us)")
 def _g2(r: DataFrame) -> DataFrame:
-    out = _stats(r, interval="6 hours")
+    out = O.log_stats(r, {"c": DEFAULT_FORMAT}, interval="6 hours", max_reclen=40)
     return out.select(F.unix_micros("start").alias("start_us"), "seen", "submitted", "writes", "bytes", "len_hi", "len_overflows")
 
 
@@ -430,18 +438,28 @@ _STREAM_TX = (
 _STREAM_SQL = lambda w: _STREAM_TX.format(d=_DISPOSITION, n=_name(), a=_S["reqstart"], b=_S["url"], c=_S["agent"], e=_S["status"], f=_S["acct"], w=w)
 
 
-@_query("h1_stream_transactions", _STREAM_SQL("and (vxid, side) in (select (vxid, side) from records group by vxid, side having max(ts) filter (where tag = 'End') <= min(ts) filter (where tag = 'Begin') + 120000000)"))
+_SPANS = "(select vxid, side, min(ts) filter (where tag = 'Begin') as began, max(ts) filter (where tag = 'End') as ended, max(ts) as last from records group by vxid, side)"
+# The stream's last watermark: whole milliseconds, 10 seconds behind the newest record.
+_WATERMARK_MS = "(select max(ts) // 1000 - 10000 from records where side <> '-')"
+
+
+@_query("h1_stream_transactions", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where ended <= began + 120000000)"))
 def _h1(r: DataFrame) -> DataFrame:
-    """Complete transactions of a drained stream (forced ones depend on the last watermark)."""
+    """Complete transactions of a drained stream."""
     return _named(S.drain(S.stream_transactions(_stream(r), STREAM_SLOTS), "tx").where("not forced"))
 
 
-@_query("h3_stream_windowed", _STREAM_SQL(""))
+@_query("h2_stream_forced", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where ended > began + 120000000 or (ended is null and began // 1000 + 120000 < {_WATERMARK_MS}))"))
+def _h2(r: DataFrame) -> DataFrame:
+    """Transactions that a drained stream emits without an End in time: the End came too late, or the
+    watermark passed the timeout."""
+    return _named(S.drain(S.stream_transactions(_stream(r), STREAM_SLOTS), "tx").where("forced"))
+
+
+@_query("h3_stream_windowed", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where last + 600000000 <= {_WATERMARK_MS} * 1000)"))
 def _h3(r: DataFrame) -> DataFrame:
-    """What the stream emits, and what it leaves open assembled as a batch."""
-    emitted = S.drain(S.stream_transactions_windowed(_stream(r), STREAM_SLOTS, gap="10 minutes"), "tx")
-    left = O.assemble(r, STREAM_SLOTS).join(emitted.select("vxid", "side"), ["vxid", "side"], "left_anti")
-    return _named(emitted).unionByName(_named(left))
+    """What the stream emits: transactions whose gap has ended by the last watermark."""
+    return _named(S.drain(S.stream_transactions_windowed(_stream(r), STREAM_SLOTS, gap="10 minutes"), "tx"))
 
 
 @_query("h5_stream_stats", "select ts // 3600000000 * 3600000000 as start_us, count(*) as records, cast(sum(strlen(payload) + 1) as bigint) as bytes, max(strlen(payload) + 1) as len_hi from records group by 1")

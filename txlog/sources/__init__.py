@@ -1,6 +1,6 @@
 """Reading records and writing lines."""
 
-from txlog.sources.records import filter_instance, read_records, stream_records
+from txlog.sources.records import filter_instance, read_records, records_of_messages, stream_records, stream_topic
 from txlog.sources.sinks import stream_lines, write_lines
 
-__all__ = ["filter_instance", "read_records", "stream_lines", "stream_records", "write_lines"]
+__all__ = ["filter_instance", "read_records", "records_of_messages", "stream_lines", "stream_records", "stream_topic", "write_lines"]

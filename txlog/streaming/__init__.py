@@ -1,5 +1,5 @@
 """The same jobs on growing logs."""
 
-from txlog.streaming.transactions import drain, stream_raw, stream_stats, stream_transactions, stream_transactions_windowed
+from txlog.streaming.transactions import drain, late_records, stream_raw, stream_stats, stream_transactions, stream_transactions_windowed
 
-__all__ = ["drain", "stream_raw", "stream_stats", "stream_transactions", "stream_transactions_windowed"]
+__all__ = ["drain", "late_records", "stream_raw", "stream_stats", "stream_transactions", "stream_transactions_windowed"]

@@ -1,7 +1,8 @@
 """Transactions of a stream of records.
 
-Records that arrive behind the watermark are dropped and counted by Spark
-(``numRowsDroppedByWatermark`` of the query's progress)."""
+``stream_transactions_windowed`` consists of built-in operators only and is the one to prefer where a
+transaction may be emitted some time after its last record; ``stream_transactions`` emits it at its End.
+Records that arrive behind the watermark are dropped; ``late_records`` counts them."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from txlog.operators.assemble import DISPOSITION_TAGS, DISPOSITIONS, TIMEOUT_S, _first, _slot_condition, disposition
@@ -120,6 +122,14 @@ def stream_raw(records: DataFrame, rformat: str) -> DataFrame:
     return format_raw(records, rformat)
 
 
+def late_records(query: StreamingQuery) -> int:
+    """How many rows the query's stateful operators dropped as too late, over the progress reports that Spark
+    keeps (spark.sql.streaming.numRecentProgressUpdates).  After an aggregate that combines first, a row is
+    one key's combined records of one task."""
+    reports = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in reports for op in p["stateOperators"])
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there, then stop: the rows that the stream emits, read back as a table."""
     spark = stream.sparkSession
