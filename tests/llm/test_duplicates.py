@@ -8,8 +8,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from txlog.llm import embedding_dups, jaccard_join, substring_dedup
+from txlog.llm.common import FILE, ROW, drop_rows, keyed
 from txlog.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,12 +81,59 @@ def test_jaccard_join(spark, seed, width, percent, monkeypatch):
         assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, c in want.items() if d == c}
 
 
+def row_components(texts, width, percent):
+    """Per row the smallest row that links reach."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, union(range(len(sets)), pairs)
+
+
+def shared_ids(texts, seed):
+    """Ids that are null, or that several rows (equal ones, and others) share."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, rng.randrange(60), 100 + i]), t) for i, t in enumerate(texts)]
+    return rows + rng.sample(rows, 20)
+
+
+def test_jaccard_on_null_and_shared_ids(spark):
+    rows = shared_ids(corpus(6), 6)
+    schema = "doc_id long, text string, component_id string, spans int, rid int, block string"
+    df = spark.createDataFrame([(*r, "x", 1, i, "y") for i, r in enumerate(rows)], schema).repartition(3)
+    sets, root = row_components([t for _, t in rows], 4, 85)
+    members = collections.defaultdict(list)
+    for i, r in root.items():
+        members[r].append(rows[i][0])
+    smallest = {r: min((d for d in ids if d is not None), default=None) for r, ids in members.items()}
+    want = sorted((str(d), len(sets[i]), str(smallest[root[i]] if sets[i] else d)) for i, (d, _) in enumerate(rows))
+    assert sorted((str(a), n, str(c)) for a, n, c in map(tuple, jaccard_join.join(df).collect())) == want
+    kept = jaccard_join.keep_documents(df, 4, 85)
+    assert kept.columns == df.columns
+    got = collections.Counter(root[r["rid"]] for r in kept.collect())
+    assert got == collections.Counter({r: 1 for r in root.values()})
+    assert {root[r["rid"]]: r["doc_id"] for r in kept.collect()} == smallest | {i: d for i, (d, _) in enumerate(rows) if not sets[i]}
+
+
 def test_jaccard_edges(spark):
     schema = "doc_id long, text string, component_id string"
-    df = spark.createDataFrame([(None, "a b c d e", "x"), (1, "a b c d e", "x"), (7, "a b c d e", "x"), (7, "a b c d e", "x")], schema)
+    df = spark.createDataFrame([(None, "a b c d e", "x"), (1, "a b c d e", "x"), (7, "a b c d e", "x"), (7, "a b c d e", "x"), (None, None, "x"), (3, "", "x"), (8, "z " * 60000 + "y", "x")], schema)
     got = sorted(map(tuple, jaccard_join.join(df).collect()), key=str)
-    assert got == [(1, 2, 1), (7, 2, 1), (7, 2, 1), (None, 2, None)]
+    assert got == [(1, 2, 1), (3, 0, 3), (7, 2, 1), (7, 2, 1), (8, 2, 8), (None, 0, None), (None, 2, 1)]
     assert jaccard_join.join(spark.createDataFrame([], schema)).count() == 0
+    assert jaccard_join.keep_documents(spark.createDataFrame([], schema), 5, 80).count() == 0
+
+
+def test_keys_of_tables_as_read_and_of_others(spark, tmp_path):
+    spark.range(50).withColumn("text", F.lit("x")).repartition(3).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    for df in (read, read.where("id < 20"), read.union(read), read.join(read.select("id"), "id")):
+        rows = keyed(df)
+        assert rows.select(FILE, ROW).distinct().count() == df.count()
+        assert drop_rows(rows, rows.where("id >= 10")).columns == df.columns
+    assert "rows-" not in str(keyed(read).inputFiles()) and "rows-" in str(keyed(read.union(read)).inputFiles())
 
 
 def brute_spans(texts, window):
@@ -114,13 +163,28 @@ def test_substring_dedup(spark, seed, window, k):
     assert total > 500
 
 
+def test_substring_on_null_and_shared_ids(spark):
+    rows = shared_ids(corpus(7), 7)
+    df = spark.createDataFrame([(*r, "x", i, 2) for i, r in enumerate(rows)], "doc_id long, text string, spans string, rid int, `odd.name` int").repartition(3)
+    want, texts = [], {}
+    for i, (w, gone) in enumerate(brute_spans([t for _, t in rows], 35)):
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((str(rows[i][0]), len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        texts[i] = kept if any(gone) else rows[i][1]
+    assert sorted((str(a), *r) for a, *r in map(tuple, substring_dedup.removed(df).collect())) == sorted(want)
+    new = substring_dedup.dedup_documents(df)
+    assert new.columns == df.columns and {r["rid"]: r["text"] for r in new.collect()} == texts
+
+
 def test_substring_edges(spark):
     text = " ".join(f"w{i}" for i in range(50))
+    long = " ".join(f"v{i}" for i in range(200_000))
     schema = "doc_id long, text string, spans string"
-    df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, "only here", "x"), (None, None, "x")], schema)
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, "only here", "x"), (None, None, "x"), (2, long, "x"), (3, "a b " + long, "x")], schema)
     got = sorted((r["n_words"], r["n_removed"]) for r in substring_dedup.removed(df).collect())
-    assert got == [(0, 0), (2, 0), (50, 50), (50, 50)]
-    assert substring_dedup.removed(spark.createDataFrame([], schema)).count() == 0
+    assert got == [(0, 0), (2, 0), (50, 50), (50, 50), (200_000, 200_000), (200_002, 200_000)]
+    for empty in (spark.createDataFrame([], schema), df.where("doc_id = 7")):
+        assert substring_dedup.removed(empty).count() == substring_dedup.dedup_documents(empty).count() == 0
 
 
 def test_components(spark):

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from txlog.scratch import materialize, scratch_path
 
-__all__ = ["documents", "drop_ids", "map_rows", "materialize", "scratch_path", "words"]
+__all__ = ["FILE", "ROW", "documents", "drop_rows", "keyed", "map_rows", "materialize", "scratch_path", "words"]
+
+#: The columns that name a row of a keyed table; tables given to operators have none of these names.
+FILE, ROW = "_txlog_file", "_txlog_row"
 
 #: Python's str.split() also splits at these characters; a word keeps them.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -43,9 +46,22 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows with a null doc_id stay."""
-    return docs.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two more columns, FILE and ROW, that name each row, whatever its columns hold.
+
+    A table as read from its files is taken as it stands (a hash of the file's path, and the place in it);
+    anything else is written to the shared folder first, so that a name stays with its row."""
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
+        return docs.withColumns({FILE: F.xxhash64("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+    return materialize(docs.withColumns({FILE: F.lit(0).cast("long"), ROW: F.monotonically_increasing_id()}), "rows")
+
+
+def drop_rows(rows: DataFrame, losers: DataFrame) -> DataFrame:
+    """The keyed ``rows`` without those that ``losers`` names, and without the two columns of the key.  The
+    names are written first; Spark broadcasts them only while that table is small."""
+    losers = materialize(losers.select(FILE, ROW), "dropped")
+    columns = ["`" + c.replace("`", "``") + "`" for c in rows.columns if c not in (FILE, ROW)]
+    return rows.join(losers, [FILE, ROW], "left_anti").select(columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,18 @@ when the intersection is at least ``percent`` % of the union.  The join is exact
    most that lie beyond its list.  Two trees are traversed together, and node pairs are pruned
    whose sizes exclude a link, whose largest possible overlap (common bits plus lost and
    unlisted tokens) is too small, or whose texts are linked already.  What remains is counted.
-   Large blocks are cut into tiles by size and hash; pairs of tiles are tasks of their own.
+   Large blocks are cut into tiles by size and hash; pairs of tiles are tasks of their own.  First
+   each tile is compared with itself and with one tile of its size, then only what this did not tie
+   to the block's largest component is compared with the rest: copies of one text cost one round.
    This is done with the lists first, which leaves as blocks what may be linked at all, and
    then with the whole sets.
 4. The trees return spanning forests, whose components are the answer.
 
-Nulls and texts without words have empty sets and link with nothing; rows without a doc_id
-neither, and their component is null.  Texts with fewer than ``width`` words have their whole
-sequence as one shingle.  Rows that repeat are one class.  doc_id names a text: of different
-texts with one id, links may be missed.  Extra columns of the input are dropped.
+Nulls and texts without words have empty sets and link with nothing.  Texts with fewer than ``width``
+words have their whole sequence as one shingle.  What is compared are classes of equal sets, told
+apart by signatures of 128 bits; rows are told apart by their places in the table, so null, repeated
+or shared ids lose no link.  A component's id is its smallest doc_id, and null where it has none.
+Extra columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, words
 from txlog.llm.components import components
 from txlog.llm.substring_dedup import Hashes
 from txlog.llm.vocab import Bounded
@@ -42,8 +45,6 @@ WIDTH, PERCENT = 4, 85
 #: A shingle that more texts list than this counts as frequent.
 FREQUENT = 1
 TILE_TOKENS, TILE_TEXTS = 1_000_000, 2000
-#: Up to this many rows (of two or three integers) are broadcast to a join; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 _ALL = np.iinfo(np.int64).max
 _BIT_WORDS = 64  # of 64 bits each, in a node's bitmap
 _FANOUT = 8
@@ -100,52 +101,48 @@ def _sliced(batches):
 
 
 def text_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, class, head): set size, signature, and the listed shingles (once per task and class)."""
+    """(rid, key, doc_id, n, s1, s2, head) of keyed documents: an integer for the row, set size, signature,
+    and the listed shingles (once per task and signature)."""
 
     def run(batches):
-        seen: set[int] = set()
+        from pyspark import TaskContext
+
+        rid, seen = TaskContext.get().partitionId() << 33, set()
         for b, at, part in _sliced(batches):
-            ids, sizes, classes, heads = [], [], [], []
+            out: dict[str, list] = {c: [] for c in ("rid", FILE, ROW, "doc_id", "n", "s1", "s2", "head")}
             for i, s in zip(at, shingle_sets(part, width)):
-                u = s.view(np.uint64)
-                mixed = int((u * (u >> np.uint64(7) | np.uint64(1))).sum()) ^ int(u.sum()) * 31 + len(u)
-                sign = (xxhash.xxh64_intdigest(s.tobytes(), seed=mixed & 0xFFFF) >> 1) if len(u) else None
-                ids.append(b["doc_id"][i])
-                sizes.append(len(s))
-                classes.append(sign)
-                if sign is None or sign in seen or b["doc_id"][i] is None:
-                    heads.append(None)
-                else:
-                    heads.append(s[: listed(len(s), percent)])
+                sign = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
+                head = None
+                if sign is not None and sign not in seen:
+                    head = s[: listed(len(s), percent)]
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sign)
-            yield {"doc_id": ids, "n": sizes, "class": classes, "head": heads}
-
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n int, class long, head array<long>")
+                halves = (None, None) if sign is None else np.array([sign >> 64, sign & (1 << 64) - 1], np.uint64).view(np.int64).tolist()
+                for c, v in zip(out, (rid, b[FILE][i], b[ROW][i], b["doc_id"][i], len(s), *halves, head)):
+                    out[c].append(v)
+                rid += 1
+            yield out
 
-
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return map_rows(docs.select(FILE, ROW, "doc_id", "text"), run, f"rid long, {FILE} long, {ROW} long, doc_id long, n int, s1 long, s2 long, head array<long>")
 
 
 def class_names(rows: DataFrame) -> DataFrame:
-    """(doc_id, rep): per class one text that lists, and the smallest id."""
-    classes = rows.where("class is not null and doc_id is not null").groupBy("class")
-    lister = F.min(F.when(F.col("head").isNotNull(), F.col("doc_id"))).alias("doc_id")
-    return materialize(classes.agg(lister, F.min("doc_id").alias("rep")).select("doc_id", "rep"), "classes")
+    """(s1, s2, rid, smallest): per class the row that lists for it, and the smallest doc_id."""
+    classes = rows.where("s1 is not null").groupBy("s1", "s2")
+    lister = F.min(F.when(F.col("head").isNotNull(), F.col("rid"))).alias("rid")
+    return materialize(classes.agg(lister, F.min("doc_id").alias("smallest")), "classes")
 
 
 def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """(a, b): texts (class representatives) tied to the smallest text with which they share a prefix shingle."""
-    listing = rows.where("head is not null").select("doc_id", "n", F.posexplode("head").alias("rank", "token"))
+    """(a, b): classes, by their listers, tied to the smallest with which they share a prefix shingle."""
+    listing = rows.where("head is not null").select("rid", "n", F.posexplode("head").alias("rank", "token"))
     # Written first, so that the join has exchanges of its own, whose hot partitions Spark can split.
     common = materialize(listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
     shared = listing.join(common, "token")  # as large as the corpus: by a shuffle at any size
     # What a text lists and others list too: at most its list.
-    own = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
-    own = own.join(names, "doc_id").select(F.col("rep").alias("doc_id"), "n", "shared")
+    own = shared.groupBy("rid").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
+    own = own.join(names.select("rid"), "rid")
     own = materialize(own, "shared")
 
     def give_back(batches):
@@ -160,26 +157,26 @@ def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFram
             yield {"token": out}
 
     spared = map_rows(own.select("n", "shared"), give_back, "token long").distinct().withColumn("spared", F.lit(True))
-    items = own.select("doc_id", "n", F.explode("shared").alias("x")).select("doc_id", "n", "x.rank", "x.token", (F.col("x.c") > FREQUENT).alias("frequent"))
+    items = own.select("rid", "n", F.explode("shared").alias("x")).select("rid", "n", "x.rank", "x.token", (F.col("x.c") > FREQUENT).alias("frequent"))
     items = items.join(spared, "token", "left").withColumn("frequent", F.col("frequent") & F.col("spared").isNull())
-    own = items.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "frequent")).alias("shared"))
+    own = items.groupBy("rid").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "frequent")).alias("shared"))
 
     def prefixes(batches):
         for b in batches:
             ids, tokens = [], []
-            for d, n, items in zip(b["doc_id"], b["n"], b["shared"]):
+            for d, n, items in zip(b["rid"], b["n"], b["shared"]):
                 p, late = prefix_length(n, percent), {x["rank"] for x in items if x["frequent"]}
                 order = sorted(range(listed(n, percent)), key=lambda r: (r in late, r))
                 chosen = {*order[:p]}
                 mine = [x["token"] for x in items if x["rank"] in chosen]
                 ids += [d] * len(mine)
                 tokens += mine
-            yield {"doc_id": ids, "token": tokens}
+            yield {"rid": ids, "token": tokens}
 
-    prefix = materialize(map_rows(own, prefixes, "doc_id long, token long"), "prefixes")
-    first = prefix.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    prefix = materialize(map_rows(own, prefixes, "rid long, token long"), "prefixes")
+    first = prefix.groupBy("token").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b")
     first = materialize(first.select("token", "a"), "first-texts")
-    return prefix.join(_small(first), "token").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+    return prefix.join(first, "token").select("a", F.col("rid").alias("b")).where("a <> b").distinct()
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -322,7 +319,7 @@ def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     for _, group in pdf.groupby("block", sort=False):
         if len(group) < 2:
             continue
-        ids, side = group["doc_id"].to_numpy(), group["side"].to_numpy()
+        ids, side = group["rid"].to_numpy(), group["side"].to_numpy()
         sets = [np.asarray(t, np.int64) for t in group["tokens"]]
         if (side == side[0]).all():
             if not group["same"].iloc[0]:
@@ -336,62 +333,105 @@ def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+_PAIR = ["pair", "block", "rid", "n", "tokens", "side", "same"]
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    return rows.select(_PAIR).groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long")
+
+
+def _tiled(placed: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """``placed`` (with block and cell) cut into bounded tiles: with ``tile``; and the tiles (block, cell, tile)."""
+    volume = F.greatest(F.sum(F.size("tokens")) / TILE_TOKENS, F.count("*") / TILE_TEXTS)
+    parts = materialize(placed.groupBy("block", "cell").agg(F.ceil(volume).cast("int").alias("parts")), "tile-parts")
+    name = lambda sub: F.concat_ws("/", F.lit(what), "block", "cell", sub)
+    tiles = parts.select("block", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"))
+    placed = placed.join(parts, ["block", "cell"]).withColumn("tile", name(F.pmod(F.xxhash64("rid"), "parts"))).drop("parts")
+    return placed, tiles.select("block", "cell", name(F.col("sub")).alias("tile"), (F.col("sub") == 0).alias("first"))
+
+
+def _tile_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, tile, other) of all tiles whose sizes allow links, those of ``left`` with those of ``right``."""
+    other = right.select("block", F.col("cell").alias("cell2"), F.col("tile").alias("other"), F.col("first").alias("first2"))
+    return left.join(other, "block").where("abs(cell2 - cell) <= 1")
+
+
+def _pair_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The members of both tiles of each pair (tile, other); a tile's pair with itself has them once."""
+    pairs = materialize(pairs.select("block", "tile", "other").withColumn("pair", F.concat_ws("|", "tile", "other")), "tile-pairs")
+    same = F.col("tile") == F.col("other")
+    first = left.join(pairs.select("pair", "tile", F.lit(0).alias("side"), same.alias("same")), "tile")
+    second = right.join(pairs.where(~same).select("pair", F.col("other").alias("tile"), F.lit(1).alias("side"), F.lit(False).alias("same")), "tile")
+    return first.select(_PAIR).union(second.select(_PAIR))
+
+
 def forest(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the (possible) links within each block of (doc_id, block, n, tokens)."""
+    """(a, b): a spanning forest of the (possible) links within each block of (rid, block, n, tokens)."""
     sizes = members.groupBy("block").agg(F.sum(F.size("tokens")).alias("tokens"), F.count("*").alias("texts"))
     sizes = materialize(sizes, "block-sizes")
-    large = sizes.where((F.col("tokens") > TILE_TOKENS) | (F.col("texts") > TILE_TEXTS)).select("block")
+    large = materialize(sizes.where((F.col("tokens") > TILE_TOKENS) | (F.col("texts") > TILE_TEXTS)).select("block"), "large-blocks")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     bins = max(1, 2 * total // TILE_TOKENS)
-    columns = ["pair", "block", "doc_id", "n", "tokens", "side", "same"]
-    small = members.join(_small(large), "block", "left_anti").withColumn("pair", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
-    small = small.withColumns({"side": F.lit(0), "same": F.lit(True)}).select(columns)
+    small = members.join(large, "block", "left_anti").withColumn("pair", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
+    found = materialize(_compared(small.withColumns({"side": F.lit(0), "same": F.lit(True)}), percent), "forest")
+    if large.isEmpty():
+        return found
 
     cell = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # linked sizes lie in a cell or its neighbours
-    placed = members.join(_small(large), "block").withColumn("cell", cell)
-    volume = F.greatest(F.sum(F.size("tokens")) / TILE_TOKENS, F.count("*") / TILE_TEXTS)
-    parts = materialize(placed.groupBy("block", "cell").agg(F.ceil(volume).cast("int").alias("parts")), "tile-parts")
-    tiles = parts.select("block", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"))
-    placed = placed.join(_small(parts), ["block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    other = tiles.select("block", F.col("cell").alias("cell2"), F.col("sub").alias("sub2"))
-    pairs = tiles.join(other, "block").where("cell2 - cell between 0 and 1 and (cell < cell2 or sub <= sub2)")
-    pairs = materialize(pairs.withColumn("pair", F.concat_ws("/", F.lit("t"), "block", "cell", "sub", "cell2", "sub2")), "tile-pairs")
-    same = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
-    sides = pairs.select("pair", "block", "cell", "sub", F.lit(0).alias("side"), same.alias("same"))
-    sides = sides.union(pairs.where(~same).select("pair", "block", "cell2", "sub2", F.lit(1), F.lit(False)))
-    tiled = placed.join(_small(sides), ["block", "cell", "sub"]).select(columns)
-    return materialize(small.union(tiled).groupBy("pair").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "forest")
+    placed, tiles = _tiled(members.join(large, "block").withColumn("cell", cell), "t")
+    placed, tiles = materialize(placed, "tiled"), materialize(tiles, "tiles")
+    # Each tile with itself, and with the first tile of its own and of either neighbouring cell.
+    once = (F.col("tile") <= F.col("other")) & (F.col("first") | F.col("first2"))
+    round1 = _tile_pairs(tiles, tiles).where((F.col("tile") == F.col("other")) | once)
+    found1 = materialize(_compared(_pair_rows(round1, placed, placed), percent), "forest")
+    # What is not in its block's largest component so far is compared with itself and with the rest.
+    ids = placed.select("rid", "block", "tile")
+    comps = components(found1).withColumnRenamed("v", "rid")
+    ids = materialize(ids.join(comps, "rid", "left").select("rid", "block", F.coalesce("component", "rid").alias("component")), "tied")
+    most = ids.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("component", F.struct("c", "component")).alias("component"))
+    loose = materialize(ids.join(materialize(most, "largest"), ["block", "component"], "left_anti").select("rid"), "loose")
+    rest, rest_tiles = _tiled(placed.drop("tile").join(loose, "rid"), "r")
+    rest, rest_tiles = materialize(rest, "rest"), materialize(rest_tiles, "rest-tiles")
+    tied = placed.join(loose, "rid", "left_anti")
+    own = _tile_pairs(rest_tiles, rest_tiles).where("tile <= other")
+    found2 = _compared(_pair_rows(own, rest, rest), percent).union(_compared(_pair_rows(_tile_pairs(rest_tiles, tiles), rest, tied), percent))
+    return found.union(found1).union(materialize(found2, "forest"))
 
 
 def _blocks(edges: DataFrame, name: str) -> DataFrame:
-    return materialize(components(edges).select(F.col("v").alias("doc_id"), F.col("component").alias("block")), name)
+    return materialize(components(edges).select(F.col("v").alias("rid"), F.col("component").alias("block")), name)
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, component, smallest) of every row of keyed documents: the component as an integer
+    (null for empty sets), and the smallest doc_id in it."""
     rows = materialize(text_sets(docs, width, percent), "sets")
     names = class_names(rows)
     blocks = _blocks(candidate_edges(rows, names, percent), "blocks")
 
-    listers = materialize(names.join(blocks.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "rep", "block"), "listers")
-    heads = rows.where("head is not null").select("doc_id", "n", F.col("head").alias("tokens")).join(_small(listers), "doc_id")
-    heads = materialize(heads.select(F.col("rep").alias("doc_id"), "block", "n", "tokens"), "heads")
-    blocks = _blocks(forest(heads, percent), "blocks")
+    heads = rows.where("head is not null").select("rid", "n", F.col("head").alias("tokens")).join(blocks, "rid")
+    blocks = _blocks(forest(materialize(heads.select("rid", "block", "n", "tokens"), "heads"), percent), "blocks")
 
     def whole(batches):
         for b, at, part in _sliced(batches):
             sets = shingle_sets(part, width)
-            yield {"doc_id": [b["doc_id"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
+            yield {"rid": [b["rid"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
+
+    chosen = materialize(rows.select("rid", FILE, ROW).join(blocks, "rid"), "chosen")
+    texts = docs.select(FILE, ROW, "text").join(chosen, [FILE, ROW]).select("rid", "block", "text")
+    members = materialize(map_rows(texts, whole, "rid long, block long, n int, tokens array<long>"), "members")
+    found = components(forest(members, percent)).withColumnRenamed("v", "rid")
+    named = names.join(found, "rid", "left").select("s1", "s2", "smallest", F.coalesce("component", "rid").alias("component"))
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("component").agg(F.min("smallest").alias("smallest")), "smallest")
+    named = materialize(named.drop("smallest").join(least, "component"), "components")
+    return rows.select(FILE, ROW, "doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2")
+
 
-    texts = docs.select("doc_id", "text").join(_small(blocks), "doc_id")
-    members = materialize(map_rows(texts, whole, "doc_id long, block long, n int, tokens array<long>"), "members").where("n > 0")
-    found = components(forest(members, percent))
-    reps = rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    named = materialize(named, "components")
-    keyed = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    out = keyed.join(named, "class", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    out = linked(keyed(docs), width, percent)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 ORACLE_SQL = r"""
@@ -411,7 +451,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Documents, all columns, one of each group: that with the smallest doc_id."""
-    from txlog.llm.common import drop_ids
-
-    return drop_ids(docs, join(docs, width, percent).where("doc_id <> component_id"))
+    """Documents, all columns, one row of each component: that with the smallest doc_id (of several, or
+    without any, the first in the table's files).  Texts without words are components of their own."""
+    rows = keyed(docs)
+    tied = materialize(linked(rows, width, percent).where("component is not null").select(FILE, ROW, "doc_id", "component"), "tied")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)
+    best = tied.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("c")).where("c > 1")
+    best = materialize(best.select("component", F.col(f"best.{FILE}").alias("file"), F.col(f"best.{ROW}").alias("row")), "kept")
+    losers = tied.join(best, "component").where((F.col(FILE) != F.col("file")) | (F.col(ROW) != F.col("row")))
+    return drop_rows(rows, losers)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, drop_ids, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, words
 
 ORDER, BITS = 5, 21
 ALPHABET = 0x110000
@@ -284,27 +284,27 @@ def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
                 sums.append(total)
                 sizes.append(n)
             empty = np.zeros(0)
-            yield {k: b[k] for k in ("doc_id", "lang", "trusted", "held", "mark")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
+            yield {k: b[k] for k in (FILE, ROW, "doc_id", "lang", "trusted", "held")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
 
-    rows = docs.select("doc_id", "lang", "text", "trusted", "held", F.xxhash64("text").alias("mark"))
-    return map_rows(rows, run, "doc_id long, lang string, trusted boolean, held boolean, mark long, logp double, n_chars long")
+    rows = docs.select(FILE, ROW, "doc_id", "lang", "text", "trusted", "held")
+    return map_rows(rows, run, f"{FILE} long, {ROW} long, doc_id long, lang string, trusted boolean, held boolean, logp double, n_chars long")
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, text, whether labels call the document good, and whether it is held back from the counts."""
+    """The key, doc_id, lang, text, whether labels call the document good, and whether it is held back from the counts."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("good", F.lit(True))
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
-    docs = docs.select("doc_id", "lang", "text").join(good, "doc_id", "left")
-    docs = docs.select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
+    docs = docs.select(FILE, ROW, "doc_id", "lang", "text").join(good, "doc_id", "left")
+    docs = docs.select(FILE, ROW, "doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
     many = docs.where("trusted").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
     docs = _join(docs, materialize(many, "trusted-languages"), ["lang"], "left")
     drawn = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    return docs.select("doc_id", "lang", "text", "trusted", (F.col("trusted") & F.col("n").isNotNull() & drawn).alias("held"))
+    return docs.select(FILE, ROW, "doc_id", "lang", "text", "trusted", (F.col("trusted") & F.col("n").isNotNull() & drawn).alias("held"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, held, n_chars and perplexity of every document (null without words)."""
+    """The key, doc_id, lang, trusted, held, n_chars and perplexity of every keyed document (null without words)."""
     rows = with_trust(docs, labels)
     grams = materialize(corpus_grams(rows.withColumn("trusted", F.expr("trusted and not held"))), "grams")
     p = probabilities(grams)
@@ -315,11 +315,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if shards > 1:
         for x in parts[1:]:
             got = got.union(x)
-        # Rows that repeat entirely share a key: their sums are divided, and the rows brought back.
-        got = got.groupBy("doc_id", "lang", "trusted", "held", "mark").agg(F.sum("logp").alias("logp"), F.max("n_chars").alias("n_chars"), (F.count("*") / shards).cast("int").alias("copies"))
-        got = got.withColumn("logp", F.col("logp") / F.col("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        got = got.groupBy(FILE, ROW, "doc_id", "lang", "trusted", "held").agg(F.sum("logp").alias("logp"), F.max("n_chars").alias("n_chars"))
     ppl = F.when(F.col("n_chars") > 0, F.exp(-F.col("logp") / F.col("n_chars")))
-    return materialize(got.select("doc_id", "lang", "trusted", "held", "n_chars", ppl.alias("perplexity")), "perplexity")
+    return materialize(got.select(FILE, ROW, "doc_id", "lang", "trusted", "held", "n_chars", ppl.alias("perplexity")), "perplexity")
 
 
 def judge(scored: DataFrame) -> DataFrame:
@@ -337,9 +335,12 @@ def judge(scored: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(perplexities(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs = keyed(documents(spark, sf_dir))
+    return judge(perplexities(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop(FILE, ROW)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, all columns."""
-    return drop_ids(docs, judge(perplexities(docs, labels)).where(~F.col("kept")))
+    """The documents that the classifier keeps, all columns.  Each row is judged for itself, also where ids
+    are null or repeat."""
+    rows = keyed(docs)
+    return drop_rows(rows, judge(perplexities(rows, labels)).where(~F.col("kept")))

@@ -20,10 +20,12 @@ or of all rows.  Repeated rows are judged each; extra columns of the input are d
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, drop_ids, materialize
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, materialize
 
 STATS = ["log_word_chars", "symbols", "dup_lines", "repeats"]
 #: Twice the noise of a statistic that hardly varies in clean text; ``scale`` is 0.25 there, which halves it.  The root of a
@@ -39,7 +41,7 @@ _D = len(STATS)
 _RES = 64.0  # histogram cells per unit
 
 
-def base_record(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every text."""
     text = F.coalesce("text", F.lit(""))
     blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
@@ -200,9 +202,9 @@ def judge(records: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     return got.withColumn("kept", ~F.col("base_failed") & ~out)
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """Base records with language and source, written once."""
-    return materialize(base_record(docs, ["lang", "source"]), "base-records")
+def records(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Base records with language, source and ``extra`` columns, written once."""
+    return materialize(base_record(docs, ["lang", "source", *extra]), "base-records")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,5 +214,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns."""
-    return drop_ids(docs, judge(records(docs)).where(~F.col("kept")))
+    """The documents that the rules keep, all columns.  Each row is judged for itself, also where ids are
+    null or repeat."""
+    rows = keyed(docs)
+    return drop_rows(rows, judge(records(rows, [FILE, ROW])).where(~F.col("kept")))

@@ -17,9 +17,9 @@ All groupings are aggregates that combine before they shuffle, or joins that Spa
 a passage that a third of all texts share makes no large task.
 
 Nulls: a null text has no words (0 words, digest of the empty string).  Texts shorter than a
-window keep all words.  Rows that repeat entirely count as two places.  doc_id names a text: rows
-that share an id but not a text share their spans; null ids are told apart by their texts.  Extra
-columns are dropped by ``removed`` and kept by ``dedup_documents``.
+window keep all words.  Rows are told apart by their places in the table, so null, repeated or shared
+ids make no difference, and rows that repeat entirely count as two places.  Extra columns, whatever
+their names, are dropped by ``removed`` and kept by ``dedup_documents``.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, keyed, map_rows, materialize, words
 from txlog.llm.vocab import Bounded
 
 WINDOW, K = 35, 8
@@ -91,10 +91,6 @@ def segments(h: Hashes, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndar
     return owner[first], a - (ends - sizes)[owner[first]], count, low[first].view(np.int64), span.view(np.int64)
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))).alias("rid")
-
-
 def _cache() -> Bounded:
     return Bounded(word_hash, 500_000)
 
@@ -104,63 +100,65 @@ def _hashed(cache: Bounded, w: list[str]) -> np.ndarray:
 
 
 def segment_table(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(kmer, span, rid, at, n) of every segment."""
+    """(kmer, span, file, row, at, n) of every segment of keyed documents."""
 
     def run(batches):
         cache = _cache()
         for b in batches:
             part, ids, size = [], [], 0
             last = len(b["text"]) - 1
-            for i, (rid, text) in enumerate(zip(b["rid"], b["text"])):
+            for i, (file, row, text) in enumerate(zip(b[FILE], b[ROW], b["text"])):
                 w = words(text)
                 if len(w) >= window:
                     part.append(_hashed(cache, w))
-                    ids.append(rid)
+                    ids.append((file, row))
                     size += len(w)
                 if part and (size > _SLICE or i == last):
                     own, at, n, kmer, span = segments(Hashes(np.concatenate(part)), np.array([len(p) for p in part]), window, k)
-                    yield {"kmer": kmer, "span": span, "rid": np.array(ids, np.int64)[own], "at": at.astype(np.int32), "n": n.astype(np.int32)}
+                    key = np.array(ids, np.int64)[own]
+                    yield {"kmer": kmer, "span": span, "file": key[:, 0], "row": key[:, 1], "at": at.astype(np.int32), "n": n.astype(np.int32)}
                     part, ids, size = [], [], 0
                     cache.trim()
 
-    return map_rows(docs.select(_key(docs), "text"), run, "kmer long, span long, rid long, at int, n int")
+    return map_rows(docs.select(FILE, ROW, "text"), run, "kmer long, span long, file long, row long, at int, n int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(rid, spans): per text the stretches (first window, windows) whose windows occur again."""
+    """(file, row, spans) of keyed documents: the stretches (first window, windows) whose windows occur again."""
     table = materialize(segment_table(docs, window, k), "segments")
     nodes = table.groupBy("kmer").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-    nodes = nodes.where("n > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branching"))
+    # Written first: were they aggregated in the same job, on the same key, Spark could not split a hot k-mer in the join.
+    nodes = materialize(nodes.where("n > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
     live = materialize(table.join(nodes, "kmer"), "repeated-segments")
-    paths = live.where("not branching").select("rid", "at", "n")
+    paths = live.where("not branching").select("file", "row", "at", "n")
 
-    edges = live.where("branching").groupBy("kmer", "span", "n").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at")).alias("source"))
+    edges = live.where("branching").groupBy("kmer", "span", "n").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "at")).alias("source"))
     edges = materialize(edges, "edges")
-    again = live.where("branching").join(edges.where("copies > 1").select("kmer", "span", "n"), ["kmer", "span", "n"], "left_semi").select("rid", "at", "n")
+    again = live.where("branching").join(edges.where("copies > 1").select("kmer", "span", "n"), ["kmer", "span", "n"], "left_semi").select("file", "row", "at", "n")
 
-    asked = edges.select(F.col("source.rid").alias("rid"), F.struct(F.col("source.at").alias("at"), "n", "copies", "kmer").alias("s"))
-    asked = asked.groupBy("rid").agg(F.collect_list("s").alias("asked"))  # a text's own segments: no more than it has words
+    asked = edges.select("source.file", "source.row", F.struct(F.col("source.at").alias("at"), "n", "copies", "kmer").alias("s"))
+    asked = asked.groupBy("file", "row").agg(F.collect_list("s").alias("asked"))  # a text's own segments: no more than it has words
 
     def window_hashes(batches):
         cache = _cache()
         for b in batches:
-            for rid, text, spans in zip(b["rid"], b["text"], b["asked"]):
+            for file, row, text, spans in zip(b["file"], b["row"], b["text"], b["asked"]):
                 h = Hashes(_hashed(cache, words(text)))
                 n = np.array([s["n"] for s in spans])
                 first = np.repeat([s["at"] for s in spans], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ok = first + window <= len(h.sums) - 1  # rows that share an id may be shorter
                 copies, kmer = np.repeat([s["copies"] for s in spans], n), np.repeat([s["kmer"] for s in spans], n)
-                first, copies, kmer = first[ok], copies[ok], kmer[ok]
-                yield {"kmer": kmer, "hash": h.spans(first, first + window).view(np.int64), "copies": copies, "rid": np.full(len(first), rid, np.int64), "at": first.astype(np.int32)}
+                hashes = h.spans(first, first + window).view(np.int64)
+                yield {"kmer": kmer, "hash": hashes, "copies": copies, "file": np.full(len(first), file), "row": np.full(len(first), row), "at": first.astype(np.int32)}
             cache.trim()
 
-    texts = docs.select(_key(docs), "text").join(asked, "rid")
-    found = materialize(map_rows(texts, window_hashes, "kmer long, hash long, copies long, rid long, at int"), "windows")
+    texts = docs.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "text").join(asked, ["file", "row"])
+    found = materialize(map_rows(texts, window_hashes, "kmer long, hash long, copies long, file long, row long, at int"), "windows")
     twice = found.groupBy("kmer", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("kmer", "hash")
-    single = found.where("copies = 1").join(twice, ["kmer", "hash"], "left_semi").select("rid", "at", F.lit(1).alias("n"))
+    twice = materialize(twice, "repeated-windows")
+    single = found.where("copies = 1").join(twice, ["kmer", "hash"], "left_semi").select("file", "row", "at", F.lit(1).alias("n"))
 
     marks = paths.union(again).union(single)
-    return marks.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    return marks.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
 
 
 def _covered(n: int, spans: list | None, window: int) -> np.ndarray:
@@ -186,29 +184,33 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
                 out.append((len(w), int(gone.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
             yield {"doc_id": b["doc_id"]} | dict(zip(("n_words", "n_removed", "kept_sha256"), zip(*out)))
 
-    spans = repeated_spans(docs, window, k)
-    rows = docs.select("doc_id", "text", _key(docs)).join(spans, "rid", "left").select("doc_id", "text", "spans")
-    return map_rows(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = keyed(docs)
+    spans = repeated_spans(rows, window, k)
+    texts = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "doc_id", "text").join(spans, ["file", "row"], "left")
+    return map_rows(texts.select("doc_id", "text", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Documents, all columns, with the repeated words cut out of their texts (words then joined by one
     space) and n_chars, where there is one, counted again; texts without repeats stay as they are."""
     names = docs.columns
+    own = [f"v{i}" for i in range(len(names))]  # columns go by their places, whatever they are called
+    at = own[names.index("text")]
 
     def run(batches):
         for b in batches:
-            texts = []
-            for text, spans in zip(b["text"], b["spans"]):
+            texts = b[at]
+            for i, (text, spans) in enumerate(zip(texts, b["spans"])):
                 if spans:
                     w = words(text)
-                    text = " ".join([x for x, g in zip(w, _covered(len(w), spans, window)) if not g])
-                texts.append(text)
-            yield {c: b[c] for c in names} | {"text": texts}
-
-    rows = docs.withColumn("rid", _key(docs)).join(repeated_spans(docs, window, k), "rid", "left").drop("rid")
-    out = map_rows(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+                    texts[i] = " ".join([x for x, g in zip(w, _covered(len(w), spans, window)) if not g])
+            yield {v: b[v] for v in own}
+
+    rows = keyed(docs)
+    placed = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), *[F.col("`" + c.replace("`", "``") + "`").alias(v) for c, v in zip(names, own)])
+    texts = placed.join(repeated_spans(rows, window, k), ["file", "row"], "left").select(*own, "spans")
+    out = map_rows(texts, run, ", ".join(f"{v} {f.dataType.simpleString()}" for v, f in zip(own, docs.schema))).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 ORACLE_SQL = r"""
