@@ -24,16 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder; it goes with the innermost ``scratch_scope``, or with ``keep`` with the one around that."""
     path = f"{shared_dir(spark)}/txlog/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append((spark, path))
+    for scope in _SCOPES[-1 - keep : len(_SCOPES) - keep]:
+        scope.append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,7 +48,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
-    """Scratch tables made inside are deleted at the end: nothing that is read later may depend on them."""
+    """Scratch tables made inside are deleted at the end: what is read later was made with ``keep``."""
     _SCOPES.append([])
     try:
         yield
