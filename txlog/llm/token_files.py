@@ -13,7 +13,8 @@ Files lie in a folder that driver and executors share.  A task writes under a na
 and renames at the end, so a task that runs again leaves the same file.
 
 Nulls: a null text is the empty one; rows with a null doc_id come first.  Ties in doc_id follow
-the text's order.  Extra columns are dropped; an empty table gives no rows.
+the rows' places in the table, and go on in the next file where one is full.  Extra columns are
+dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +22,20 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, map_rows, materialize, scratch_path
+from txlog.llm.common import FILE, ROW, documents, keyed, map_rows, materialize, scratch_path
 from txlog.llm.encode import chunk_encoder
 
 MAGIC = b"TXIDS001"
 BLOCK_TOKENS = 1 << 16
+#: Bytes of text (and of index) that go to a file; with little text, files are smaller so that all cores have some.
+FILE_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+_READ_DOCS = 4096  # rows given on at once when files are read
 _NULL = -(1 << 63)
 
 
@@ -143,9 +148,11 @@ def _file_system(url: str):
 def write_files(df: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
     """Write the ids of all texts in ascending doc_id order; returns the manifest
     (file, ordinal, n_docs, n_tokens, start: tokens of all files before)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = keyed(df).select("doc_id", "text", FILE, ROW)
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 1
+    parts = max(-(-size // FILE_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    # Files are ranges of a total order, so that rows without an id, or with the same, may be split.
+    rows = rows.repartitionByRange(parts, "doc_id", FILE, ROW).sortWithinPartitions("doc_id", FILE, ROW).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -186,11 +193,12 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 files, root = _file_system(folder)
                 size = files.get_file_info(f"{root}/{name}").size
                 with files.open_input_file(f"{root}/{name}") as stream:
-                    rows = [(d, base + s, len(x), zlib.crc32(x.tobytes())) for d, s, x in FileReader(stream, size)]
-                yield dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows)))
+                    rows = ((d, base + s, len(x), zlib.crc32(x.tobytes())) for d, s, x in FileReader(stream, size))
+                    while some := [*islice(rows, _READ_DOCS)]:
+                        yield dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*some)))
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = manifest.select("file", "start").repartition(parts, "file")
+    # As many tasks as files: one row each, however small the manifest is.
+    files = manifest.select("file", "start").repartition(max(1, manifest.count()), "file")
     return map_rows(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
