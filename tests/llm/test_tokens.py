@@ -87,6 +87,80 @@ def test_groups_respect_limits(limits):
     assert all((s == 1).all() for s in seen)
 
 
+def brute_pack(tokens, loss, limits):
+    """The dot-product heuristic in plain loops, before short sequences are cut; the last open example
+    takes the place of one that is finished."""
+    open_ = [[i, 0] for i, t in enumerate(tokens) if t > 0]
+    capacity, out = (limits.tokens, limits.segments, limits.loss), []
+    while open_:
+        room, sequence = [*capacity], []
+        while min(room[:2]) > 0 and open_:
+            best = None
+            for at, (i, start) in enumerate(open_):
+                n = 0
+                while start + n < tokens[i] and n < room[0] and max(0, start + n + 1 - (tokens[i] - min(tokens[i], loss[i]))) - max(0, start - (tokens[i] - min(tokens[i], loss[i]))) <= room[2]:
+                    n += 1
+                bears = max(0, start + n - (tokens[i] - loss[i])) - max(0, start - (tokens[i] - loss[i]))
+                score = sum(d / c * r / c for d, r, c in zip((n, 1, bears), room, capacity))
+                if n and (best is None or score > best[0] + 1e-12):
+                    best = (score, at, n, bears)
+            if best is None:
+                break
+            _, at, n, bears = best
+            i, start = open_[at]
+            sequence.append((i, start, n))
+            room = [room[0] - n, room[1] - 1, room[2] - bears]
+            open_[at][1] += n
+            if open_[at][1] == tokens[i]:
+                open_[at] = open_[-1]
+                open_.pop()
+        out.append(sequence)
+    return out
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 4, 40), packing.Limits(64, 3, 64), packing.Limits(100, 64, 90), packing.Limits(32, 1, 32)])
+def test_packing_equals_brute_force(limits, monkeypatch):
+    """Each of the three limits is what ends some sequence."""
+    monkeypatch.setattr(packing, "_at_powers", lambda seq: [seq])
+    rng = np.random.default_rng(5)
+    ended = set()
+    for _ in range(8):
+        tokens = rng.integers(0, int(rng.choice([10, 40, 200])), 80)
+        loss = np.maximum(0, tokens - int(rng.choice([0, 3, 30])))
+        got = packing.pack_group(tokens, loss, limits)
+        assert got == brute_pack(tokens.tolist(), loss.tolist(), limits)
+        for seq in got[:-1]:
+            bears = sum(max(0, s + n - max(tokens[i] - loss[i], s)) for i, s, n in seq)
+            full = (sum(n for _, _, n in seq) == limits.tokens, len(seq) == limits.segments, bears == limits.loss)
+            assert any(full)
+            ended |= {k for k, f in enumerate(full) if f}
+    if limits.tokens == 64:
+        assert ended == {0, 1, 2} or limits.loss == 64
+
+
+def test_default_limits_bind(spark):
+    values = ["word " * n for n in [*range(1, 40), *[5] * 1000, *[20_000] * 3, *[300] * 60]]
+    rows = packing.pack(frame(spark, values).coalesce(1), WORD, 2).collect()
+    per = {}
+    for r in rows:
+        s = per.setdefault(r["sequence_id"], [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + r["length"], s[1] + 1, s[2] + r["loss_tokens"]
+        first = int(r["doc_tokens"] * packing.PROMPT)
+        assert r["loss_tokens"] == max(0, r["start"] + r["length"] - first) - max(0, r["start"] - first)
+    limits = packing.Limits()
+    assert all(t <= limits.tokens and n <= limits.segments and b <= limits.loss for t, n, b in per.values())
+    assert any(t == limits.tokens and b == limits.loss for t, n, b in per.values())
+    assert sum(t for t, _, _ in per.values()) == sum(len(v.split()) + 1 for v in values)
+
+
+def test_most_tokens_lie_in_full_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(docs, WORD, 2).groupBy("sequence_id").agg({"length": "sum", "loss_tokens": "sum"}).toPandas()
+    full = got[got["sum(length)"] == packing.Limits().tokens]
+    print("share", full["sum(length)"].sum() / got["sum(length)"].sum(), len(got), "loss bound", (got["sum(loss_tokens)"] == packing.Limits().loss).sum())
+    assert full["sum(length)"].sum() > 0.9 * got["sum(length)"].sum()
+
+
 def test_packing_places_every_id_once(spark):
     values = [None, "", "short text", "long " * 9000, *["some words of a text " * k for k in range(1, 40)]]
     rows = packing.pack(frame(spark, values).repartition(3), WORD, 2).collect()
@@ -156,6 +230,18 @@ def test_files_in_order_of_ids(spark):
     assert token_files.read_files(token_files.write_files(frame(spark, []), folder, WORD, 1), folder).count() == 0
 
 
+def test_files_split_hot_ids(spark, monkeypatch):
+    """Rows without an id, and equal rows, go to several files of about the size asked for."""
+    monkeypatch.setattr(token_files, "FILE_BYTES", 20_000)
+    df = spark.createDataFrame([(None if i % 3 else 7, "same text " * 20, "x", i, "y") for i in range(600)], "doc_id long, text string, n_tokens string, start int, file string")
+    folder = scratch_path(spark, "t")
+    manifest = token_files.write_files(df, folder, WORD, 1)
+    assert manifest.count() >= 4 and manifest.selectExpr("max(n_docs)").first()[0] < 250
+    got = sorted(token_files.read_files(manifest, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 400 + [7] * 200
+    assert [r["start"] for r in got] == [41 * i for i in range(600)]
+
+
 def test_words():
     assert words(None) == [] and words(" \t\n") == []
     assert words("a\x1cb\xa0c d\x0be f") == ["a\x1cb\xa0c", "d", "e f"]

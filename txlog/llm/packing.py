@@ -1,10 +1,16 @@
 """Vector bin packing of token sequences.
 
 An example has a demand vector (tokens, one segment, loss-bearing tokens); a sequence has a
-capacity for each.  The dot-product heuristic fills a sequence with the example whose demand,
-weighted by what is left, has the largest dot product with the remaining capacity.  Where no
-whole example fits, the best one is cut, so a sequence ends full unless its segments run out.
-What is left when a group of examples ends is cut at powers of two, which need no padding.
+capacity for each.  The dot-product heuristic fills a sequence with the example of which the part
+that fits, from its first open token on, has the largest dot product with what is left of the
+capacities, both in units of the capacities.  A part ends where the example, the tokens or the
+loss-bearing tokens of the sequence end.  A sequence that ends before its tokens do, as its segments
+or loss-bearing tokens ran out or the group had nothing left, is cut at powers of two, which need
+no padding.
+
+The first ``prompt`` share of an example's tokens bears no loss, all others do.  By default that is a
+quarter, and a sequence holds 3584 loss-bearing tokens of 4096, so that the ends of long examples
+have to be placed along with beginnings.
 
 A group is a bounded stretch of one input partition (``GROUP_DOCS`` rows or ``GROUP_TOKENS``
 tokens), so packing needs no shuffle, and no task holds more than a group and one text.
@@ -27,14 +33,15 @@ from txlog.llm.encode import chunk_encoder
 
 GROUP_DOCS = 2048
 GROUP_TOKENS = 4_000_000
+PROMPT = 0.25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 256
-    loss: int = 4096
+    segments: int = 64
+    loss: int = 3584
 
 
 def pack_group(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[list[tuple[int, int, int]]]:
@@ -44,32 +51,28 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> list[lis
     after its prompt)."""
     which = np.flatnonzero(tokens > 0)
     rest = tokens[which].astype(np.int64)  # tokens not placed yet; an example is placed from its start
-    need = np.minimum(rest, loss[which])  # of them, loss-bearing
+    free = rest - np.minimum(rest, loss[which])  # of them, before the loss-bearing ones
     out: list[list[tuple[int, int, int]]] = []
     n = len(which)
     while n:
         left, segments, left_loss = limits.tokens, limits.segments, limits.loss
         sequence: list[tuple[int, int, int]] = []
         while left > 0 and segments > 0 and n:
-            a, b = left / limits.tokens**2, left_loss / limits.loss**2  # the segment's term is the same for all
-            score = rest[:n] * a + need[:n] * b
-            fits = (rest[:n] <= left) & (need[:n] <= left_loss)
-            at = int(np.argmax(np.where(fits, score, -1.0)))
-            whole = bool(fits[at])
-            if not whole:
-                at = int(np.argmax(score))
-            r, k = int(rest[at]), int(need[at])
-            length = r if whole else min(r, left, r - k + left_loss)
+            fits = np.minimum(np.minimum(rest[:n], left), free[:n] + left_loss)
+            bears = np.maximum(0, fits - free[:n])
+            score = fits * (left / limits.tokens**2) + segments / limits.segments**2 + bears * (left_loss / limits.loss**2)
+            at = int(np.argmax(np.where(fits > 0, score, -1.0)))
+            length = int(fits[at])
             if length == 0:
                 break
             i = int(which[at])
-            sequence.append((i, int(tokens[i]) - r, length))
-            bears = max(0, length - (r - k))
-            left, segments, left_loss = left - length, segments - 1, left_loss - bears
-            rest[at], need[at] = r - length, k - bears
-            if r == length:
+            sequence.append((i, int(tokens[i] - rest[at]), length))
+            left, segments, left_loss = left - length, segments - 1, left_loss - int(bears[at])
+            rest[at] -= length
+            free[at] = max(0, int(free[at]) - length)
+            if rest[at] == 0:
                 n -= 1
-                which[at], rest[at], need[at] = which[n], rest[n], need[n]
+                which[at], rest[at], free[at] = which[n], rest[n], free[n]
         out.append(sequence)
     return [s for seq in out for s in ([seq] if sum(p[2] for p in seq) == limits.tokens else _at_powers(seq))]
 
@@ -92,10 +95,9 @@ def _at_powers(sequence: list[tuple[int, int, int]]) -> Iterator[list[tuple[int,
         yield part
 
 
-def pack(df: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_share: float = 1.0) -> DataFrame:
-    """One row per piece: its example and place in it, its sequence and offset there, and its ids' crc32.
-
-    ``loss_share`` is the part of an example's tokens, from its end, that bears loss (1: all)."""
+def pack(df: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt: float = PROMPT) -> DataFrame:
+    """One row per piece: its example and place in it, its sequence and offset there, its ids' crc32, and
+    its loss-bearing tokens: those beyond the first ``prompt`` share of the example."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,7 +108,7 @@ def pack(df: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_co
         def flush():
             nonlocal base, docs, ids, held
             tokens = np.array([len(x) // 4 for x in ids], np.int64)
-            loss = np.ceil(tokens * loss_share).astype(np.int64)
+            loss = tokens - (tokens * prompt).astype(np.int64)
             rows: list[tuple] = []
             for sequence in pack_group(tokens, loss, limits):
                 offset = 0
