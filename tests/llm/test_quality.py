@@ -259,3 +259,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 100 and (held.predicted == held.toxic).mean() > 0.95
     clean = toxicity.scores(docs, toxicity.fit(docs, table.limit(0))).toPandas()
     assert (clean.predicted == 0).all()
+
+
+def test_convolution_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, 500, (int(n), toxicity._PARTS)).astype(np.int32) for n in [0, 1, 2, 3, 40, 7]]
+    m = toxicity.train(rows * 10, np.tile([0.0, 1.0, 0.0, 1.0, 1.0, 0.0], 10), epochs=2)
+    place = {b: i for b, i in m.index.items()}
+    known = [np.array([[place.get(int(b), 0) for b in w] for w in r], np.int32).reshape(-1, toxicity._PARTS) for r in rows]
+    for r, got in zip(known, toxicity.logits(m, known)):
+        words = [sum((m.embedding[b] for b in w), np.zeros(toxicity.DIM)) for w in r] or [np.zeros(toxicity.DIM)]
+        hidden = []
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(words[i + j] @ m.filters[width][j][:, f]) for j in range(width) if i + j < len(words)) for i in range(len(words)))
+                hidden.append(max(0.0, best + float(m.bias[width][f])))
+        want = sum(h * float(o) for h, o in zip(hidden, m.out)) + m.out_bias
+        assert abs(want - got) < 1e-3
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    """Rows never used in the fit or its calibration: most toxic ones found, hardly a clean one flagged."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.scores(docs, toxicity.fit(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    print("toxic found", toxic.predicted.sum(), len(toxic), "clean flagged", clean.predicted.sum(), len(clean))
+    assert toxic.predicted.mean() >= 0.9 and clean.predicted.mean() < 0.01
+
+
+def test_toxicity_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, score string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scores(docs, toxicity.fit(docs, labels)).count() == 0
