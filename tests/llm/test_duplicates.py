@@ -222,6 +222,38 @@ def test_embeddings(spark, tile, monkeypatch):
     assert {v: (r["n_links"], r["component_id"], r["kept"]) for v, r in got.items()} == {v: (links[v], c, v == c) for v, c in want.items()}
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 5e-324])
+def test_embeddings_of_any_size(spark, scale):
+    x = [3.0, 4.0, 1.0]
+    rows = [(1, [v * scale for v in x], 1), (2, [v * scale * 2 for v in x], 1), (3, [-v * scale for v in x], 1), (4, x, 1), (5, [float("inf"), 1.0, 1.0], 1), (None, x, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dups.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    tied = {1: (2, 1), 2: (2, 1), 4: (2, 1)}
+    assert got == tied | {3: (0, 3), 5: (0, 5), None: (0, None)}
+
+
+def test_pivots_exclude_tiles_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dups, "TILE", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    x = np.repeat(centres, 26, axis=0) + rng.normal(size=(312, 24)) * 0.08
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    sent = []
+    plain = embedding_dups.materialize
+    monkeypatch.setattr(embedding_dups, "materialize", lambda df, name: sent.append((name, plain(df, name))) or sent[-1][1])
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dups.links(df).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    tables = dict(sent)
+    tiles = tables["tile-angles"].count()
+    assert tables["tile-pairs"].count() < 0.5 * tiles * (tiles + 1) / 2
+
+
+def test_empty_embeddings(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, n_links long, kept string")
+    assert embedding_dups.links(empty).count() == 0
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 64))

@@ -5,16 +5,22 @@ is kept per vector.  Two vectors' true cosine then lies within err_a + err_b + e
 the quantised product, so a tile product settles most pairs, and only pairs that may reach the
 threshold are computed again in double precision.
 
-Rows with equal vectors are one class.  Classes of a label are dealt to tiles of about
-``TILE`` by a grid over leading coordinates, finer the more classes there are; tiles whose
-bounding boxes lie further apart than the threshold allows are never multiplied.  Every other
-pair of tiles is one small group, so neither a hot label nor a hot vector makes a large task.
-A tile pair returns link counts and a spanning forest of its links, never the pairs.
+Rows with equal vectors are one class.  Classes of a label are dealt to tiles of at most ``TILE`` by
+the nearest of up to ``PIVOTS`` vectors, more of them the more classes there are.  A tile knows the
+least and largest angle of its vectors to every pivot: by the triangle inequality, tiles whose angles
+to some pivot lie further apart than the threshold's are never multiplied.  Every other pair of tiles
+is one bounded group, so neither a hot label nor a hot vector makes a large task.  A tile pair
+returns link counts and a spanning forest of its links, never the pairs.
+
+Vectors without any structure leave the pivots nothing to exclude; a label's tile products then grow
+with the square of its classes, and each tile is sent to all others of the label.
 
 Vectors link only where labels are equal and not null and dimensions are equal.  Vectors that
 are null, empty or zero, hold nulls or non-finite components, or have no vec_id link with
-nothing: 0 links, a component of their own.  Rows that repeat a vector link with each other;
-a vec_id that several rows carry is one vertex.  Extra columns of the input are dropped.
+nothing: 0 links, a component of their own.  Vectors are scaled by their largest component
+before their norm is taken, so very large and very small ones link like others.  Rows that repeat a
+vector link with each other; a vec_id that several rows carry is one vertex.  Extra columns of the
+input are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,23 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import materialize
+from txlog.llm.common import map_rows, materialize
 from txlog.llm.components import components
 
-TILE = 1024
-BOX = 8  # leading coordinates of a tile's bounding box
+TILE = 4096
+TILE_BYTES = 32 << 20  # of a tile's vectors in double precision
+PIVOTS = 16
+_STEP = 1024  # rows of a tile multiplied at once
 _EXACT = 1 << 15  # pairs recomputed at once
 
 
 def links(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     rows = rows.select("vec_id", "embedding", "label")
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
-    good = good & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (norm2 > 0) & (norm2 < float("inf"))
+    good = good & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    part = materialize(_tile_pairs(classes, threshold), "tile-links")
+    part = materialize(_tile_links(classes, threshold), "tile-links")
 
     counts = part.where("b is null").groupBy("class").agg(F.sum("links").alias("links"))
     comps = components(part.where("b is not null").select("a", "b"))
@@ -51,28 +58,67 @@ def links(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _tile_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+def unit(vectors: list) -> np.ndarray:
+    """Vectors of one dimension as unit rows."""
+    x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Up to PIVOTS of the rows, each the farthest from those before it."""
+    picked, near = [0], x @ x[0]
+    while len(picked) < min(PIVOTS, len(x)):
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[picked[-1]])
+    return x[picked]
+
+
+def _placed(classes: DataFrame) -> DataFrame:
+    """Classes with dim, tile, and their angles to the pivots (a0..; 0 where the dimension has no such pivot)."""
+    sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    sizes = materialize(sizes, "label-sizes")
+    # PIVOTS vectors a dimension at most, among 64 of all: a few hundred kilobytes.
+    drawn = classes.select("embedding", F.xxhash64("class").alias("h")).orderBy("h").limit(4 * PIVOTS).collect()
+    pivots: dict[int, list] = {}
+    for r in drawn:
+        pivots.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    tile = TILE
+    axes = {d: _apart(unit(v)) for d, v in pivots.items()}
+
+    def run(batches):
+        for b in batches:
+            dims = np.array(b["dim"])
+            angle, cell = np.zeros((len(dims), PIVOTS)), np.zeros(len(dims), np.int64)
+            for d in {*dims.tolist()} & {*axes}:
+                at = np.flatnonzero(dims == d)
+                angle[at, : len(axes[d])] = np.arccos(np.clip(unit([b["embedding"][i] for i in at]) @ axes[d].T, -1, 1))
+                # A label uses as many pivots as it has tiles.
+                used = np.clip(np.array([b["n"][i] for i in at]) // min(tile, max(1, TILE_BYTES // (8 * d))), 1, len(axes[d]))
+                near = np.where(np.arange(PIVOTS)[None] < used[:, None], angle[at], np.inf)
+                cell[at] = near.argmin(axis=1)
+            yield {c: b[c] for c in ("class", "rep", "copies", "embedding", "label", "dim")} | {"cell": cell} | {f"a{j}": angle[:, j] for j in range(PIVOTS)}
+
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    sized = classes.withColumn("dim", F.size("embedding")).join(sizes, ["label", "dim"])
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("class", "rep", "copies", "embedding", "label")) + ", dim int, cell int, " + ", ".join(f"a{j} double" for j in range(PIVOTS))
+    got = materialize(map_rows(sized, run, schema), "angles")
+    room = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dim")))))
+    many = materialize(got.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / room).cast("int").alias("parts")), "tile-parts")
+    got = got.join(many, ["label", "dim", "cell"]).withColumn("tile", F.concat_ws("/", "label", "dim", "cell", F.pmod(F.xxhash64("class"), "parts")))
+    return materialize(got.drop("parts", "cell"), "tiles")
+
+
+def _tile_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(class, links, a, b): per tile pair, links of a class (b null), or an edge of its forest."""
-    reach = (2 - 2 * threshold) ** 0.5
-    v = F.col("embedding")
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = classes.withColumn("dim", F.size(v)).withColumn("unit", F.transform(v, lambda x: x / length))
-    at = lambda j: F.coalesce(F.try_element_at("unit", F.lit(j + 1)), F.lit(0.0))
-    # The grid gets a coordinate more for every four-fold number of classes.
-    sizes = unit.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    axes = F.greatest(F.lit(0), F.floor(F.log(4.0, F.col("n") / TILE))).cast("int")
-    cell = F.concat_ws(",", *[F.when(F.lit(j) < F.col("axes"), F.floor(at(j) / max(reach, 1e-3)).cast("string")) for j in range(BOX)])
-    placed = unit.join(sizes.select("label", "dim", axes.alias("axes")), ["label", "dim"]).withColumn("cell", cell)
-    many = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    placed = placed.join(many, ["label", "dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("class"), "parts"))
-    placed = placed.withColumn("tile", F.concat_ws("/", "label", "dim", "cell", "sub")).select("class", "rep", "copies", "embedding", "label", "dim", "tile", *[at(j).alias(f"u{j}") for j in range(BOX)])
-    placed = materialize(placed, "tiles")
-    ends = [f(f"u{j}").alias(f"{n}{j}") for j in range(BOX) for n, f in (("lo", F.min), ("hi", F.max))]
-    tiles = materialize(placed.groupBy("label", "dim", "tile").agg(*ends), "tile-boxes")
+    reach = float(np.arccos(threshold)) + 1e-6
+    placed = _placed(classes)
+    ends = [f(f"a{j}").alias(f"{n}{j}") for j in range(PIVOTS) for n, f in (("lo", F.min), ("hi", F.max))]
+    tiles = materialize(placed.groupBy("label", "dim", "tile").agg(*ends), "tile-angles")
     other = tiles.select("label", "dim", *[F.col(c).alias(f"other_{c}") for c in tiles.columns[2:]])
-    gap2 = sum((F.greatest(F.lit(0.0), F.col(f"lo{j}") - F.col(f"other_hi{j}"), F.col(f"other_lo{j}") - F.col(f"hi{j}")) ** 2 for j in range(BOX)), F.lit(0.0))
-    pairs = tiles.join(other, ["label", "dim"]).where((F.col("tile") <= F.col("other_tile")) & (gap2 <= reach**2 * (1 + 1e-9) + 1e-12))
-    pairs = materialize(pairs.select(F.xxhash64("tile", "other_tile").alias("pair"), "tile", "other_tile"), "tile-pairs")
+    gap = F.greatest(*[F.greatest(F.col(f"lo{j}") - F.col(f"other_hi{j}"), F.col(f"other_lo{j}") - F.col(f"hi{j}")) for j in range(PIVOTS)])
+    pairs = tiles.join(other, ["label", "dim"]).where((F.col("tile") <= F.col("other_tile")) & (gap <= reach))
+    pairs = materialize(pairs.select(F.concat_ws("|", "tile", "other_tile").alias("pair"), "tile", "other_tile"), "tile-pairs")
     sides = pairs.select("pair", "tile", F.lit(0).alias("side"), (F.col("tile") == F.col("other_tile")).alias("same"))
     sides = sides.union(pairs.where("tile <> other_tile").select("pair", F.col("other_tile"), F.lit(1), F.lit(False)))
     rows = placed.select("class", "rep", "copies", "embedding", "tile").join(sides, "tile")
@@ -88,25 +134,29 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _multiply(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values(["side", "class"])
-    x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = unit(pdf["embedding"].tolist())
     first = int((pdf["side"] == 0).sum())
-    same = bool(pdf["same"].iloc[0])
+    base = 0 if pdf["same"].iloc[0] else first
     q, scale, err = quantise(x)
-    left, right = slice(0, first), (slice(0, first) if same else slice(first, len(x)))
-    base = 0 if same else first
     step = (1 << 24) // (127 * 127)  # components whose products sum exactly in float32
-    near = np.zeros((first, len(x[right])), np.float64)
-    for k in range(0, x.shape[1], step):
-        near += q[left, k : k + step] @ q[right, k : k + step].T
-    near *= scale[left, None] * scale[None, right]
-    bound = err[left, None] + err[None, right] + err[left, None] * err[None, right] + 1e-9
-    i, j = np.nonzero(near + bound >= threshold)
-    j = j + base
-    keep = i < j
-    i, j = i[keep], j[keep]
-    true = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + _EXACT]], x[j[k : k + _EXACT]]) >= threshold for k in range(0, len(i), _EXACT)] or [np.zeros(0, bool)])
-    i, j = i[true], j[true]
+    found = [np.zeros((2, 0), np.int64)]
+    for top in range(0, first, _STEP):
+        for at in range(max(base, top if base == 0 else 0), len(x), _STEP):
+            left, right = slice(top, min(first, top + _STEP)), slice(at, at + _STEP)
+            near = np.zeros((len(q[left]), len(q[right])), np.float64)
+            for k in range(0, x.shape[1], step):
+                near += q[left, k : k + step] @ q[right, k : k + step].T
+            near *= scale[left, None] * scale[None, right]
+            near += err[left, None] + err[None, right] + err[left, None] * err[None, right] + 1e-9
+            i, j = np.nonzero(near >= threshold)
+            i, j = i + top, j + at
+            keep = i < j
+            i, j = i[keep], j[keep]
+            for k in range(0, len(i), _EXACT):
+                a, b = i[k : k + _EXACT], j[k : k + _EXACT]
+                true = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                found.append(np.stack([a[true], b[true]]))
+    i, j = np.concatenate(found, axis=1)
     copies, cls, rep = (pdf[c].to_numpy() for c in ("copies", "class", "rep"))
     n = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
     root = np.arange(len(x))
