@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.scratch import materialize, scratch_path
+from txlog.scratch import materialize, scratch_path, scratch_scope
 
-__all__ = ["FILE", "ROW", "documents", "drop_rows", "keyed", "map_rows", "materialize", "scratch_path", "words"]
+__all__ = ["FILE", "ROW", "documents", "drop_rows", "keyed", "map_rows", "materialize", "scratch_path", "scratch_scope", "words"]
 
 #: The columns that name a row of a keyed table; tables given to operators have none of these names.
 FILE, ROW = "_txlog_file", "_txlog_row"
@@ -57,11 +57,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_rows(rows: DataFrame, losers: DataFrame) -> DataFrame:
-    """The keyed ``rows`` without those that ``losers`` names, and without the two columns of the key.  The
-    names are written first; Spark broadcasts them only while that table is small."""
-    losers = materialize(losers.select(FILE, ROW), "dropped")
+    """The keyed ``rows`` without those that ``losers``, a written table, names, and without the two columns
+    of the key.  Spark broadcasts the names only while that table is small."""
     columns = ["`" + c.replace("`", "``") + "`" for c in rows.columns if c not in (FILE, ROW)]
-    return rows.join(losers, [FILE, ROW], "left_anti").select(columns)
+    return rows.join(losers.select(FILE, ROW), [FILE, ROW], "left_anti").select(columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

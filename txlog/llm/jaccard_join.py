@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, scratch_scope, words
 from txlog.llm.components import components
 from txlog.llm.substring_dedup import Hashes
 from txlog.llm.vocab import Bounded
@@ -405,27 +405,29 @@ def _blocks(edges: DataFrame, name: str) -> DataFrame:
 def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, doc_id, n, component, smallest) of every row of keyed documents: the component as an integer
     (null for empty sets), and the smallest doc_id in it."""
-    rows = materialize(text_sets(docs, width, percent), "sets")
-    names = class_names(rows)
-    blocks = _blocks(candidate_edges(rows, names, percent), "blocks")
-
-    heads = rows.where("head is not null").select("rid", "n", F.col("head").alias("tokens")).join(blocks, "rid")
-    blocks = _blocks(forest(materialize(heads.select("rid", "block", "n", "tokens"), "heads"), percent), "blocks")
-
-    def whole(batches):
-        for b, at, part in _sliced(batches):
-            sets = shingle_sets(part, width)
-            yield {"rid": [b["rid"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
-
-    chosen = materialize(rows.select("rid", FILE, ROW).join(blocks, "rid"), "chosen")
-    texts = docs.select(FILE, ROW, "text").join(chosen, [FILE, ROW]).select("rid", "block", "text")
-    members = materialize(map_rows(texts, whole, "rid long, block long, n int, tokens array<long>"), "members")
-    found = components(forest(members, percent)).withColumnRenamed("v", "rid")
-    named = names.join(found, "rid", "left").select("s1", "s2", "smallest", F.coalesce("component", "rid").alias("component"))
-    named = materialize(named, "named")
-    least = materialize(named.groupBy("component").agg(F.min("smallest").alias("smallest")), "smallest")
-    named = materialize(named.drop("smallest").join(least, "component"), "components")
-    return rows.select(FILE, ROW, "doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2")
+    with scratch_scope():
+        rows = materialize(text_sets(docs, width, percent), "sets")
+        names = class_names(rows)
+        blocks = _blocks(candidate_edges(rows, names, percent), "blocks")
+
+        heads = rows.where("head is not null").select("rid", "n", F.col("head").alias("tokens")).join(blocks, "rid")
+        blocks = _blocks(forest(materialize(heads.select("rid", "block", "n", "tokens"), "heads"), percent), "blocks")
+
+        def whole(batches):
+            for b, at, part in _sliced(batches):
+                sets = shingle_sets(part, width)
+                yield {"rid": [b["rid"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
+
+        chosen = materialize(rows.select("rid", FILE, ROW).join(blocks, "rid"), "chosen")
+        texts = docs.select(FILE, ROW, "text").join(chosen, [FILE, ROW]).select("rid", "block", "text")
+        members = materialize(map_rows(texts, whole, "rid long, block long, n int, tokens array<long>"), "members")
+        found = components(forest(members, percent)).withColumnRenamed("v", "rid")
+        named = names.join(found, "rid", "left").select("s1", "s2", "smallest", F.coalesce("component", "rid").alias("component"))
+        named = materialize(named, "named")
+        least = materialize(named.groupBy("component").agg(F.min("smallest").alias("smallest")), "smallest")
+        named = materialize(named.drop("smallest").join(least, "component"), "components")
+        out = rows.select(FILE, ROW, "doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2")
+        return materialize(out, "linked", keep=True)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -454,9 +456,11 @@ def keep_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Documents, all columns, one row of each component: that with the smallest doc_id (of several, or
     without any, the first in the table's files).  Texts without words are components of their own."""
     rows = keyed(docs)
-    tied = materialize(linked(rows, width, percent).where("component is not null").select(FILE, ROW, "doc_id", "component"), "tied")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)
-    best = tied.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("c")).where("c > 1")
-    best = materialize(best.select("component", F.col(f"best.{FILE}").alias("file"), F.col(f"best.{ROW}").alias("row")), "kept")
-    losers = tied.join(best, "component").where((F.col(FILE) != F.col("file")) | (F.col(ROW) != F.col("row")))
+    with scratch_scope():
+        tied = linked(rows, width, percent).where("component is not null").select(FILE, ROW, "doc_id", "component")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)
+        best = tied.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("c")).where("c > 1")
+        best = materialize(best.select("component", F.col(f"best.{FILE}").alias("file"), F.col(f"best.{ROW}").alias("row")), "kept")
+        losers = tied.join(best, "component").where((F.col(FILE) != F.col("file")) | (F.col(ROW) != F.col("row")))
+        losers = materialize(losers.select(FILE, ROW), "dropped", keep=True)
     return drop_rows(rows, losers)

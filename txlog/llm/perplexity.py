@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, scratch_scope, words
 
 ORDER, BITS = 5, 21
 ALPHABET = 0x110000
@@ -263,6 +263,7 @@ def _collect(shard: DataFrame) -> Table:
 
 
 def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
+    """The documents' sums over one shard, written, so that no shard outlives its scan."""
     shipped = docs.sparkSession.sparkContext.broadcast(_collect(shard))
 
     def run(batches):
@@ -287,7 +288,9 @@ def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
             yield {k: b[k] for k in (FILE, ROW, "doc_id", "lang", "trusted", "held")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
 
     rows = docs.select(FILE, ROW, "doc_id", "lang", "text", "trusted", "held")
-    return map_rows(rows, run, f"{FILE} long, {ROW} long, doc_id long, lang string, trusted boolean, held boolean, logp double, n_chars long")
+    sums = materialize(map_rows(rows, run, f"{FILE} long, {ROW} long, doc_id long, lang string, trusted boolean, held boolean, logp double, n_chars long"), "kn-sums")
+    shipped.destroy()
+    return sums
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,4 +346,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, all columns.  Each row is judged for itself, also where ids
     are null or repeat."""
     rows = keyed(docs)
-    return drop_rows(rows, judge(perplexities(rows, labels)).where(~F.col("kept")))
+    with scratch_scope():
+        losers = materialize(judge(perplexities(rows, labels)).where(~F.col("kept")).select(FILE, ROW), "dropped", keep=True)
+    return drop_rows(rows, losers)

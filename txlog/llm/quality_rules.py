@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, materialize
+from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, materialize, scratch_scope
 
 STATS = ["log_word_chars", "symbols", "dup_lines", "repeats"]
 #: Twice the noise of a statistic that hardly varies in clean text; ``scale`` is 0.25 there, which halves it.  The root of a
@@ -217,4 +217,6 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns.  Each row is judged for itself, also where ids are
     null or repeat."""
     rows = keyed(docs)
-    return drop_rows(rows, judge(records(rows, [FILE, ROW])).where(~F.col("kept")))
+    with scratch_scope():
+        losers = materialize(judge(records(rows, [FILE, ROW])).where(~F.col("kept")).select(FILE, ROW), "dropped", keep=True)
+    return drop_rows(rows, losers)

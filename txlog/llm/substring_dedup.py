@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, keyed, map_rows, materialize, words
+from txlog.llm.common import FILE, ROW, documents, keyed, map_rows, materialize, scratch_scope, words
 from txlog.llm.vocab import Bounded
 
 WINDOW, K = 35, 8
@@ -125,40 +125,42 @@ def segment_table(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(file, row, spans) of keyed documents: the stretches (first window, windows) whose windows occur again."""
-    table = materialize(segment_table(docs, window, k), "segments")
-    nodes = table.groupBy("kmer").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-    # Written first: were they aggregated in the same job, on the same key, Spark could not split a hot k-mer in the join.
-    nodes = materialize(nodes.where("n > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
-    live = materialize(table.join(nodes, "kmer"), "repeated-segments")
-    paths = live.where("not branching").select("file", "row", "at", "n")
-
-    edges = live.where("branching").groupBy("kmer", "span", "n").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "at")).alias("source"))
-    edges = materialize(edges, "edges")
-    again = live.where("branching").join(edges.where("copies > 1").select("kmer", "span", "n"), ["kmer", "span", "n"], "left_semi").select("file", "row", "at", "n")
-
-    asked = edges.select("source.file", "source.row", F.struct(F.col("source.at").alias("at"), "n", "copies", "kmer").alias("s"))
-    asked = asked.groupBy("file", "row").agg(F.collect_list("s").alias("asked"))  # a text's own segments: no more than it has words
-
-    def window_hashes(batches):
-        cache = _cache()
-        for b in batches:
-            for file, row, text, spans in zip(b["file"], b["row"], b["text"], b["asked"]):
-                h = Hashes(_hashed(cache, words(text)))
-                n = np.array([s["n"] for s in spans])
-                first = np.repeat([s["at"] for s in spans], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                copies, kmer = np.repeat([s["copies"] for s in spans], n), np.repeat([s["kmer"] for s in spans], n)
-                hashes = h.spans(first, first + window).view(np.int64)
-                yield {"kmer": kmer, "hash": hashes, "copies": copies, "file": np.full(len(first), file), "row": np.full(len(first), row), "at": first.astype(np.int32)}
-            cache.trim()
-
-    texts = docs.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "text").join(asked, ["file", "row"])
-    found = materialize(map_rows(texts, window_hashes, "kmer long, hash long, copies long, file long, row long, at int"), "windows")
-    twice = found.groupBy("kmer", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("kmer", "hash")
-    twice = materialize(twice, "repeated-windows")
-    single = found.where("copies = 1").join(twice, ["kmer", "hash"], "left_semi").select("file", "row", "at", F.lit(1).alias("n"))
-
-    marks = paths.union(again).union(single)
-    return marks.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    with scratch_scope():
+        table = materialize(segment_table(docs, window, k), "segments")
+        nodes = table.groupBy("kmer").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
+        # Written first: were they aggregated in the same job, on the same key, Spark could not split a hot k-mer in the join.
+        nodes = materialize(nodes.where("n > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
+        live = materialize(table.join(nodes, "kmer"), "repeated-segments")
+        paths = live.where("not branching").select("file", "row", "at", "n")
+
+        edges = live.where("branching").groupBy("kmer", "span", "n").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "at")).alias("source"))
+        edges = materialize(edges, "edges")
+        again = live.where("branching").join(edges.where("copies > 1").select("kmer", "span", "n"), ["kmer", "span", "n"], "left_semi").select("file", "row", "at", "n")
+
+        asked = edges.select("source.file", "source.row", F.struct(F.col("source.at").alias("at"), "n", "copies", "kmer").alias("s"))
+        asked = asked.groupBy("file", "row").agg(F.collect_list("s").alias("asked"))  # a text's own segments: no more than it has words
+
+        def window_hashes(batches):
+            cache = _cache()
+            for b in batches:
+                for file, row, text, spans in zip(b["file"], b["row"], b["text"], b["asked"]):
+                    h = Hashes(_hashed(cache, words(text)))
+                    n = np.array([s["n"] for s in spans])
+                    first = np.repeat([s["at"] for s in spans], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    copies, kmer = np.repeat([s["copies"] for s in spans], n), np.repeat([s["kmer"] for s in spans], n)
+                    hashes = h.spans(first, first + window).view(np.int64)
+                    yield {"kmer": kmer, "hash": hashes, "copies": copies, "file": np.full(len(first), file), "row": np.full(len(first), row), "at": first.astype(np.int32)}
+                cache.trim()
+
+        texts = docs.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "text").join(asked, ["file", "row"])
+        found = materialize(map_rows(texts, window_hashes, "kmer long, hash long, copies long, file long, row long, at int"), "windows")
+        twice = found.groupBy("kmer", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("kmer", "hash")
+        twice = materialize(twice, "repeated-windows")
+        single = found.where("copies = 1").join(twice, ["kmer", "hash"], "left_semi").select("file", "row", "at", F.lit(1).alias("n"))
+
+        marks = paths.union(again).union(single)
+        spans = marks.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
+        return materialize(spans, "spans", keep=True)
 
 
 def _covered(n: int, spans: list | None, window: int) -> np.ndarray:
