@@ -18,6 +18,7 @@ FILE, ROW = "_txlog_file", "_txlog_row"
 
 #: Python's str.split() also splits at these characters; a word keeps them.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ROWS = 1024
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -29,11 +30,18 @@ def words(text: str | None) -> list[str]:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow with batches as dicts of Python lists (or numpy arrays on the way out)."""
+    """mapInArrow with batches as dicts of Python lists (or numpy arrays on the way out).  Only ``_ROWS`` rows
+    at a time become Python objects."""
     fields = _arrow_schema(df.sparkSession, schema)
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(k, _ROWS)
+                yield {n: b.column(n).to_pylist() for n in b.schema.names}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
+        for out in fn(parts(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(run, schema)
