@@ -45,6 +45,8 @@ WIDTH, PERCENT = 4, 85
 #: A shingle that more texts list than this counts as frequent.
 FREQUENT = 1
 TILE_TOKENS, TILE_TEXTS = 1_000_000, 2000
+#: Up to this many rows of at most four integers (16 MB) are broadcast to a join; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _ALL = np.iinfo(np.int64).max
 _BIT_WORDS = 64  # of 64 bits each, in a node's bitmap
 _FANOUT = 8
@@ -127,22 +129,28 @@ def text_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_rows(docs.select(FILE, ROW, "doc_id", "text"), run, f"rid long, {FILE} long, {ROW} long, doc_id long, n int, s1 long, s2 long, head array<long>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def class_names(rows: DataFrame) -> DataFrame:
-    """(s1, s2, rid, smallest): per class the row that lists for it, and the smallest doc_id."""
+    """(s1, s2, rid, n, smallest): per class the row that lists for it, its size, and the smallest doc_id."""
     classes = rows.where("s1 is not null").groupBy("s1", "s2")
     lister = F.min(F.when(F.col("head").isNotNull(), F.col("rid"))).alias("rid")
-    return materialize(classes.agg(lister, F.min("doc_id").alias("smallest")), "classes")
+    return materialize(classes.agg(lister, F.max("n").alias("n"), F.min("doc_id").alias("smallest")), "classes")
 
 
 def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """(a, b): classes, by their listers, tied to the smallest with which they share a prefix shingle."""
-    listing = rows.where("head is not null").select("rid", "n", F.posexplode("head").alias("rank", "token"))
+    listing = rows.where("head is not null").select("rid", F.posexplode("head").alias("rank", "token"))
+    # These tables grow with the corpus and are joined by a shuffle at any size.
     # Written first, so that the join has exchanges of its own, whose hot partitions Spark can split.
     common = materialize(listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    shared = listing.join(common, "token")  # as large as the corpus: by a shuffle at any size
+    shared = listing.join(common.hint("merge"), "token")
     # What a text lists and others list too: at most its list.
-    own = shared.groupBy("rid").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
-    own = own.join(names.select("rid"), "rid")
+    own = shared.groupBy("rid").agg(F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
+    own = own.join(names.select("rid", "n"), "rid")
     own = materialize(own, "shared")
 
     def give_back(batches):
@@ -158,7 +166,7 @@ def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFram
 
     spared = map_rows(own.select("n", "shared"), give_back, "token long").distinct().withColumn("spared", F.lit(True))
     items = own.select("rid", "n", F.explode("shared").alias("x")).select("rid", "n", "x.rank", "x.token", (F.col("x.c") > FREQUENT).alias("frequent"))
-    items = items.join(spared, "token", "left").withColumn("frequent", F.col("frequent") & F.col("spared").isNull())
+    items = items.join(spared.hint("merge"), "token", "left").withColumn("frequent", F.col("frequent") & F.col("spared").isNull())
     own = items.groupBy("rid").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "frequent")).alias("shared"))
 
     def prefixes(batches):
@@ -176,7 +184,7 @@ def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFram
     prefix = materialize(map_rows(own, prefixes, "rid long, token long"), "prefixes")
     first = prefix.groupBy("token").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b")
     first = materialize(first.select("token", "a"), "first-texts")
-    return prefix.join(first, "token").select("a", F.col("rid").alias("b")).where("a <> b").distinct()
+    return prefix.join(first.hint("merge"), "token").select("a", F.col("rid").alias("b")).where("a <> b").distinct()
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -410,7 +418,7 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
         names = class_names(rows)
         blocks = _blocks(candidate_edges(rows, names, percent), "blocks")
 
-        heads = rows.where("head is not null").select("rid", "n", F.col("head").alias("tokens")).join(blocks, "rid")
+        heads = rows.where("head is not null").select("rid", "n", F.col("head").alias("tokens")).join(_small(blocks), "rid")
         blocks = _blocks(forest(materialize(heads.select("rid", "block", "n", "tokens"), "heads"), percent), "blocks")
 
         def whole(batches):
@@ -418,8 +426,8 @@ def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sets = shingle_sets(part, width)
                 yield {"rid": [b["rid"][i] for i in at], "block": [b["block"][i] for i in at], "n": [len(s) for s in sets], "tokens": sets}
 
-        chosen = materialize(rows.select("rid", FILE, ROW).join(blocks, "rid"), "chosen")
-        texts = docs.select(FILE, ROW, "text").join(chosen, [FILE, ROW]).select("rid", "block", "text")
+        chosen = materialize(rows.select("rid", FILE, ROW).join(_small(blocks), "rid"), "chosen")
+        texts = docs.select(FILE, ROW, "text").join(_small(chosen), [FILE, ROW]).select("rid", "block", "text")
         members = materialize(map_rows(texts, whole, "rid long, block long, n int, tokens array<long>"), "members")
         found = components(forest(members, percent)).withColumnRenamed("v", "rid")
         named = names.join(found, "rid", "left").select("s1", "s2", "smallest", F.coalesce("component", "rid").alias("component"))
