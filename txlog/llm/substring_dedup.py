@@ -14,7 +14,8 @@ an edge through it with everything that its windows reach.
 4. Words covered by a repeated window are removed.
 
 All groupings are aggregates that combine before they shuffle, or joins that Spark may split, so
-a passage that a third of all texts share makes no large task.
+a passage that a third of all texts share makes no large task.  Tables that grow with the corpus are
+joined by a shuffle at any size, so that plans are alike at every size.
 
 Nulls: a null text has no words (0 words, digest of the empty string).  Texts shorter than a
 window keep all words.  Rows are told apart by their places in the table, so null, repeated or shared
@@ -130,7 +131,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
         nodes = table.groupBy("kmer").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
         # Written first: were they aggregated in the same job, on the same key, Spark could not split a hot k-mer in the join.
         nodes = materialize(nodes.where("n > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branching")), "nodes")
-        live = materialize(table.join(nodes, "kmer"), "repeated-segments")
+        live = materialize(table.join(nodes.hint("merge"), "kmer"), "repeated-segments")
         paths = live.where("not branching").select("file", "row", "at", "n")
 
         edges = live.where("branching").groupBy("kmer", "span", "n").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "at")).alias("source"))
@@ -152,11 +153,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
                     yield {"kmer": kmer, "hash": hashes, "copies": copies, "file": np.full(len(first), file), "row": np.full(len(first), row), "at": first.astype(np.int32)}
                 cache.trim()
 
-        texts = docs.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "text").join(asked, ["file", "row"])
+        texts = docs.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "text").join(asked.hint("merge"), ["file", "row"])
         found = materialize(map_rows(texts, window_hashes, "kmer long, hash long, copies long, file long, row long, at int"), "windows")
         twice = found.groupBy("kmer", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("kmer", "hash")
         twice = materialize(twice, "repeated-windows")
-        single = found.where("copies = 1").join(twice, ["kmer", "hash"], "left_semi").select("file", "row", "at", F.lit(1).alias("n"))
+        single = found.where("copies = 1").join(twice.hint("merge"), ["kmer", "hash"], "left_semi").select("file", "row", "at", F.lit(1).alias("n"))
 
         marks = paths.union(again).union(single)
         spans = marks.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
@@ -188,7 +189,7 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
     rows = keyed(docs)
     spans = repeated_spans(rows, window, k)
-    texts = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "doc_id", "text").join(spans, ["file", "row"], "left")
+    texts = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "doc_id", "text").join(spans.hint("merge"), ["file", "row"], "left")
     return map_rows(texts.select("doc_id", "text", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -210,7 +211,7 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 
     rows = keyed(docs)
     placed = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), *[F.col("`" + c.replace("`", "``") + "`").alias(v) for c, v in zip(names, own)])
-    texts = placed.join(repeated_spans(rows, window, k), ["file", "row"], "left").select(*own, "spans")
+    texts = placed.join(repeated_spans(rows, window, k).hint("merge"), ["file", "row"], "left").select(*own, "spans")
     out = map_rows(texts, run, ", ".join(f"{v} {f.dataType.simpleString()}" for v, f in zip(own, docs.schema))).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
