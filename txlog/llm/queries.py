@@ -19,6 +19,7 @@ MODULES = {
     "op3_quality_classifier": "perplexity",
     "op9_substring_dedup": "substring_dedup",
     "op8_jaccard_join": "jaccard_join",
+    "op11_language_id": "language_id",
     "op13_filter_audit": "filter_audit",
 }
 
