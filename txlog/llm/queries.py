@@ -20,6 +20,7 @@ MODULES = {
     "op9_substring_dedup": "substring_dedup",
     "op8_jaccard_join": "jaccard_join",
     "op11_language_id": "language_id",
+    "op12_collocations": "collocations",
     "op13_filter_audit": "filter_audit",
 }
 
