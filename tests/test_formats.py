@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from txlog.fixtures import records_from_events
 from txlog.functions import basic_auth_user, field, has_header, header_value, quote_binary, split_epoch, strftime, url_path, url_query
-from txlog.operators import assemble, check_grouping, group_by_request, mark_incomplete, matches, order_by_request, query_transactions, truncate_payload
+from txlog.operators import assemble, check_grouping, group_by_request, log_stats, mark_incomplete, matches, order_by_request, query_transactions, truncate_payload
 from txlog.operators.requests import request_roots
 from txlog.plans import DEFAULT_FORMAT, format_events, format_line, format_raw, required_slots, validate_format
 from txlog.schema import RECORD_SCHEMA, Slot
@@ -110,7 +110,8 @@ def test_long_format(spark):
 
 def test_raw(spark):
     rows = format_raw(log(spark, [("Backend_health", "b Still healthy"), ("Begin", "x")], "-", 0), "%t %{vxid}x %{tag:Backend_health[1]}x").collect()
-    assert [r["line"] for r in rows] == ["[30/Mar/2015:19:19:06 +0000] 0 Still"]
+    # With the vxid in the format every record has a line; predicates select.
+    assert [r["line"] for r in rows] == ["[30/Mar/2015:19:19:06 +0000] 0 Still", "[30/Mar/2015:19:19:06 +0000] 0 "]
 
 
 def test_fields(spark):
@@ -304,6 +305,55 @@ def test_one_exchange(spark):
     assert marked.count("Exchange") == 1
 
 
+BARE = [("Begin", "req 0"), ("End", "")]
+
+
+@pytest.mark.parametrize("fmt, want", [("%{vxid}x %s", "1 "), ("%d %U", "c "), ("%{pvxid}x", "0"), ("%{Varnish:side}x%h", "c"), ("%l", None), ("%s %l", None), ("text", None), ("%D", None)])
+def test_transactions_without_needed_records(spark, fmt, want):
+    """A line only where some formatter is about the transaction itself."""
+    assert line(spark, fmt, BARE) == want
+
+
+def test_absent_times_are_empty(spark):
+    assert line(spark, "%{vxid}x|%D|%T|%t", BARE) == "1|||"
+
+
+def test_raw_records_without_named_tags(spark):
+    rows = log(spark, [("Begin", "req"), ("Backend_health", "b ok"), ("ReqHeader", "Host: a"), ("ReqHeader", "Foo: b")])
+    lines = lambda fmt, **how: [r["line"] for r in format_raw(rows, fmt, **how).orderBy("seq").collect()]
+    assert lines("%{vxid}x %{tag:Backend_health}x") == ["1 ", "1 b ok", "1 ", "1 "]
+    assert lines("%{vxid}x") == ["1"] * 4 and lines("%t") == []
+    assert lines("%{tag:Backend_health}x") == ["b ok"] and lines("%{tag:ReqHeader:host}x") == ["a"]
+    assert lines("%{vxid}x", tags=["Begin"]) == ["1"]
+
+
+def test_longest_payload_is_that_of_slots_before_the_cut(spark):
+    entries = [("ReqURL", "/x"), ("ReqURL", "y" * 300), ("ReqHeader", "Host: " + "z" * 394), ("ReqHeader", "Host: " + "w" * 900), ("Begin", "b" * 999)]
+    stats = lambda fmt, n=255: tuple(log_stats(log(spark, entries), {"c": fmt}, max_reclen=n).select("len_hi", "len_overflows").first())
+    assert stats("%U") == (3, 0)
+    assert stats("%U %{Host}i") == (401, 1)
+    # One record fills both slots and counts once; the plain slot alone is the first record of the tag.
+    assert stats("%{Host}i %{tag:ReqHeader}x") == (401, 1)
+    assert stats("%{Host}i %{tag:ReqHeader}x %{tag:Begin}x", 500) == (1000, 1)
+    assert stats("%{vxid}x") == (0, 0)
+
+
+def test_plain_and_header_slots_of_two_records_count_each(spark):
+    entries = [("ReqHeader", "Foo: " + "a" * 300), ("ReqHeader", "Host: " + "b" * 400)]
+    got = log_stats(log(spark, entries), {"c": "%{Host}i %{tag:ReqHeader}x"}).first()
+    assert (got["seen"], got["submitted"], got["len_hi"], got["len_overflows"]) == (1, 1, 407, 2)
+
+
+def test_statistics_of_intervals_add_up(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(200)
+    r = materialize(records_from_events(events), "few")
+    by = log_stats(r, {"c": DEFAULT_FORMAT, "b": "%d %s"}, interval="1 hour", max_reclen=40, running=True).collect()
+    whole = log_stats(r, {"c": DEFAULT_FORMAT, "b": "%d %s"}, max_reclen=40).first()
+    for c in ("seen", "submitted", "writes", "bytes", "len_overflows"):
+        assert sum(x[c] for x in by) == whole[c]
+    assert max(x["len_hi"] for x in by) == whole["len_hi"] and max(x["total_seen"] for x in by) == whole["seen"] > whole["submitted"]
+
+
 def test_empty_log(spark):
     empty = spark.createDataFrame([], RECORD_SCHEMA)
     assert format_events(empty, DEFAULT_FORMAT, DEFAULT_FORMAT).count() == 0

@@ -39,7 +39,7 @@ def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
         (6, "c", "ReqProtocol", "'HTTP/1.1'", "e % 11 <> 0"),
         (7, "c", "ReqHeader", host, "e % 13 <> 0"),
         (8, "c", "ReqHeader", f"concat('user-agent: Agent/', {text('u % 9')})", "true"),
-        (9, "c", "ReqHeader", "'User-Agent: second'", "true"),
+        (9, "c", "ReqHeader", "concat('User-Agent: second', repeat('x', cast(case when e % 6 = 0 then 60 + e % 7 else 0 end as int)))", "true"),
         (10, "c", "ReqHeader", f"concat('Referer: http://ref.example.com/', {text('u')})", "e % 2 = 0"),
         (11, "c", "ReqHeader", auth, "e % 4 in (0, 1)"),
         (12, "c", "VCL_call", "'RECV'", "true"),
@@ -54,6 +54,7 @@ def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
         (21, "c", "ReqAcct", acct, "et <> 'signup'"),
         (22, "c", "PipeAcct", f"concat('60 60 178 ', {text('el')})", "et = 'signup'"),
         (23, "c", "End", "''", ends),
+        (25, "c", "ReqURL", f"concat('/rewritten/', repeat('y', cast(e % 90 as int)), {text('u')})", "e % 8 = 3"),
         (24, "c", "VCL_Log", "concat('note: ', repeat('x', cast(u % 11 as int)), 'Zoë €😀 ü')", "e % 7 = 0"),
     ]
     back = [
@@ -74,12 +75,15 @@ def _recipe(duck: bool) -> list[tuple[int, str, str, str, str]]:
         ("End", "''", ends),
     ]
     rows += [(32 + i, "b", tag, payload, f"et in ('click', 'purchase') and {cond}") for i, (tag, payload, cond) in enumerate(back)]
+    # Transactions without any record that lines are made of.
+    rows += [(50 + 2 * i + j, side, tag, "''", "e % 29 = 5") for i, side in enumerate(("c0", "b0")) for j, tag in enumerate(("Begin", "End"))]
     return [*rows, (60, "-", "Backend_health", "'b Still healthy 4--X-RH 5 4 5 0.032728 0.035774 HTTP/1.1 200 OK'", "e % 20 = 0")]
 
 
 _PARENT = "case when e % 5 in (1, 2) then 2 * (e - e % 5) + 1 when e % 5 = 3 then 2 * (e - 1) + 1 else 0 end"
-_VXID = {"c": "2 * e + 1", "b": "2 * e + 2", "-": "0"}
-_PVXID = {"c": "pv", "b": "2 * e + 1", "-": "0"}
+#: c0 and b0 are further client and backend transactions of an event.
+_VXID = {"c": "2 * e + 1", "b": "2 * e + 2", "-": "0", "c0": "2 * e + 1000000000001", "b0": "2 * e + 1000000000002"}
+_PVXID = {"c": "pv", "b": "2 * e + 1", "-": "0", "c0": "0", "b0": "2 * e + 1000000000001"}
 
 
 def _late(tag: str) -> str:
@@ -94,7 +98,7 @@ def records_from_events(events: DataFrame) -> DataFrame:
     ).where("e is not null and t0 is not null and el is not null")
     base = base.withColumn("pv", F.expr(_PARENT))
     one = "case when {c} then named_struct('k', {k}, 'ts', t0 + {k} + {late}, 'vxid', {v}, 'pvxid', {p}, 'side', '{s}', 'tag', '{t}', 'payload', {x}) end"
-    items = [one.format(c=c, k=k, late=_late(t), v=f"cast({_VXID[s]} as bigint)", p=f"cast({_PVXID[s]} as bigint)", s=s, t=t, x=x) for k, s, t, x, c in _recipe(False)]
+    items = [one.format(c=c, k=k, late=_late(t), v=f"cast({_VXID[s]} as bigint)", p=f"cast({_PVXID[s]} as bigint)", s=s[0], t=t, x=x) for k, s, t, x, c in _recipe(False)]
     rows = base.select("e", F.explode(F.expr(f"filter(array({', '.join(items)}), x -> x is not null)")).alias("r"))
     raw = F.when((F.col("r.tag") == "Debug") & (F.col("e") % 10 == 0), F.unhex(F.lit(RAW_BYTES)))
     return rows.select(
@@ -112,7 +116,7 @@ def duckdb_records() -> str:
     )
     parts = [
         f"select 'main' as instance, e * 64 + {k} as seq, t0 + {k} + {_late(t)} as ts, cast({_VXID[s]} as bigint) as vxid, cast({_PVXID[s]} as bigint) as pvxid, "
-        f"'{s}' as side, '{t}' as tag, {x} as payload, {'e % 10 = 0' if t == 'Debug' else 'false'} as is_raw from base where {c}"
+        f"'{s[0]}' as side, '{t}' as tag, {x} as payload, {'e % 10 = 0' if t == 'Debug' else 'false'} as is_raw from base where {c}"
         for k, s, t, x, c in _recipe(True)
     ]
     return f"with {base}, records as ({' union all '.join(parts)})"

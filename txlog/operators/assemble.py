@@ -50,6 +50,7 @@ def assemble(
     keep: Iterable[str] = (),
     needed: Column | None = None,
     extra: Mapping[str, Column] | None = None,
+    max_reclen: int | None = None,
 ) -> DataFrame:
     """One row per (instance, vxid, side): pvxid, ts, seq of the first record, n_recs (records some slot needs),
     disposition, the slots' payloads, and for ``binary_tags`` their bytes (``raw:<tag>``).
@@ -57,7 +58,11 @@ def assemble(
     ``where`` keeps whole transactions with a record that satisfies it, in the same aggregate.  Without
     ``include_open`` transactions without an End record are dropped.  The only exchange is on the key;
     give records that are already cut to the tags and headers that the slots need.  ``needed`` says which
-    records n_recs counts instead; ``extra`` are further aggregates by name."""
+    records n_recs counts instead; ``extra`` are further aggregates by name.
+
+    With ``max_reclen`` records have a column ``size`` (of the uncut payload, terminator included), and len_hi and
+    len_overflows are the longest of the payloads that fill slots and how many of them exceed it; a record
+    that fills two slots counts once."""
     slots = sorted(set(slots))
     rows = records.where("side <> '-'")
     if any(s.header for s in slots):
@@ -73,12 +78,13 @@ def assemble(
     aggs = [F.max("pvxid").alias("pvxid"), F.min("ts").alias("ts"), F.min("seq").alias("seq"), F.count(F.when(F.coalesce(needed, F.lit(False)), 1)).alias("n_recs")]
     if with_disposition:
         aggs.append(disposition().alias("disposition"))
-    binary = {*binary_tags}
+    binary = {s for s in slots if not s.header and s.tag in {*binary_tags}}
     for s in slots:
-        if not s.header and s.tag in binary:
-            aggs.append(_first(F.struct(payload.alias("payload"), F.col("raw").alias("raw")), _slot_condition(s)).alias(f"pair:{s.tag}"))
-        else:
-            aggs.append(_first(payload, _slot_condition(s)).alias(s.column))
+        value = {"payload": payload} | ({"raw": F.col("raw")} if s in binary else {})
+        if max_reclen is not None:
+            value |= {"size": F.col("size"), "seq": F.col("seq")}
+        chosen = payload if len(value) == 1 else F.struct(*[v.alias(k) for k, v in value.items()])
+        aggs.append(_first(chosen, _slot_condition(s)).alias(s.column))
     aggs += [F.first(c, ignorenulls=True).alias(c) for c in keep] + [a.alias(name) for name, a in (extra or {}).items()]
     if where is not None:
         aggs.append(F.max(F.coalesce(where, F.lit(False))).alias("wanted"))
@@ -89,11 +95,17 @@ def assemble(
         tx = tx.where("wanted").drop("wanted")
     if not include_open:
         tx = tx.where("ended").drop("ended")
-    for s in slots:
-        if not s.header and s.tag in binary:
-            pair = F.col(f"`pair:{s.tag}`")
-            tx = tx.withColumn(s.column, pair["payload"]).withColumn(f"raw:{s.tag}", pair["raw"]).drop(f"pair:{s.tag}")
-    return tx
+    get = lambda s: F.col(f"`{s.column}`")
+    if max_reclen is not None:
+        sizes = [get(s)["size"] for s in slots if not s.header or Slot(s.tag) not in slots]
+        # A record with a header may fill its tag's plain slot, too.
+        sizes += [F.when(get(s)["seq"] != get(Slot(s.tag))["seq"], get(s)["size"]) for s in slots if s.header and Slot(s.tag) in slots]
+        zero = F.lit(0).cast("long")
+        tx = tx.withColumns({"len_hi": F.greatest(zero, zero, *sizes), "len_overflows": sum((F.when(n > max_reclen, 1).otherwise(0) for n in sizes), zero)})
+    if binary:
+        tx = tx.withColumns({f"raw:{s.tag}": get(s)["raw"] for s in slots if s in binary})
+    nested = [s for s in slots if s in binary or max_reclen is not None]
+    return tx.withColumns({s.column: get(s)["payload"] for s in nested}) if nested else tx
 
 
 def drop_empty(tx: DataFrame, nonrecs_wanted: bool = False) -> DataFrame:

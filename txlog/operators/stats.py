@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlog.operators.select import MAX_RECLEN
 
 COUNTS = ["seen", "submitted", "writes", "bytes", "len_hi", "len_overflows"]
 
+def stats_columns() -> list[Column]:
+    """The aggregates over transactions with submitted, line, len_hi and len_overflows."""
+    sent = F.count(F.when(F.col("submitted"), 1))
+    size = F.when(F.col("submitted"), F.octet_length("line") + 1)
+    zero = F.lit(0).cast("long")
+    return [
+        F.count("*").alias("seen"), sent.alias("submitted"), sent.alias("writes"), F.coalesce(F.sum(size), zero).alias("bytes"),
+        F.coalesce(F.max("len_hi"), zero).alias("len_hi"), F.coalesce(F.sum("len_overflows"), zero).alias("len_overflows"),
+    ]
+
 
 def log_stats(records: DataFrame, formats: dict[str, str], interval: str | None = None, max_reclen: int = MAX_RECLEN, running: bool = False) -> DataFrame:
     """seen, submitted, writes, bytes, len_hi, len_overflows of the sides in ``formats`` (side -> format), for
-    the log or for each ``interval``: transactions count where they begin, payloads where they were read.
+    the log or for each ``interval`` in which transactions begin.
 
-    Transactions and lines come from one assembly.  The longest payload and the overflows of a whole log
-    are columns of it; those of intervals are an aggregate of their own that combines before its exchange.
+    All are columns of the one assembly that makes the lines.  len_hi is the longest payload that fills a slot, before it
+    is cut; len_overflows counts such payloads over ``max_reclen``, which later records of a filled slot are not.
     ``running`` adds totals up to each interval, over the few rows already aggregated."""
-    from txlog.plans.formats import format_lines, needed, plan
+    from txlog.plans.formats import format_lines, plan
 
     formats = {s: f for s, f in formats.items() if f}
-    kept = needed(formats)
-    size = F.when(kept, F.octet_length("payload") + 1)
-    too_long = F.when(size > max_reclen, 1)
-    extra = {} if interval else {"longest": (F.max, size), "over": (F.count, too_long)}
-    tx = format_lines(plan(records, formats, max_reclen=max_reclen, keep_all=True, extra=extra), formats)
-    sent = (F.col("n_recs") > 0) | F.col("bare")
-    lines = [
-        F.count("*").alias("seen"), F.count(F.when(sent, 1)).alias("submitted"), F.count(F.when(sent, 1)).alias("writes"),
-        F.coalesce(F.sum(F.when(sent, F.octet_length("line") + 1)), F.lit(0)).alias("bytes"),
-    ]
+    tx = format_lines(plan(records, formats, max_reclen=max_reclen, keep_all=True, measured=True), formats)
     if not interval:
-        return tx.agg(*lines, F.coalesce(F.least(F.max("longest"), F.lit(max_reclen)), F.lit(0)).alias("len_hi"), F.coalesce(F.sum("over"), F.lit(0)).alias("len_overflows"))
-    start = F.window("ts", interval)["start"].alias("start")
-    read = records.where(kept).groupBy(start).agg(F.least(F.max(size), F.lit(max_reclen)).alias("len_hi"), F.count(too_long).alias("len_overflows"))
-    out = tx.groupBy(start).agg(*lines).join(read, "start", "full").fillna(0, COUNTS)
+        return tx.agg(*stats_columns())
+    out = tx.groupBy(F.window("ts", interval)["start"].alias("start")).agg(*stats_columns())
     if running:
         upto = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumns({f"total_{c}": F.sum(c).over(upto) for c in ("seen", "submitted", "writes", "bytes")})

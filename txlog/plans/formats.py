@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txlog.functions import basic_auth_user, field, header_field, header_value, microseconds, quote_binary, split_epoch, strftime, url_path, url_query
-from txlog.operators.assemble import DISPOSITION_TAGS, assemble, check_grouping, drop_empty
+from txlog.operators.assemble import DISPOSITION_TAGS, assemble, check_grouping
 from txlog.operators.requests import group_by_request, order_by_request
 from txlog.operators.select import MAX_RECLEN, filter_tags, header_condition, truncate_payload
 from txlog.schema import BACKEND, CLIENT, RAW, Slot
@@ -46,7 +46,8 @@ class Item:
     slots: list[Slot] = dc_field(default_factory=list)
     value: Callable[[Callable[[Slot], Column]], Column] = lambda get: F.lit("")
     disposition: bool = False
-    no_records: bool = False
+    #: The value is the transaction's own: with such a formatter, transactions without any needed record have a line.
+    own: bool = False
 
 
 def _slot_item(slot: Slot, make: Callable[[Column], Column]) -> Item:
@@ -56,7 +57,7 @@ def _slot_item(slot: Slot, make: Callable[[Column], Column]) -> Item:
 def _time(side: str, fmt: str) -> Item:
     if side == RAW:
         usec = F.unix_micros("ts") % 1_000_000
-        return Item(value=lambda get: strftime(F.col("ts"), usec, fmt), no_records=True)
+        return Item(value=lambda get: strftime(F.col("ts"), usec, fmt))
 
     def make(p: Column) -> Column:
         secs, usecs = split_epoch(header_field(p, 0))
@@ -92,9 +93,9 @@ def _simple(letter: str, side: str) -> Item | None:
         case "b":
             return _slot_item(Slot(f"{r}Acct"), lambda x: field(x, 4))
         case "D":
-            return _slot_item(Slot("Timestamp", "Resp" if client else "BerespBody"), lambda x: microseconds(header_field(x, 1)).cast("long").cast("string"))
+            return _slot_item(Slot("Timestamp", "Resp" if client else "BerespBody"), lambda x: F.when(x.isNotNull(), microseconds(header_field(x, 1)).cast("long").cast("string")))
         case "d":
-            return Item(value=lambda get: F.lit(side), no_records=True)
+            return Item(value=lambda get: F.lit(side), own=True)
         case "H":
             return _slot_item(Slot(f"{r}Protocol"), lambda x: x)
         case "h":
@@ -102,7 +103,7 @@ def _simple(letter: str, side: str) -> Item | None:
         case "I":
             return _bytes(side, 2, 2)
         case "l":
-            return Item(value=lambda get: F.lit("-"), no_records=True)
+            return Item(value=lambda get: F.lit("-"))
         case "m":
             return _slot_item(Slot(f"{r}Method"), lambda x: x)
         case "O":
@@ -116,7 +117,7 @@ def _simple(letter: str, side: str) -> Item | None:
         case "t":
             return _time(side, "[%d/%b/%Y:%T %z]")
         case "T":
-            return _slot_item(Slot("Timestamp", "Start"), lambda x: (microseconds(header_field(x, 1)) / 1e6).cast("long").cast("string"))
+            return _slot_item(Slot("Timestamp", "Start"), lambda x: F.when(x.isNotNull(), (microseconds(header_field(x, 1)) / 1e6).cast("long").cast("string")))
         case "U":
             return _slot_item(Slot(f"{r}URL"), url_path)
         case "u":
@@ -183,15 +184,15 @@ def _long(arg: str, letter: str, side: str) -> Item | None:
     if letter == "x":
         name, _, rest = arg.partition(":")
         if arg in ("vxid", "Varnish:vxid"):
-            return Item(value=lambda get: F.col("vxid").cast("string"), no_records=True)
+            return Item(value=lambda get: F.col("vxid").cast("string"), own=True)
         if name in ("tag", "VSL") and rest:
             return _tag_item(rest, side)
         if side == RAW:
             return None
         if arg == "pvxid":
-            return Item(value=lambda get: F.col("pvxid").cast("string"), no_records=True)
+            return Item(value=lambda get: F.col("pvxid").cast("string"), own=True)
         if arg == "Varnish:side":
-            return Item(value=lambda get: F.lit(side), no_records=True)
+            return Item(value=lambda get: F.lit(side), own=True)
         if arg == "Varnish:time_firstbyte":
             return _slot_item(Slot("Timestamp", "Process" if side == CLIENT else "Beresp"), lambda p: header_field(p, 1))
         if arg in ("Varnish:hitmiss", "Varnish:handling"):
@@ -256,8 +257,10 @@ def required_slots(fmt: str, side: str) -> set[Slot]:
     return {s for item in _items(fmt, side) for s in item.slots}
 
 
-def _needs_no_records(fmt: str, side: str) -> bool:
-    return all(i.no_records for i in _items(fmt, side))
+def wants_bare(fmt: str, side: str) -> bool:
+    """Whether the format has lines for transactions (raw: records) that hold nothing it needs: some formatter is about the
+    transaction itself."""
+    return any(i.own for i in _items(fmt, side))
 
 
 def needed_tags(slots: Iterable[Slot], disposition: bool = False) -> tuple[set[str], dict[str, set[str]]]:
@@ -294,23 +297,46 @@ def format_columns(tx: DataFrame, side: str, formatters: dict[str, str]) -> Data
 def _selected(formats: dict[str, str], tags: set[str] = frozenset(), whole: bool = True) -> tuple[Column, Column]:
     """Which records the formats of their own side need: a condition on side and tag alone, which scans can
     take, and one on headers.  Records of ``tags`` count as needed, and (with ``whole``) all of a side whose
-    format needs none, as any of them shows that the transaction is there."""
+    format has lines for bare transactions, as any of them shows that the transaction is there."""
     coarse = fine = F.lit(False)
     for side, f in formats.items():
         own = F.col("side") == side
-        if not _needs_no_records(f, side):
-            named, headers = needed_tags(required_slots(f, side), any(i.disposition for i in _items(f, side)))
+        named, headers = needed_tags(required_slots(f, side), any(i.disposition for i in _items(f, side)))
+        if whole and wants_bare(f, side):
+            coarse, fine = coarse | own, fine | own
+        elif named | tags:
             coarse = coarse | (own & F.col("tag").isin(*sorted(named | tags)))
             fine = fine | (own & header_condition({t: h for t, h in headers.items() if t not in tags}))
-        elif whole:
-            coarse, fine = coarse | own, fine | own
     return coarse, fine
 
 
 def needed(formats: dict[str, str]) -> Column:
     """Whether the format of its side needs a record."""
     coarse, fine = _selected(formats, whole=False)
-    return coarse & fine
+    return F.coalesce(coarse & fine, F.lit(False))
+
+
+def cut_records(
+    records: DataFrame, formats: dict[str, str], max_reclen: int | None = MAX_RECLEN, where: Column | None = None, keep_tags: Iterable[str] = (), keep_all: bool = False
+) -> DataFrame:
+    """The records that matter to lines of the formats (side -> format), with ``_needed``, ``size`` (of the uncut payload,
+    terminator included) and, with ``where``, its value ``_hit``.  Payloads are cut to ``max_reclen`` bytes (None: not at all)
+    after ``where`` has seen them; those that no format needs are dropped."""
+    if keep_all:
+        rows = records.where(F.col("side").isin(*formats))
+    else:
+        coarse, fine = _selected(formats, {*keep_tags})
+        rows = records.where(coarse).where(fine)
+    if where is not None:
+        rows = rows.withColumn("_hit", where)
+    rows = rows.withColumns({"_needed": needed(formats), "size": F.octet_length(F.coalesce("payload", F.lit(""))).cast("long") + 1})
+    rows = rows.withColumn("payload", F.when(F.col("_needed"), F.col("payload")))
+    return rows if max_reclen is None else truncate_payload(rows, max_reclen)
+
+
+def format_needs(formats: dict[str, str]) -> tuple[set[Slot], bool]:
+    """The slots that the formats (side -> format) need, and whether they need the disposition."""
+    return {s for side, f in formats.items() for s in required_slots(f, side)}, any(i.disposition for side, f in formats.items() for i in _items(f, side))
 
 
 def plan(
@@ -321,7 +347,7 @@ def plan(
     keep_tags: Iterable[str] = (),
     grouping: str = "vxid",
     keep_all: bool = False,
-    extra: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
+    measured: bool = False,
     **how,
 ) -> DataFrame:
     """Assembled transactions of the sides that have a format.
@@ -329,35 +355,24 @@ def plan(
     Each side's records are cut to the tags and headers that its own format needs, and payloads to
     ``max_reclen`` bytes (None: not at all), before the one exchange.  ``where`` sees whole payloads;
     ``keep_tags`` are the tags that it looks at.  A transaction is kept if it holds a record that its
-    side's format needs, or if that format needs none.  pvxid is 0 unless ``grouping`` is request.
-    With ``keep_all`` every transaction stays, with the column ``bare`` (its format needs no records);
-    ``extra`` are further aggregates by name: a function, and its argument over whole payloads."""
+    side's format needs, or if that format has a formatter of the transaction itself (vxid, pvxid, side).
+    pvxid is 0 unless ``grouping`` is request.  With ``keep_all`` every transaction stays, with ``submitted``
+    (it would have been kept); ``measured`` adds len_hi and len_overflows of the payloads that fill slots."""
     formats = {s: f for s, f in formats.items() if f}
     check_grouping(grouping, formats)
-    slots = {s for side, f in formats.items() for s in required_slots(f, side)}
-    dispo = any(i.disposition for side, f in formats.items() for i in _items(f, side))
-    if keep_all:
-        rows = records.where(F.col("side").isin(*formats))
-    else:
-        coarse, fine = _selected(formats, {*keep_tags})
-        rows = records.where(coarse).where(fine)
-    if where is not None:
-        rows = rows.withColumn("_hit", where)
-    aggregates = {}
-    for name, a in (extra or {}).items():
-        rows = rows.withColumn(f"_{name}", a[1])
-        aggregates[name] = a[0](F.col(f"_{name}"))
-    counted = needed(formats)
-    rows = rows.withColumn("_needed", counted)
-    if max_reclen is not None:
-        rows = truncate_payload(rows, max_reclen)
-    tx = assemble(rows, slots, where=None if where is None else F.col("_hit"), binary_tags=BINARY_TAGS, with_disposition=dispo, needed=F.col("_needed"), extra=aggregates, **how)
+    slots, dispo = format_needs(formats)
+    rows = cut_records(records, formats, max_reclen, where, keep_tags, keep_all)
+    limit = (max_reclen or 1 << 62) if measured else None
+    tx = assemble(rows, slots, where=None if where is None else F.col("_hit"), binary_tags=BINARY_TAGS, with_disposition=dispo, needed=F.col("_needed"), max_reclen=limit, **how)
     if grouping != "request":
         tx = tx.withColumn("pvxid", F.lit(0).cast("long"))
-    bare = [side for side, f in formats.items() if _needs_no_records(f, side)]
-    if keep_all:
-        return tx.withColumn("bare", F.col("side").isin(*bare) if bare else F.lit(False))
-    return tx.where((F.col("n_recs") > 0) | F.col("side").isin(*bare)) if bare else drop_empty(tx)
+    return tx.withColumn("submitted", submitted(formats)) if keep_all else tx.where(submitted(formats))
+
+
+def submitted(formats: dict[str, str]) -> Column:
+    """Whether an assembled transaction has a line."""
+    bare = [side for side, f in formats.items() if wants_bare(f, side)]
+    return (F.col("n_recs") > 0) | F.col("side").isin(*bare) if bare else F.col("n_recs") > 0
 
 
 def format_lines(tx: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -388,9 +403,13 @@ def format_events(records: DataFrame, cformat: str = DEFAULT_FORMAT, bformat: st
 
 
 def format_raw(records: DataFrame, rformat: str, tags: Iterable[str] | None = None, max_reclen: int | None = MAX_RECLEN) -> DataFrame:
-    """Lines of single records; no shuffle.  Records of tags that the format doesn't name are dropped."""
-    named = {*tags} if tags is not None else {s.tag for s in required_slots(rformat, RAW)}
-    rows = filter_tags(records, named - {*DISPOSITION_TAGS}) if named else records
+    """Lines of single records, each a transaction of its own; no shuffle.  A record that the format doesn't name has a line
+    only where a formatter (the vxid) is about the transaction itself; ``tags``, or a predicate before this, select records."""
+    rows = records if tags is None else filter_tags(records, tags)
+    if not wants_bare(rformat, RAW):
+        named, headers = needed_tags(required_slots(rformat, RAW))
+        rows = filter_tags(rows, named - {*DISPOSITION_TAGS})
+        rows = rows.where(header_condition(headers)) if headers else rows
     if max_reclen is not None:
         rows = truncate_payload(rows, max_reclen)
     return rows.select("instance", "vxid", "ts", "seq", format_line(rformat, RAW).alias("line"))

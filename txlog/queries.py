@@ -88,7 +88,7 @@ def _sql_request(m: str, h: str, u: str, p: str) -> str:
 
 
 def _sql_time(p: str, fmt: str) -> str:
-    return f"strftime(make_timestamp(cast(split_part({_sql_field(_sql_value(p), 0)}, '.', 1) as bigint) * 1000000), '{fmt}')"
+    return f"coalesce(strftime(make_timestamp(try_cast(split_part({_sql_field(_sql_value(p), 0)}, '.', 1) as bigint) * 1000000), '{fmt}'), '')"
 
 
 def _sql_user(h: str) -> str:
@@ -114,7 +114,7 @@ _TX = (
     + ", ".join(f"{v} as {k}" for k, v in _S.items())
     + " from records where side <> '-' group by instance, vxid, side) "
 )
-_SQL_TRUNC = lambda p: f"cast(cast(trunc(cast({p} as double) * 1000000) as bigint) as varchar)"
+_SQL_TRUNC = lambda p: f"coalesce(cast(cast(trunc(try_cast({p} as double) * 1000000) as bigint) as varchar), '')"
 _CLIENT_LINE = (
     f"{_sql_field('reqstart', 0)} || ' - ' || {_sql_user('auth')} || ' ' || {_sql_time('start', '[%d/%b/%Y:%H:%M:%S +0000]')} || ' \"' || "
     f"{_sql_request('method', 'host', 'url', 'proto')} || '\" ' || coalesce(status, '') || ' ' || {_sql_field('acct', 4)} || ' \"' || "
@@ -125,6 +125,11 @@ _BACKEND_LINE = (
     f"coalesce(bstatus, '') || ' ' || {_sql_field('bacct', 4)} || ' ' || {_SQL_TRUNC(_sql_field(_sql_value('body'), 1))} || ' ' || {_sql_field(_sql_value('beresp'), 1)}"
 )
 
+# The default format has no lines for client transactions without any of what it shows; the backends' has, as it shows the side.
+_C_SLOTS = ["reqstart", "auth", "start", "method", "url", "proto", "host", "status", "acct", "referer", "agent"]
+_C_SENT = f"coalesce({', '.join(_C_SLOTS)}) is not null"
+_SENT = f"(side = 'b' or {_C_SENT})"
+
 # Sources, sinks and selections ------------------------------------------------
 
 
@@ -140,7 +145,7 @@ def _saved(r: DataFrame) -> DataFrame:
     return filter_instance(read_records(r.sparkSession, path), "main").select("seq", "vxid", "tag", "payload")
 
 
-@_query("a4_written_lines", _TX + f"select {_CLIENT_LINE} as value from tx where side = 'c'")
+@_query("a4_written_lines", _TX + f"select {_CLIENT_LINE} as value from tx where side = 'c' and {_C_SENT}")
 def _written(r: DataFrame) -> DataFrame:
     path = scratch_path(r.sparkSession, "lines")
     lines = format_events(r)
@@ -218,6 +223,12 @@ def _nonempty(r: DataFrame) -> DataFrame:
     return tx.select("vxid", "side", F.col("`slot:PipeAcct`").alias("pipe"))
 
 
+@_query("c6_bare_lines", _TX + "select vxid, cast(vxid as varchar) || ' ' || coalesce(status, '') as line from tx where side = 'c'")
+def _bare(r: DataFrame) -> DataFrame:
+    """The client format shows the vxid, so that every transaction has a line; the backends' shows nothing of its own, so that none has."""
+    return format_events(r, "%{vxid}x %s", "%l").select("vxid", "line")
+
+
 _TREE = (
     ", ids as (select distinct vxid, pvxid from records where side <> '-'), tree as (select vxid, vxid as root, 0 as depth from ids where pvxid not in (select vxid from ids) "
     "union all select i.vxid, t.root, t.depth + 1 from ids i join tree t on i.pvxid = t.vxid) "
@@ -335,8 +346,8 @@ def _sql_columns(side: str) -> str:
         "sent": f"case when acct is not null then {_sql_field('acct', 5)} else {_sql_field('pipe', 3)} end" if c else _sql_field("bacct", 5),
         "query": f"case when contains({p('url')}, '?') then substr({p('url')}, instr({p('url')}, '?') + 1) else '' end",
         "request": _sql_request(p("method"), p("host"), p("url"), p("proto")), "status": f"coalesce({p('status')}, '')",
-        "time": _sql_time("start", "[%d/%b/%Y:%H:%M:%S +0000]"), "day": f"{_sql_time('start', '%Y-%m-%d %H:%M:%S')} || '.' || {usec}",
-        "seconds": "'0'", "path": f"split_part({p('url')}, '?', 1)", "name": _sql_user(p("auth")), "firstbyte": _sql_field(_sql_value("process" if c else "beresp"), 1),
+        "time": _sql_time("start", "[%d/%b/%Y:%H:%M:%S +0000]"), "day": f"case when start is null then '' else {_sql_time('start', '%Y-%m-%d %H:%M:%S')} || '.' || {usec} end",
+        "seconds": "case when start is null then '' else '0' end", "path": f"coalesce(split_part({p('url')}, '?', 1), '')", "name": _sql_user(p("auth")), "firstbyte": _sql_field(_sql_value("process" if c else "beresp"), 1),
         "own_vxid": "cast(vxid as varchar)", "parent": "'0'", "own_side": f"'{side}'",
     }
     if c:
@@ -365,12 +376,12 @@ def _backend(r: DataFrame) -> DataFrame:
 # Lines --------------------------------------------------------------------------
 
 
-@_query("w1_access_log", _TX + f"select vxid, {_CLIENT_LINE} as line from tx where side = 'c'")
+@_query("w1_access_log", _TX + f"select vxid, {_CLIENT_LINE} as line from tx where side = 'c' and {_C_SENT}")
 def _w1(r: DataFrame) -> DataFrame:
     return format_events(r, DEFAULT_FORMAT).select("vxid", "line")
 
 
-@_query("f4_format_events", _TX + f"select vxid, side, case when side = 'c' then {_CLIENT_LINE} else {_BACKEND_LINE} end as line from tx")
+@_query("f4_format_events", _TX + f"select vxid, side, case when side = 'c' then {_CLIENT_LINE} else {_BACKEND_LINE} end as line from tx where {_SENT}")
 def _both(r: DataFrame) -> DataFrame:
     return format_events(r, DEFAULT_FORMAT, BACKEND_LINES).select("vxid", "side", "line")
 
@@ -391,28 +402,41 @@ ORACLES["w2_request_lines"] = _recursive(
 
 @_query("w3_raw_lines", "select seq, strftime(make_timestamp(ts), '[%d/%b/%Y:%H:%M:%S +0000]') || ' ' || cast(vxid as varchar) || ' ' || payload as line from records where tag = 'Backend_health'")
 def _w3(r: DataFrame) -> DataFrame:
-    return format_raw(r, RAW_FORMAT).select("seq", "line")
+    return format_raw(O.query_records(r, O.has("Backend_health")), RAW_FORMAT).select("seq", "line")
+
+
+@_query("f5_raw_all", "select seq, cast(vxid as varchar) || ' ' || case when tag = 'ReqURL' then payload else '' end as line from records")
+def _raw_all(r: DataFrame) -> DataFrame:
+    """Every record has a line, as the format shows the vxid."""
+    return format_raw(r, "%{vxid}x %{tag:ReqURL}x").select("seq", "line")
+
+
+@_query("f5_raw_named", f"select seq, strftime(make_timestamp(ts), '%H:%M:%S') || ' ' || {_sql_value('payload')} as line from records where tag = 'ReqHeader' and {_name()} = 'HOST'")
+def _raw_named(r: DataFrame) -> DataFrame:
+    """Only records that the format names have a line."""
+    return format_raw(r, "%{%T}t %{tag:ReqHeader:Host}x").select("seq", "line")
 
 
 # Statistics -----------------------------------------------------------------------
 
-_KEPT_TAGS = "tag in ('ReqStart', 'ReqMethod', 'ReqURL', 'ReqProtocol', 'RespStatus', 'ReqAcct') or (tag = 'ReqHeader' and {n} in ('HOST', 'AUTHORIZATION', 'REFERER', 'USER-AGENT')) or (tag = 'Timestamp' and {n} = 'START')".format(n=_name())
 # Lines are made of payloads cut to 39 bytes; what is left of longer credentials is no base64.
 _CUT_RECORDS = ", cut as (select * replace (case when payload like 'Authorization: Basic %' and strlen(payload) > 39 then 'Authorization: x' else left(payload, 39) end as payload) from records)"
+# The longest payloads are those of the slots, uncut: the first record of each.
+_SIZES = ", ".join(f"strlen({_S[k]}) + 1 as {k}" for k in _C_SLOTS)
+_OVER = lambda n: " + ".join(f"case when {k} > {n} then 1 else 0 end" for k in _C_SLOTS)
 _STATS = (
-    _CUT_RECORDS + _TX.rstrip().replace("from records", "from cut") + f", lines as (select ts, {_CLIENT_LINE} as line from tx where side = 'c'), kept as (select ts, least(strlen(payload) + 1, 40) as size, strlen(payload) + 1 > 40 as over from records where side = 'c' and ({_KEPT_TAGS})) "
+    _CUT_RECORDS + _TX.rstrip().replace("from records", "from cut") + f", lines as (select vxid, ts, {_C_SENT} as sent, {_CLIENT_LINE} as line from tx where side = 'c'), "
+    f"sizes as (select vxid, {_SIZES} from records where side = 'c' group by vxid), measured as (select ts, sent, line, greatest({', '.join(_C_SLOTS)}) as longest, {_OVER(40)} as overs from lines join sizes using (vxid)) "
 )
+_FIGURES = "count(*) as seen, count(*) filter (where sent) as submitted, count(*) filter (where sent) as writes, cast(sum(strlen(line) + 1) filter (where sent) as bigint) as bytes, max(longest) as len_hi, cast(sum(overs) as bigint) as len_overflows"
 
 
-@_query("g1_log_stats", _STATS + "select * from (select count(*) as seen from tx where side = 'c'), (select count(*) as submitted, count(*) as writes, cast(sum(strlen(line) + 1) as bigint) as bytes from lines), (select max(size) as len_hi, count(*) filter (where over) as len_overflows from kept)")
+@_query("g1_log_stats", _STATS + f"select {_FIGURES} from measured")
 def _g1(r: DataFrame) -> DataFrame:
     return O.log_stats(r, {"c": DEFAULT_FORMAT}, max_reclen=40)
 
 
-_BY = lambda t: f"{t}.ts // 21600000000 * 21600000000"
-
-
-@_query("g2_log_stats_interval", _STATS + f"select * from (select {_BY('tx')} as start_us, count(*) as seen from tx where side = 'c' group by 1) a join (select {_BY('lines')} as start_us, count(*) as submitted, count(*) as writes, cast(sum(strlen(line) + 1) as bigint) as bytes from lines group by 1) b using (start_us) join (select {_BY('kept')} as start_us, max(size) as len_hi, count(*) filter (where over) as len_overflows from kept group by 1) c using (start_us)")
+@_query("g2_log_stats_interval", _STATS + f"select ts // 21600000000 * 21600000000 as start_us, {_FIGURES} from measured group by 1")
 def _g2(r: DataFrame) -> DataFrame:
     out = O.log_stats(r, {"c": DEFAULT_FORMAT}, interval="6 hours", max_reclen=40)
     return out.select(F.unix_micros("start").alias("start_us"), "seen", "submitted", "writes", "bytes", "len_hi", "len_overflows")
@@ -472,5 +496,5 @@ def _h5(r: DataFrame) -> DataFrame:
 def _h6(r: DataFrame) -> DataFrame:
     spark = r.sparkSession
     path, checkpoint = scratch_path(spark, "raw-lines"), scratch_path(spark, "raw-checkpoint")
-    stream_lines(S.stream_raw(_stream(r), RAW_FORMAT), path, checkpoint, available_now=True).awaitTermination()
+    stream_lines(S.stream_raw(O.query_records(_stream(r), O.has("Backend_health")), RAW_FORMAT), path, checkpoint, available_now=True).awaitTermination()
     return spark.read.text(path).select(F.col("dt").cast("string").alias("dt"), F.col("value").alias("line"))
