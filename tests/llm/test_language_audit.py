@@ -57,8 +57,17 @@ def test_language_model(spark, limits):
     langs, word = plain_model(rows, limits)
     assert model.langs == langs
     assert limits[0] > 60 or len(model.words) <= 60
-    for w in ["the", "der", "xyzzy", "qqq", "ß", "thtion", *re.findall(r"[^\W\d_]+", rows[0][0].lower())[:40]]:
-        assert model.vector(w) == pytest.approx([word(l, w) for l in langs], abs=1e-9)
+    some = ["the", "der", "xyzzy", "qqq", "ß", "жж", "thtion", *re.findall(r"[^\W\d_]+", rows[0][0].lower())[:40]]
+    for w, got in zip(some, model.vectors(some), strict=True):
+        assert got == pytest.approx([word(l, w) for l in langs], abs=1e-9)
+
+
+def test_a_small_table_starts_over(spark):
+    rows = [(r.text, r.lang) for r in documents(spark, SF).limit(40).collect()]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    want, scorer = [language_id.Scorer(model).predict(t) for t, _ in rows], language_id.Scorer(model)
+    scorer.size = 64
+    assert [scorer.predict(t)[0] for t, _ in rows] == [l for l, _ in want] and len(scorer) < 64
 
 
 def test_language_on_held_out_rows(spark):
