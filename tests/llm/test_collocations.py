@@ -64,7 +64,7 @@ def test_intervals_of_an_index():
     """Every phrase of up to four words has as many rows in its interval of either transform as it occurs."""
     rng = np.random.default_rng(5)
     symbols = np.append(rng.integers(0, 5, 400), 0).astype(np.int32)
-    left, right = C.transform(symbols, 4), C.transform(np.append(symbols[-2::-1], 0).astype(np.int32), 4)
+    left, right = C.transform(symbols, 4), C.transform(C.mirrored(symbols), 4)
     n = np.bincount(symbols, minlength=5)
     start = (np.cumsum(n) - n)[1:]
     phrases = {i: (i + 1,) for i in range(4)}
@@ -80,6 +80,11 @@ def test_intervals_of_an_index():
         assert {tuple(map(int, phrases[k])): int(c) for k, c in enumerate(count)} == want
 
 
+def test_packed_numbers():
+    for numbers in ([], [0], [1, 2**31 - 1, 7], [5, 2**40, 3]):
+        assert C.unpack(C.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     assert C.collocations(docs).count() == 0

@@ -10,10 +10,10 @@ sorts before it.  The phrase of equal length that the longer one shares all but
 one whose interval holds the new interval.
 
 Counts are summed across shards after each length, and only phrases that reach ``least`` are extended
-further; as no part of a phrase is rarer than the phrase, that loses none.  What is sent back to a shard is
-its own intervals, so nothing that grows with the corpus is broadcast (levels of at most ``BROADCAST``
-rows are).  A phrase is the pair of the phrases that it begins and ends with, all by number; their counts
-give the parts' counts of every cut.
+further; as no part of a phrase is rarer than the phrase, that loses none.  A level of at most ``BROADCAST``
+phrases is sent to the tasks; of larger ones each shard is sent what it holds, by joins.  A phrase is the
+pair of the phrases that it begins and ends with, all by number; their counts give the parts' counts of
+every cut.
 
 Nulls: a null text is empty, a null language ``und``.  Repeated rows count each; empty texts and an empty
 table give no phrases; a text of any length lies whole in one shard; extra columns are not used.
@@ -25,6 +25,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +36,13 @@ from txlog.llm.common import _ODD_SPACE, documents, map_rows, materialize, scrat
 #: Words of a shard; it is closed behind the text that reaches them.
 SHARD_WORDS = 2_000_000
 #: Levels of at most so many rows of three integers are sent to the tasks; larger ones are joined by a shuffle.
-BROADCAST = 500_000
+BROADCAST = 1_000_000
 SALTS = 32
 _CUT = re.compile("[.,;:!?\n-\r]")
 _UPPER = re.compile("[A-Z]+")
 _WORD = re.compile("[^ \t]+")
-_GRAMS = "shard long, main int, other int, n int, prefix long, suffix long"
+#: Rows of phrases (the shard's ``at``th, with its ends and how often it occurs), and one row per shard with its packed arrays.
+_ROWS = "shard long, at int, n int, prefix long, suffix long, left binary, right binary, main binary, other binary, counts binary, heads binary, tails binary"
 
 
 class _Numbers(dict):
@@ -54,6 +56,18 @@ class _Numbers(dict):
         return self[word]
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Integers as compressed planes of their first, second, ... bytes."""
+    planes = np.ascontiguousarray(numbers, "<i8" if numbers.max(initial=0) >= 1 << 31 else "<i4")
+    width = planes.itemsize
+    return bytes([width]) + zstandard.compress(planes.view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{data[0]}").ravel().astype(np.int64)
+
+
 def phrase_words(text: str) -> list[str]:
     """Words, with A-Z in lower case, and a full stop where pieces end."""
     text = text.lower() if text.isascii() else _UPPER.sub(lambda m: m.group().lower(), text)
@@ -74,7 +88,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             seq = np.concatenate(runs)
             counts = np.bincount(seq, minlength=len(numbers))[1:]
             closed += 1
-            return {"shard": [part << 32 | closed], "lang": [lang], "n": [int(counts.sum())], "words": [[*numbers][1:]], "counts": [counts.tolist()], "sequence": [seq.astype("<i4").tobytes()]}
+            return {"shard": [part << 32 | closed], "lang": [lang], "n": [int(counts.sum())], "words": [[*numbers][1:]], "counts": [counts.tolist()], "sequence": [pack(seq)]}
 
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
@@ -132,54 +146,109 @@ def _compact(symbols: np.ndarray) -> np.ndarray:
     return np.append(symbols[(symbols > 0) | (before > 0)], 0)
 
 
-def _frame(shard: int, got: tuple[np.ndarray, ...], left: bool) -> pd.DataFrame:
+def mirrored(symbols: np.ndarray) -> np.ndarray:
+    return np.append(symbols[-2::-1], 0)
+
+
+def _rows(shard: int, got: tuple[np.ndarray, ...], to_left: bool, **index: bytes) -> pd.DataFrame:
+    """The rows of what ``extend`` has given."""
     main, other, n, near, far = got
-    if not left:
+    if not to_left:
         main, other, near, far = other, main, far, near
-    return pd.DataFrame({"shard": np.full(len(n), shard), "main": main.astype(np.int32), "other": other.astype(np.int32), "n": n.astype(np.int32), "prefix": far, "suffix": near})
+    grams = pd.DataFrame({"shard": np.full(len(n), shard), "at": np.arange(len(n)), "n": n, "prefix": far, "suffix": near})
+    arrays = {"main": main, "other": other, "counts": n, "heads": far, "tails": near}
+    state = pd.DataFrame({"shard": [shard]} | {k: [v] for k, v in index.items()} | {k: [pack(v)] for k, v in arrays.items()})
+    return pd.concat([grams, state]).reindex(columns=_COLUMNS).astype({"at": "Int32", "n": "Int32", "prefix": "Int64", "suffix": "Int64"})
+
+
+_COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
 
 def _indexed(parts: DataFrame, known: DataFrame, depth: int) -> DataFrame:
-    """Per shard its two transforms, and the phrases of two words with ``main`` in the one of the texts."""
+    """Per shard its two transforms and the phrases of two words."""
 
     def build(shard_rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        shard, seq = int(shard_rows["own"].iloc[0]), np.frombuffer(shard_rows["sequence"].iloc[0], "<i4")
+        shard, seq = int(shard_rows["own"].iloc[0]), unpack(shard_rows["sequence"].iloc[0])
         words = words.sort_values("local")
         symbol = np.zeros(max(int(seq.max(initial=0)), int(words["local"].max() if len(words) else 0)) + 1, np.int32)
         symbol[words["local"]] = np.arange(1, len(words) + 1)
         symbols = _compact(symbol[seq])
-        left, right = transform(symbols, depth), transform(np.append(symbols[-2::-1], 0).astype(np.int32), depth)
+        left, right = transform(symbols, depth), transform(mirrored(symbols), depth)
         n = np.bincount(symbols, minlength=len(words) + 1)
-        start = (np.cumsum(n) - n)[1:]
-        got = extend(left, start[n[1:] > 0], start[n[1:] > 0], n[1:][n[1:] > 0], words["number"].to_numpy(np.int64)[n[1:] > 0])
-        index = pd.DataFrame({"shard": [shard], "left": [left.astype("<i4").tobytes()], "right": [right.astype("<i4").tobytes()]})
-        return pd.concat([_frame(shard, got, True), index]).astype({k: "Int32" for k in ("main", "other", "n")} | {k: "Int64" for k in ("prefix", "suffix")})
+        start, there = (np.cumsum(n) - n)[1:], n[1:] > 0
+        got = extend(left, start[there], start[there], n[1:][there], words["number"].to_numpy(np.int64)[there])
+        return _rows(shard, got, True, left=pack(left), right=pack(right))
 
     both = parts.select(F.col("shard").alias("own"), "sequence").groupBy("own").cogroup(known.groupBy("shard"))
-    return both.applyInPandas(build, f"{_GRAMS}, left binary, right binary")
+    return both.applyInPandas(build, _ROWS)
 
 
-def _extended(index: DataFrame, known: DataFrame, left: bool) -> DataFrame:
-    side = "left" if left else "right"
+def _grow(row, at: np.ndarray, number: np.ndarray, left: bool, last: bool) -> pd.DataFrame:
+    """Extends the shard's phrases ``at``, which have these numbers."""
+    main, other, n = (unpack(x)[at] for x in (row.main, row.other, row.counts))
+    if not left:
+        main, other = other, main
+    got = extend(unpack(row.left if left else row.right), main, other, n, number)
+    return _rows(int(row.shard), got, left, **({} if last else {"left": row.left, "right": row.right}))
 
-    def grow(shard_rows: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
-        if not len(phrases) or not len(shard_rows):
-            return _frame(0, tuple(np.zeros(0, np.int64) for _ in range(5)), True)
-        bwt = np.frombuffer(shard_rows[side].iloc[0], "<i4")
-        main, other = (phrases[c].to_numpy(np.int64) for c in (("main", "other") if left else ("other", "main")))
-        got = extend(bwt, main, other, phrases["n"].to_numpy(np.int64), phrases["number"].to_numpy(np.int64))
-        return _frame(int(shard_rows["own"].iloc[0]), got, left)
 
-    return index.select(F.col("shard").alias("own"), side).groupBy("own").cogroup(known.groupBy("shard")).applyInPandas(grow, _GRAMS)
+class Lookup:
+    """Numbers of the phrases of a level, by their ends."""
 
+    def __init__(self, prefix: np.ndarray, suffix: np.ndarray, number: np.ndarray):
+        self.ends = np.unique(prefix), np.unique(suffix)
+        key = np.searchsorted(self.ends[0], prefix) * len(self.ends[1]) + np.searchsorted(self.ends[1], suffix)
+        order = np.argsort(key)
+        self.key, self.number = key[order], number[order]
 
-def _numbered(level: DataFrame, name: str) -> DataFrame:
-    return materialize(level.withColumn("number", F.monotonically_increasing_id()), name)
+    def find(self, prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are there, and their numbers."""
+        if not len(self.key):
+            return np.zeros(0, int), np.zeros(0, int)
+        at = [np.minimum(np.searchsorted(ends, x), len(ends) - 1) for ends, x in zip(self.ends, (prefix, suffix))]
+        there = (self.ends[0][at[0]] == prefix) & (self.ends[1][at[1]] == suffix)
+        key = at[0] * len(self.ends[1]) + at[1]
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        found = np.flatnonzero(there & (self.key[place] == key))
+        return found, self.number[place[found]]
+
+
+def _extended(state: DataFrame, level: DataFrame, left: bool, last: bool) -> DataFrame:
+    """The phrases of a word more than ``level``'s, of the shards whose rows ``state`` holds."""
+    grams, index = state.where("n is not null").select("shard", "at", "prefix", "suffix"), state.where("counts is not null").drop("at", "n", "prefix", "suffix")
+    if level.count() <= BROADCAST:
+        table = level.select("prefix", "suffix", "number").toPandas()
+        shipped = level.sparkSession.sparkContext.broadcast(Lookup(*(table[c].to_numpy(np.int64) for c in table.columns)))
+
+        def grow_each(batches):
+            for b in batches:
+                for row in b.itertuples(index=False):
+                    yield _grow(row, *shipped.value.find(unpack(row.heads), unpack(row.tails)), left, last)
 
+        return index.mapInPandas(grow_each, _ROWS)
 
-def _checked(level: DataFrame, *columns: str) -> DataFrame:
-    """A level's columns, to be sent to the tasks while it is small."""
-    return F.broadcast(level.select(*columns)) if level.count() <= BROADCAST else level.select(*columns)
+    def grow(shard_rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard_rows):
+            return pd.DataFrame(columns=_COLUMNS)
+        row = next(shard_rows.rename(columns={"own": "shard"}).itertuples(index=False))
+        return _grow(row, known["at"].to_numpy(np.int64), known["number"].to_numpy(np.int64), left, last)
+
+    known = grams.join(level.select("prefix", "suffix", "number"), ["prefix", "suffix"]).select("shard", "at", "number")
+    return index.select(F.col("shard").alias("own"), *index.columns[1:]).groupBy("own").cogroup(known.groupBy("shard")).applyInPandas(grow, _ROWS)
+
+
+def _numbered(level: DataFrame, name: str) -> DataFrame:
+    """With ``number`` from 0 on."""
+    level = materialize(level.withColumn("place", F.monotonically_increasing_id()), name)
+    task = F.shiftrightunsigned("place", 33).alias("task")
+    sizes = sorted((r["task"], r["count"]) for r in level.groupBy(task).count().collect())
+    start, first = {}, 0
+    for k, n in sizes:
+        start[k], first = first, first + n
+    # One entry per task that wrote rows.
+    starts = F.broadcast(level.sparkSession.createDataFrame([(k, v) for k, v in start.items()], "task long, start long"))
+    inner = F.col("place").bitwiseAND((1 << 33) - 1)
+    return level.withColumn("task", task).join(starts, "task").withColumn("number", F.col("start") + inner).drop("task", "start", "place")
 
 
 def phrase_levels(parts: DataFrame, least: int, depth: int) -> list[DataFrame]:
@@ -192,13 +261,12 @@ def phrase_levels(parts: DataFrame, least: int, depth: int) -> list[DataFrame]:
     none = F.lit(None).cast("long")
     one = one.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"), none.alias("prefix"), none.alias("suffix"))
     levels = [_numbered(one, "words")]
-    known = words.join(_checked(levels[0].withColumnRenamed("phrase", "word"), "lang", "word", "number"), ["lang", "word"]).select("shard", "local", "number")
-    index = materialize(_indexed(parts, known, depth), "index")
-    grams = index.where("n is not null").drop("left", "right")
-    index = index.where("left is not null").select("shard", "left", "right")
+    numbers = levels[0].select("lang", F.col("phrase").alias("word"), "number")
+    known = words.join(numbers, ["lang", "word"]).select("shard", "local", "number")
+    state = materialize(_indexed(parts, known, depth), "index")
     for size in range(2, depth + 1):
         below = levels[-1]
-        total = grams.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        total = state.where("n is not null").groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         heads = below.select(F.col("number").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("h"))
         tails = below.select(F.col("number").alias("suffix"), "last", F.col("tails").alias("t"))
         phrase = F.concat_ws(" ", "head", "last").alias("phrase")
@@ -206,8 +274,7 @@ def phrase_levels(parts: DataFrame, least: int, depth: int) -> list[DataFrame]:
         level = level.select("lang", phrase, "last", "f", F.concat("h", F.array("f")).alias("heads"), F.concat("t", F.array("f")).alias("tails"), "prefix", "suffix")
         levels.append(_numbered(level, f"phrases-{size}"))
         if size < depth:
-            known = grams.join(_checked(levels[-1], "prefix", "suffix", "number"), ["prefix", "suffix"]).select("shard", "main", "other", "n", "number")
-            grams = materialize(_extended(index, known, left=size % 2 == 1), f"grams-{size + 1}")
+            state = materialize(_extended(state, levels[-1], left=size % 2 == 1, last=size + 1 == depth), f"phrases-{size + 1}-of-shards")
     return levels
 
 
