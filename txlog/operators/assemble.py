@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,17 +97,23 @@ def assemble(
         tx = tx.where("ended").drop("ended")
     get = lambda s: F.col(f"`{s.column}`")
     if max_reclen is not None:
-        sizes = [get(s)["size"] for s in slots if not s.header or Slot(s.tag) not in slots]
-        # A record with a header may fill its tag's plain slot, too.
-        sizes += [F.when(get(s)["seq"] != get(Slot(s.tag))["seq"], get(s)["size"]) for s in slots if s.header and Slot(s.tag) in slots]
-        zero = F.lit(0).cast("long")
-        tx = tx.withColumns({"len_hi": F.greatest(zero, zero, *sizes), "len_overflows": sum((F.when(n > max_reclen, 1).otherwise(0) for n in sizes), zero)})
+        tx = tx.withColumns(slot_lengths(slots, get, max_reclen))
     if binary:
         tx = tx.withColumns({f"raw:{s.tag}": get(s)["raw"] for s in slots if s in binary})
     nested = [s for s in slots if s in binary or max_reclen is not None]
     return tx.withColumns({s.column: get(s)["payload"] for s in nested}) if nested else tx
 
 
+def slot_lengths(slots: Iterable[Slot], get: Callable[[Slot], Column], max_reclen: int) -> dict[str, Column]:
+    """len_hi and len_overflows of slots that hold structs with ``size`` and ``seq``.  A record with a header may fill its tag's
+    plain slot, too: it counts once."""
+    slots = [*slots]
+    sizes = [get(s)["size"] for s in slots if not s.header or Slot(s.tag) not in slots]
+    sizes += [F.when(get(s)["seq"] != get(Slot(s.tag))["seq"], get(s)["size"]) for s in slots if s.header and Slot(s.tag) in slots]
+    zero = F.lit(0).cast("long")
+    return {"len_hi": F.greatest(zero, zero, *sizes), "len_overflows": sum((F.when(n > max_reclen, 1).otherwise(0) for n in sizes), zero)}
+
+
 def drop_empty(tx: DataFrame, nonrecs_wanted: bool = False) -> DataFrame:
     """Without transactions that hold no record any slot needs, unless the format needs none."""
     return tx if nonrecs_wanted else tx.where("n_recs > 0")

@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {}
 
 RAW_FORMAT = "%t %{vxid}x %{tag:Backend_health}x"
 BACKEND_LINES = '%d %h %m "%r" %s %b %D %{Varnish:time_firstbyte}x'
+FILES = 5
 STREAM_SLOTS = [Slot("ReqStart"), Slot("ReqURL"), Slot("ReqHeader", "User-Agent"), Slot("RespStatus"), Slot("ReqAcct")]
 
 
@@ -445,14 +446,23 @@ def _g2(r: DataFrame) -> DataFrame:
 # Streams: the records are written as a log, and the stream drains it ---------------
 
 
-def _stream(r: DataFrame) -> DataFrame:
+def _stream(r: DataFrame, files: int = 1) -> DataFrame:
+    """The records as a log, drained a file at a time; several files follow each other in time, so that transactions lie across them."""
     path = scratch_path(r.sparkSession, "stream")
-    r.write.parquet(path)
-    return stream_records(r.sparkSession, path, from_start=True)
+    if files == 1:
+        r.write.parquet(path)
+        return stream_records(r.sparkSession, path, from_start=True)
+    log = scratch_path(r.sparkSession, "log")
+    r.write.parquet(log)
+    rows = read_records(r.sparkSession, log).withColumn("us", F.unix_micros("ts"))
+    ends = rows.selectExpr(*[f"percentile_approx(us, {k / files}, 1000)" for k in range(1, files)]).first()
+    for low, high in zip([-(1 << 62), *ends], [*ends, 1 << 62]):
+        rows.where((F.col("us") >= low) & (F.col("us") < high)).drop("us").coalesce(1).write.mode("append").parquet(path)
+    return stream_records(r.sparkSession, path, from_start=True, max_files=1)
 
 
-def _named(tx: DataFrame) -> DataFrame:
-    return tx.select("vxid", "side", "pvxid", "disposition", "n_recs", *[F.col(f"`{s.column}`").alias(s.column.replace("slot:", "").replace(":", "_").replace("-", "_").lower()) for s in STREAM_SLOTS])
+def _named(tx: DataFrame, *more: str) -> DataFrame:
+    return tx.select("vxid", "side", "pvxid", "disposition", "n_recs", *more, *[F.col(f"`{s.column}`").alias(s.column.replace("slot:", "").replace(":", "_").replace("-", "_").lower()) for s in STREAM_SLOTS])
 
 
 _STREAM_TX = (
@@ -470,14 +480,64 @@ _WATERMARK_MS = "(select max(ts) // 1000 - 10000 from records where side <> '-')
 @_query("h1_stream_transactions", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where ended <= began + 120000000)"))
 def _h1(r: DataFrame) -> DataFrame:
     """Complete transactions of a drained stream."""
-    return _named(S.drain(S.stream_transactions(_stream(r), STREAM_SLOTS), "tx").where("not forced"))
+    return _named(S.drain(S.stream_transactions(_stream(r, FILES), STREAM_SLOTS), "tx").where("not forced"))
 
 
 @_query("h2_stream_forced", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where ended > began + 120000000 or (ended is null and began // 1000 + 120000 < {_WATERMARK_MS}))"))
 def _h2(r: DataFrame) -> DataFrame:
     """Transactions that a drained stream emits without an End in time: the End came too late, or the
     watermark passed the timeout."""
-    return _named(S.drain(S.stream_transactions(_stream(r), STREAM_SLOTS), "tx").where("forced"))
+    return _named(S.drain(S.stream_transactions(_stream(r, FILES), STREAM_SLOTS), "tx").where("forced"))
+
+
+def _drained(r: DataFrame) -> DataFrame:
+    """All rows of a stream, with those that were open when it stopped."""
+    checkpoint = scratch_path(r.sparkSession, "checkpoint")
+    found = S.drain(S.stream_transactions(_stream(r, FILES), STREAM_SLOTS, with_late=True), "tx", checkpoint=checkpoint).drop("forced")
+    return found.unionByName(S.pending_transactions(r.sparkSession, checkpoint, STREAM_SLOTS))
+
+
+_DEADLINE = f"(select vxid, side, case when ended <= began + 120000000 then 'complete' when ended is not null or began // 1000 + 120000 < {_WATERMARK_MS} then 'forced' else 'open' end as status from {_SPANS})"
+
+
+@_query("h7_drain_and_flush", _STREAM_SQL("").replace("select * from tx", f"select * from tx join {_DEADLINE} using (vxid, side)"))
+def _h7(r: DataFrame) -> DataFrame:
+    """Each transaction once: complete, forced, or read from the state of the stopped stream."""
+    return _named(_drained(r).where("status <> 'late'"), "status")
+
+
+@_query("h4_late_after_timeout", f"select vxid, side, count(*) as late from records join {_SPANS} using (vxid, side) where side <> '-' and ts > began + 120000000 group by vxid, side")
+def _h4(r: DataFrame) -> DataFrame:
+    """Records that came after their transaction was due."""
+    return _drained(r).where("status = 'late'").select("vxid", "side", "late")
+
+
+@_query("h1_stream_lines", _TX + f"select {_CLIENT_LINE} as line from tx where side = 'c' and {_C_SENT} union all select {_BACKEND_LINE} as line from tx where side = 'b'")
+def _h1_lines(r: DataFrame) -> DataFrame:
+    """The access log of a stream: lines of finished transactions in files by date and hour, those of open ones appended at the end."""
+    spark = r.sparkSession
+    path, checkpoint = scratch_path(spark, "lines"), scratch_path(spark, "lines-checkpoint")
+    stream_lines(S.stream_events(_stream(r, FILES), DEFAULT_FORMAT, BACKEND_LINES), path, checkpoint, available_now=True).awaitTermination()
+    rest = scratch_path(spark, "rest")
+    write_lines(S.pending_events(spark, checkpoint, DEFAULT_FORMAT, BACKEND_LINES), rest)
+    return spark.read.text(path).select("value").union(spark.read.text(rest)).select(F.col("value").alias("line"))
+
+
+@_query("b5_stream_lines", _TX + f"select {_CLIENT_LINE} as line from tx where side = 'c' and (instance, vxid) in (select (instance, vxid) from records where tag = 'PipeAcct') and exists (select 1 from {_DEADLINE} d where d.vxid = tx.vxid and d.side = 'c' and d.status <> 'open')")
+def _b5_stream(r: DataFrame) -> DataFrame:
+    """Lines of whole transactions with a record that the format doesn't need, as the stream gives them out."""
+    lines = S.stream_events(_stream(r, FILES), DEFAULT_FORMAT, where=O.has("PipeAcct"), keep_tags=["PipeAcct"])
+    return S.drain(lines, "lines").select("line")
+
+
+@_query("h5_stream_log_stats", _STATS + f"select ts // 21600000000 * 21600000000 as start_us, {_FIGURES} from measured group by 1")
+def _h5_log_stats(r: DataFrame) -> DataFrame:
+    """The figures of g2, added up batch by batch."""
+    spark, formats = r.sparkSession, {"c": DEFAULT_FORMAT}
+    path, checkpoint = scratch_path(spark, "figures"), scratch_path(spark, "figures-checkpoint")
+    S.stream_log_stats(_stream(r, FILES), formats, path, checkpoint, "6 hours", 40, available_now=True).awaitTermination()
+    S.flush_log_stats(spark, checkpoint, formats, path, "6 hours", 40)
+    return S.read_log_stats(spark, path).select(F.unix_micros("start").alias("start_us"), "seen", "submitted", "writes", "bytes", "len_hi", "len_overflows")
 
 
 @_query("h3_stream_windowed", _STREAM_SQL(f"and (vxid, side) in (select (vxid, side) from {_SPANS} where last + 600000000 <= {_WATERMARK_MS} * 1000)"))

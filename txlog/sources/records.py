@@ -20,13 +20,14 @@ def read_records(spark: SparkSession, path: str, format: str = "parquet") -> Dat
     return spark.read.schema(RECORD_SCHEMA).format(format).load(path)
 
 
-def stream_records(spark: SparkSession, path: str, from_start: bool = False, format: str = "parquet", since: dt.datetime | None = None) -> DataFrame:
-    """New files of a growing log; with ``from_start`` those that are there already, too.
+def stream_records(spark: SparkSession, path: str, from_start: bool = False, format: str = "parquet", since: dt.datetime | None = None, max_files: int | None = None) -> DataFrame:
+    """New files of a growing log; with ``from_start`` those that are there already, too; at most ``max_files`` in a batch.
 
     A file is new if it was written after ``since`` (default: now).  A job that is to go on after a restart
     gives the same ``since`` again, or else loses the files of the time in between; its checkpoint knows
     which it has read."""
-    stream = spark.readStream.schema(RECORD_SCHEMA).format(format).load(path)
+    reader = spark.readStream.schema(RECORD_SCHEMA).format(format)
+    stream = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(path)
     if from_start:
         return stream
     began = since or spark.sql("select current_timestamp() as t").first()["t"]

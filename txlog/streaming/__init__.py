@@ -1,5 +1,11 @@
 """The same jobs on growing logs."""
 
-from txlog.streaming.transactions import drain, late_records, stream_raw, stream_stats, stream_transactions, stream_transactions_windowed
+from txlog.streaming.transactions import (
+    drain, flush_log_stats, late_records, pending_events, pending_transactions, read_log_stats, stream_events, stream_log_stats, stream_raw, stream_stats,
+    stream_transactions, stream_transactions_windowed,
+)
 
-__all__ = ["drain", "late_records", "stream_raw", "stream_stats", "stream_transactions", "stream_transactions_windowed"]
+__all__ = [
+    "drain", "flush_log_stats", "late_records", "pending_events", "pending_transactions", "read_log_stats", "stream_events", "stream_log_stats", "stream_raw",
+    "stream_stats", "stream_transactions", "stream_transactions_windowed",
+]
