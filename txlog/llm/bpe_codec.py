@@ -18,7 +18,7 @@ from array import array
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from txlog.llm.common import documents, map_rows
+from txlog.llm.common import documents, id_type, map_rows
 from txlog.llm.vocab import CHUNK, UNSAFE, Bounded, Vocabulary, byte_level_pieces, char_bytes, to_chars, vocabulary
 
 _INF = 1 << 60
@@ -164,7 +164,7 @@ def codec_digests(df: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(enc.decode(i).encode()).hexdigest() for i in ids],
             }
 
-    return map_rows(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(df.select("doc_id", "text"), run, f"doc_id {id_type(df)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

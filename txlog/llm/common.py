@@ -6,12 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txlog.scratch import materialize, scratch_path, scratch_scope
 
-__all__ = ["FILE", "ROW", "documents", "drop_rows", "keyed", "map_rows", "materialize", "scratch_path", "scratch_scope", "words"]
+__all__ = ["FILE", "ROW", "documents", "drop_rows", "id_type", "keyed", "map_rows", "materialize", "scratch_path", "scratch_scope", "words"]
 
 #: The columns that name a row of a keyed table; tables given to operators have none of these names.
 FILE, ROW = "_txlog_file", "_txlog_row"
@@ -57,13 +58,21 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with two more columns, FILE and ROW, that name each row, whatever its columns hold.
 
-    A table as read from its files is taken as it stands (a hash of the file's path, and the place in it);
-    anything else is written to the shared folder first, so that a name stays with its row."""
+    A table as read from files of a format that numbers rows (Parquet) is taken as it stands: a hash of the file's path,
+    and the place in it.  Anything else is written to the shared folder first, so that a name stays with its row."""
     if docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
-        return docs.withColumns({FILE: F.xxhash64("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+        try:
+            return docs.withColumns({FILE: F.xxhash64("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+        except AnalysisException:  # other formats have no row_index
+            pass
     return materialize(docs.withColumns({FILE: F.lit(0).cast("long"), ROW: F.monotonically_increasing_id()}), "rows")
 
 
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of the ids, which operators hand through as they are."""
+    return docs.schema[column].dataType.simpleString()
+
+
 def drop_rows(rows: DataFrame, losers: DataFrame) -> DataFrame:
     """The keyed ``rows`` without those that ``losers``, a written table, names, and without the two columns
     of the key.  Spark broadcasts the names only while that table is small."""

@@ -36,14 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, scratch_scope, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, id_type, keyed, map_rows, materialize, scratch_scope, words
 from txlog.llm.components import components
 from txlog.llm.substring_dedup import Hashes
 from txlog.llm.vocab import Bounded
 
 WIDTH, PERCENT = 4, 85
-#: A shingle that more texts list than this counts as frequent.
-FREQUENT = 1
 TILE_TOKENS, TILE_TEXTS = 1_000_000, 2000
 #: Up to this many rows of at most four integers (16 MB) are broadcast to a join; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -126,7 +124,7 @@ def text_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rid += 1
             yield out
 
-    return map_rows(docs.select(FILE, ROW, "doc_id", "text"), run, f"rid long, {FILE} long, {ROW} long, doc_id long, n int, s1 long, s2 long, head array<long>")
+    return map_rows(docs.select(FILE, ROW, "doc_id", "text"), run, f"rid long, {FILE} long, {ROW} long, doc_id {id_type(docs)}, n int, s1 long, s2 long, head array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -148,7 +146,7 @@ def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFram
     # Written first, so that the join has exchanges of its own, whose hot partitions Spark can split.
     common = materialize(listing.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "common")
     shared = listing.join(common.hint("merge"), "token")
-    # What a text lists and others list too: at most its list.
+    # What a text lists and others list too, at most its list: each such shingle counts as frequent to begin with.
     own = shared.groupBy("rid").agg(F.collect_list(F.struct("rank", "token", "c")).alias("shared"))
     own = own.join(names.select("rid", "n"), "rid")
     own = materialize(own, "shared")
@@ -158,15 +156,16 @@ def candidate_edges(rows: DataFrame, names: DataFrame, percent: int) -> DataFram
         for b in batches:
             out = []
             for n, items in zip(b["n"], b["shared"]):
-                frequent = sorted((x["c"], x["token"]) for x in items if x["c"] > FREQUENT)
+                frequent = sorted((x["c"], x["token"]) for x in items)
                 missing = prefix_length(n, percent) - (listed(n, percent) - len(frequent))
                 if missing > 0 and listed(n, percent) < n:
                     out += [t for _, t in frequent[:missing]]
             yield {"token": out}
 
     spared = map_rows(own.select("n", "shared"), give_back, "token long").distinct().withColumn("spared", F.lit(True))
-    items = own.select("rid", "n", F.explode("shared").alias("x")).select("rid", "n", "x.rank", "x.token", (F.col("x.c") > FREQUENT).alias("frequent"))
-    items = items.join(spared.hint("merge"), "token", "left").withColumn("frequent", F.col("frequent") & F.col("spared").isNull())
+    items = own.select("rid", "n", F.explode("shared").alias("x")).select("rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("x.rank")).alias("place"), "x.token")
+    items = items.join(spared.hint("merge"), "token", "left")
+    items = items.select("rid", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("rank"), "token", F.col("spared").isNull().alias("frequent"))
     own = items.groupBy("rid").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "token", "frequent")).alias("shared"))
 
     def prefixes(batches):

@@ -28,13 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from txlog.llm.common import documents, map_rows
+from txlog.llm.common import documents, id_type, map_rows
 from txlog.llm.encode import chunk_encoder
 
 GROUP_DOCS = 2048
 GROUP_TOKENS = 4_000_000
 PROMPT = 0.25
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def pack(df: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_co
         if docs:
             yield flush()
 
-    return map_rows(df.select(id_col, text_col), run, PIECES)
+    return map_rows(df.select(id_col, text_col), run, PIECES.format(id_type(df, id_col)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

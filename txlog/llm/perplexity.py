@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, map_rows, materialize, scratch_scope, words
+from txlog.llm.common import FILE, ROW, documents, drop_rows, id_type, keyed, map_rows, materialize, scratch_scope, words
 
 ORDER, BITS = 5, 21
 ALPHABET = 0x110000
@@ -288,7 +288,7 @@ def _score_shard(docs: DataFrame, shard: DataFrame) -> DataFrame:
             yield {k: b[k] for k in (FILE, ROW, "doc_id", "lang", "trusted", "held")} | {"logp": np.concatenate(sums or [empty]), "n_chars": np.concatenate(sizes or [empty.astype(np.int64)])}
 
     rows = docs.select(FILE, ROW, "doc_id", "lang", "text", "trusted", "held")
-    sums = materialize(map_rows(rows, run, f"{FILE} long, {ROW} long, doc_id long, lang string, trusted boolean, held boolean, logp double, n_chars long"), "kn-sums")
+    sums = materialize(map_rows(rows, run, f"{FILE} long, {ROW} long, doc_id {id_type(docs)}, lang string, trusted boolean, held boolean, logp double, n_chars long"), "kn-sums")
     shipped.destroy()
     return sums
 

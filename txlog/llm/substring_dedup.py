@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import FILE, ROW, documents, keyed, map_rows, materialize, scratch_scope, words
+from txlog.llm.common import FILE, ROW, documents, id_type, keyed, map_rows, materialize, scratch_scope, words
 from txlog.llm.vocab import Bounded
 
 WINDOW, K = 35, 8
@@ -190,7 +190,7 @@ def removed(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     rows = keyed(docs)
     spans = repeated_spans(rows, window, k)
     texts = rows.select(F.col(FILE).alias("file"), F.col(ROW).alias("row"), "doc_id", "text").join(spans.hint("merge"), ["file", "row"], "left")
-    return map_rows(texts.select("doc_id", "text", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_rows(texts.select("doc_id", "text", "spans"), run, f"doc_id {id_type(rows)}, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:

@@ -14,7 +14,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txlog.llm.common import documents, map_rows
+from txlog.llm.common import documents, id_type, map_rows
 from txlog.llm.vocab import UNSAFE, Bounded, Vocabulary, to_chars, vocabulary, word_pieces
 
 
@@ -66,7 +66,7 @@ def token_counts(df: DataFrame, path: str, limit: int) -> DataFrame:
                 "over_limit": [k > limit for k in n],
             }
 
-    return map_rows(df.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(df.select("doc_id", "text"), run, f"doc_id {id_type(df)}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,15 +139,27 @@ class FileReader:
                 yield (None if d == _NULL else d), int(self.starts[i]), ids[at : at + int(self.counts[i])]
 
 
+#: Schemes of folders that token files can lie in, and what pyarrow calls them.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
 def _file_system(url: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(url if "://" in url else f"file://{url}")
+    scheme, colon, rest = url.partition(":")
+    if not colon:
+        scheme, rest = "file", f"//{url}"
+    elif scheme not in _SCHEMES:
+        raise ValueError(f"token files can't be written to {scheme} folders")
+    elif rest.startswith("/") and not rest.startswith("//"):
+        rest = f"//{rest}"
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{rest}")
 
 
 def write_files(df: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
     """Write the ids of all texts in ascending doc_id order; returns the manifest
     (file, ordinal, n_docs, n_tokens, start: tokens of all files before)."""
+    _file_system(folder)  # fails here rather than in the tasks
     rows = keyed(df).select("doc_id", "text", FILE, ROW)
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 1
     parts = max(-(-size // FILE_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
