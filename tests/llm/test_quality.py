@@ -196,7 +196,9 @@ def test_perplexity_equals_brute_force(spark, shard, monkeypatch):
     trusted = {d for d in range(0, 60, 2) if d % 7 > 0} | {902}
     single = {r.doc_id: r for r in docs.collect()}
     once = list(single.values()) + [single[902]]  # the repeated row counts twice
-    want = brute_perplexity(once, trusted)
+    held = {r["doc_id"] for r in docs.where("pmod(xxhash64(text), 5) = 0").collect()}
+    assert {r["doc_id"] for r in rows if r["held"]} == trusted & held and 0 < len(trusted & held) < len(trusted)
+    want = brute_perplexity(once, trusted - held)
     assert len(rows) == len(single) + 1 and set(got) == set(want)
     for d, v in want.items():
         assert (v is None) == (got[d] is None) and (v is None or abs(got[d] / v - 1) < 1e-5)
@@ -221,7 +223,8 @@ def test_quantile_of_held_out_rows_decides(spark):
     assert held.kept.mean() > 0.98
     assert (~bad.kept).mean() > 0.85
     for _, g in held.groupby("lang"):
-        assert abs(np.log(g.threshold.iloc[0] / g.perplexity.quantile(kn.QUANTILE, interpolation="higher"))) < 0.005
+        room = kn.STRAY / np.sqrt(len(g))
+        assert abs(np.log(g.threshold.iloc[0] / g.perplexity.quantile(kn.QUANTILE, interpolation="higher")) - room) < 0.005
 
 
 @pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфхцчшыья", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"])

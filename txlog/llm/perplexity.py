@@ -13,8 +13,9 @@ operations.  Within a worker, a 63-bit hash of both stands for the pair.
 3. The probabilities are split by hash into shards of a bounded size (``SHARD_ROWS``).  A scan
    per shard adds up each document's log-probabilities in that shard; the sums give perplexities.
 4. Per language, a document is rejected where its perplexity exceeds the ``QUANTILE`` of the
-   trusted documents that were left out of the counts, with more room for short texts.  A language
-   with fewer than ``LEAST_TRUSTED`` leaves none out and takes ``MARGIN`` times the quantile of all.
+   trusted documents that were left out of the counts (one in ``HELD``, by text), with room for the
+   straying of a quantile of that many values, and more room for short texts.  A language that leaves
+   none out is not judged.  The rule is the same at every size.
 
 Nulls: a null text or one without words has no perplexity and is not kept; a null language is a
 language of its own; a null doc_id is never trusted.  Repeated rows each give a row; extra
@@ -35,10 +36,10 @@ LOW = 3  # characters in lo
 SHARD_ROWS = 2_000_000
 #: Ids of trusted documents go to every scan only up to this number (16 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: MARGIN is for languages that leave no trusted documents out of the counts, whose perplexities are too low then.
-QUANTILE, MARGIN = 0.99, 1.5
-#: One in HELD trusted documents, by its text, is left out of the counts where a language has LEAST_TRUSTED of them.
-HELD, LEAST_TRUSTED = 5, 500
+QUANTILE = 0.99
+#: One in HELD trusted documents, by its text, is left out of the counts; the logarithm of a quantile of n of them gets
+#: STRAY / sqrt(n) of room.
+HELD, STRAY = 5, 0.5
 _CHARS = 1_000_000
 _MERGE = 1_500_000
 
@@ -300,10 +301,7 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
         good = F.broadcast(good)
     docs = docs.select(FILE, ROW, "doc_id", "lang", "text").join(good, "doc_id", "left")
     docs = docs.select(FILE, ROW, "doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("trusted"))
-    many = docs.where("trusted").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-    docs = _join(docs, materialize(many, "trusted-languages"), ["lang"], "left")
-    drawn = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    return docs.select(FILE, ROW, "doc_id", "lang", "text", "trusted", (F.col("trusted") & F.col("n").isNotNull() & drawn).alias("held"))
+    return docs.withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,12 +323,11 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(scored: DataFrame) -> DataFrame:
     """Perplexities with the language's ``threshold`` and ``kept``."""
-    cells = scored.where("trusted and perplexity is not null").groupBy("lang", "held", F.floor(F.log("perplexity") * 1000).alias("cell")).agg(F.count("*").alias("n"))
-    run, every = Window.partitionBy("lang", "held").orderBy("cell"), Window.partitionBy("lang", "held")  # some thousand cells a language
+    cells = scored.where("held and perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * 1000).alias("cell")).agg(F.count("*").alias("n"))
+    run, every = Window.partitionBy("lang").orderBy("cell"), Window.partitionBy("lang")  # some thousand cells a language
     ranked = cells.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(every))
-    cut = ranked.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy("lang", "held").agg(F.exp((F.min("cell") + 1) / 1000).alias("at"))
-    held, all_ = (F.max(F.when(F.col("held") == h, F.col("at"))) for h in (True, False))
-    cut = cut.groupBy("lang").agg(F.coalesce(held, all_ * MARGIN).alias("threshold"))
+    cut = ranked.where(F.col("upto") >= QUANTILE * F.col("all")).groupBy("lang")
+    cut = cut.agg(F.exp((F.min("cell") + 1) / 1000 + STRAY / F.sqrt(F.max("all"))).alias("threshold"))
     out = _join(scored, cut, ["lang"], "left")
     # A mean over n characters strays by some 2 / sqrt(n): short texts get that much more room.
     room = F.exp(2 / F.sqrt(F.greatest("n_chars", F.lit(1))))
