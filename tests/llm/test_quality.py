@@ -25,51 +25,71 @@ def base_counts(text):
     for i in range(len(w) - 2):
         if count[tuple(w[i : i + 3])] > 1:
             covered |= {i, i + 1, i + 2}
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+    return len(w), sum(map(len, w)), len(set(w)), len(re.findall("[A-Z]", text)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def statistics(counts):
+    n, chars, distinct, capitals, *junk = counts
+    n = max(n, 1)
+    return np.array([math.log1p(chars / n), math.log(max(distinct, 1) / n), math.log(n), math.sqrt(capitals / max(chars, 1)), *[math.sqrt(v / n * (n + rules.SHORT) / n) for v in junk]])
 
 
 def brute_mcd(x):
-    """Location, inverse factor and scale of one group: the steps of the operator, in numpy."""
-    floor, res = np.array(rules.FLOOR), rules._RES
+    """Size, mean, covariance and scale of one group: the steps of the operator, in numpy."""
+    floor, x = np.array(rules.FLOOR), np.unique(x, axis=0)
 
-    def edge(v):  # the upper edge of the cell that holds half of the values
+    def edge(v, part=0.5, res=rules._RES):  # the upper edge of the cell that holds a part of the values
         cells = np.sort(np.floor(v * res))
-        return (cells[math.ceil(0.5 * len(cells)) - 1] + 1) / res
+        return (cells[math.ceil(part * len(cells)) - 1] + 1) / res
+
+    def moments(half):
+        return half.mean(axis=0), np.cov(half.T, bias=True).reshape(x.shape[1], -1)
 
-    def inverse(half):
-        c = np.cov(half.T, bias=True).reshape(x.shape[1], -1) + np.diag(floor**2)
-        return half.mean(axis=0), np.linalg.inv(np.linalg.cholesky(c)), np.linalg.slogdet(c)[1]
+    def distance(m, c):
+        return ((np.linalg.inv(np.linalg.cholesky(c + np.diag(floor**2))) @ (x - m).T) ** 2).sum(axis=0)
 
-    median = np.array([edge(v) - 0.5 / res for v in x.T])
-    m, w, _ = inverse(x)
-    distances = [(((x - median) / floor) ** 2).sum(axis=1), (((x - m) @ w.T) ** 2).sum(axis=1)]
+    fine = rules._FINE
+    median = np.array([edge(v, 0.5, fine) - 0.5 / fine for v in x.T])
+    spread = np.array([(edge(v, 0.75, fine) - edge(v, 0.25, fine)) / 1.349 for v in x.T])
+    distances = [((x - median) ** 2 / (spread**2 + floor**2)).sum(axis=1), distance(*moments(x))]
     for _ in range(rules.STEPS):
-        fits = [inverse(x[np.log(d + 1e-9) < edge(np.log(d + 1e-9))]) for d in distances]
-        distances = [(((x - m) @ w.T) ** 2).sum(axis=1) for m, w, _ in fits]
-    best = 0 if fits[0][2] <= fits[1][2] else 1
+        fits = [moments(x[np.log(d + 1e-9) < edge(np.log(d + 1e-9))]) for d in distances]
+        distances = [distance(*f) for f in fits]
+    size = [np.linalg.slogdet(c + np.diag(floor**2))[1] for _, c in fits]
+    best = 0 if size[0] <= size[1] else 1
     radius = math.exp(edge(np.log(distances[best] + 1e-9)))
-    return (*fits[best][:2], max(radius / 3.36, 0.25))
+    return len(x), *fits[best], max(radius / rules.MIDDLE, 0.25)
+
+
+def drawn(own, wide):
+    n = own[0]
+    mean = lambda a, b: (n * a + rules.PRIOR * b) / (n + rules.PRIOR)
+    return n, mean(own[1], wide[1]), mean(own[2], wide[2]), math.exp(mean(math.log(own[3]), math.log(wide[3])))
 
 
-def brute_rules(docs):
-    """doc_id -> kept, for rows with doc_id, text, lang, source."""
+def brute_rules(docs, shape=lambda c: c):
+    """doc_id -> kept, for rows with doc_id, text, lang, source; ``shape`` may change the covariance."""
     stats = {r.doc_id: base_counts(r.text) for r in docs}
-    failed = {d: s[0] < 50 or 100 * s[4] > 50 * s[0] for d, s in stats.items()}
-    vec = {d: np.array([math.log1p(s[1] / max(s[0], 1)), *[math.sqrt(v / max(s[0], 1)) for v in s[2:]]]) for d, s in stats.items()}
-    clean = [r for r in docs if not failed[r.doc_id]]
+    failed = {d: s[0] < 50 or 100 * s[-1] > 50 * s[0] for d, s in stats.items()}
+    vec = {d: statistics(s) for d, s in stats.items()}
     groups = collections.defaultdict(list)
-    for r in clean:
-        for key in ((0, r.lang, r.source), (1, r.lang, None), (2, None, None)):
-            groups[key].append(vec[r.doc_id])
+    for r in docs:
+        if not failed[r.doc_id]:
+            for key in ((0, r.lang, r.source), (1, r.lang), (2,)):
+                groups[key].append(vec[r.doc_id])
     fits = {k: brute_mcd(np.array(v)) for k, v in groups.items()}
     kept = {}
     for r in docs:
-        keys = [k for k in ((0, r.lang, r.source), (1, r.lang, None)) if len(groups.get(k, ())) >= rules.MIN_GROUP]
-        m, w, scale = fits[(keys or [(2, None, None)])[0]]
-        z = vec[r.doc_id] - m
-        lean = z / rules.FLOOR
-        bad = max(v if larger else abs(v) for v, larger in zip(lean, rules.LARGER)) > 2
-        kept[r.doc_id] = not failed[r.doc_id] and not (((w @ z) ** 2).sum() / scale > rules.CUTOFF and bad)
+        fit = fits.get((2,))
+        for key in ((1, r.lang), (0, r.lang, r.source)):
+            fit = drawn(fits[key], fit) if key in fits else fit
+        _, m, c, scale = fit
+        c, z = shape(c + np.diag(np.array(rules.FLOOR) ** 2)), vec[r.doc_id] - m
+        n = stats[r.doc_id][0]
+        far = z @ np.linalg.solve(c, z) / scale * n / (n + rules.SHORT)
+        lean = z / np.sqrt(np.diag(c) * scale)
+        bad = max(abs(v) if b == 2 else b * v for v, b in zip(lean, rules.BAD)) > 2
+        kept[r.doc_id] = not failed[r.doc_id] and not (far > rules.CUTOFF and bad)
     return kept
 
 
@@ -80,8 +100,8 @@ def test_base_record(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
     for r in rules.base_record(df).collect():
         want = base_counts(texts[r["doc_id"]])
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, texts[r["doc_id"]]
-        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert (r["n_words"], r["word_chars"], r["n_distinct"], r["n_capitals"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, texts[r["doc_id"]]
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[-1] > 50 * want[0])
 
 
 def test_rules_equal_brute_force(spark):
@@ -91,8 +111,48 @@ def test_rules_equal_brute_force(spark):
     assert 0 < sum(not k for k in got.values()) < len(got)
 
 
-def test_rules_on_groups_with_nulls(spark, monkeypatch):
-    monkeypatch.setattr(rules, "MIN_GROUP", 30)
+def test_rules_equal_brute_force_on_a_larger_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(rules.records(docs)).collect()}
+    assert got == brute_rules(docs.collect())
+
+
+def test_the_estimated_covariance_decides(spark):
+    """Many words and many distinct ones go together, as do long and few words: texts against that are rejected, though each of
+    their statistics is usual, and would be kept if the covariance were diagonal."""
+    rng = random.Random(4)
+    new = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 10))) for _ in range(int(n))]
+    rows = []
+    for i in range(400):
+        n = rng.randrange(300, 1500)
+        words = new(n * (0.9 - 0.5 * math.log(n / 300) / math.log(5) + rng.gauss(0, 0.01)))
+        if rng.random() < 0.5:
+            words[0] = words[0].upper()
+        rows.append(words + rng.choices(words, k=n - len(words)))
+    for n in (320, 340, 360):  # short, with as few distinct words as a long one
+        words = new(n * 0.46)
+        rows.append(words + rng.choices(words, k=n - len(words)))
+    for w in rows:
+        rng.shuffle(w)
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s") for i, w in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in rules.judge(rules.records(docs)).collect()}
+    assert got == brute_rules(docs.collect())
+    diagonal = brute_rules(docs.collect(), lambda c: np.diag(np.diag(c)))
+    assert not any(got[i] for i in range(400, 403)) and all(diagonal[i] for i in range(400, 403))
+    assert sum(got[i] for i in range(400)) >= 394
+
+
+def test_rules_are_not_tied_to_copies(spark):
+    """More than half of the rows are one text: they count once, and the others are not judged by it."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
+    texts = [" ".join(word() for _ in range(rng.randrange(60, 200))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + [texts[0]] * 600)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(rules.records(docs)).collect()}
+    assert sum(kept[i] for i in range(150)) >= 148 and kept == brute_rules(docs.collect())
+
+
+def test_rules_on_groups_with_nulls(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))
     rows = []

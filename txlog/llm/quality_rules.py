@@ -1,11 +1,17 @@
 """Robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Every document has a base record of counts, and from it a vector of transformed statistics.  Per
-language and source, location and scatter come from the half of the vectors whose covariance has
-the smallest determinant: two deterministic starts (distance from medians in robust scales, and
-from plain moments) are each improved by concentration steps, and the start with the smaller
-determinant wins.  A document is rejected where its squared Mahalanobis distance exceeds
-``cutoff`` and it lies on the bad side of the centre.
+Every document has a base record of counts, and from it a vector of transformed statistics: four that
+vary in clean text (length of words, share of distinct words, number of words, share of capitals) and
+three counts of junk beside them.  Per language and source, location and scatter come from the half of
+the vectors whose covariance has the smallest determinant: two deterministic starts (distance from
+medians in quartile ranges, and from plain moments) are each improved by concentration steps, and the
+start with the smaller determinant wins.  Equal vectors count once, so that copies make no half.  The
+estimates of a group are drawn towards those of its language, and these towards those of all rows, as if
+they held ``PRIOR`` rows: one rule at every size.
+
+A document is rejected where its squared Mahalanobis distance exceeds ``cutoff`` and some statistic lies
+more than two deviations on its bad side.  Distances are of what ``SHORT`` words more would leave of
+them, as the statistics of short texts stray by chance; counts of junk are raised by as much before.
 
 Every step is DataFrame work: statistics are array functions over one row's words, medians and
 the half's radius come from histograms of quantised values (so the result doesn't depend on the
@@ -14,12 +20,13 @@ columns.  Group parameters are one row per language and source; Spark broadcasts
 while they are small.
 
 Nulls: a null text has no words and fails the base rules.  Null languages or sources form groups
-of their own.  Groups with fewer than ``min_group`` vectors use the parameters of their language,
-or of all rows.  Repeated rows are judged each; extra columns of the input are dropped.
+of their own.  Repeated rows are judged each; texts of any length are read whole; an empty table gives
+no rows; extra columns of the input are dropped.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,22 +34,24 @@ from pyspark.sql import functions as F
 
 from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, materialize, scratch_scope
 
-STATS = ["log_word_chars", "symbols", "dup_lines", "repeats"]
-#: Twice the noise of a statistic that hardly varies in clean text; ``scale`` is 0.25 there, which halves it.  The root of a
-#: count over n words strays by 0.5 / sqrt(n): 50 words for symbols and lines; repeats come 6 words at a time, over 100.
-FLOOR = [0.10, 50**-0.5, 50**-0.5, (6 / 100) ** 0.5]
-#: Whether only larger values are suspicious.
-LARGER = [False, True, True, True]
-#: The 0.999 quantile of chi-square with 4 degrees of freedom.
-CUTOFF = 18.467
+STATS = ["log_word_chars", "log_distinct", "log_words", "capitals", "symbols", "dup_lines", "repeats"]
+#: Added to the deviations: next to nothing where the statistic varies.  Counts of junk are 0 in most clean texts; the
+#: root of a count over n words strays by 0.5 / sqrt(n), which is taken for 100 words; repeats come some at a time.
+FLOOR = [1e-3] * 4 + [0.05, 0.05, 0.08]
+#: Which values are suspicious: larger (1), smaller (-1), both (2) or none (0).
+BAD = [2, -1, 0, 1, 1, 1, 1]
+#: The 0.999 quantile and the median of chi-square with 7 degrees of freedom.
+CUTOFF, MIDDLE = 24.322, 6.346
 STEPS = 3
-MIN_GROUP = 100
+PRIOR = 100
+SHORT = 400
 _D = len(STATS)
-_RES = 64.0  # histogram cells per unit
+_RES = 64.0  # cells per unit of a histogram of logarithms of distances
+_FINE = 1000.0  # and of statistics
 
 
 def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every text."""
+    """doc_id, n_words, word_chars, n_distinct, n_capitals, n_symbols, n_dup_lines, n_repeat_words and base_failed of every text."""
     text = F.coalesce("text", F.lit(""))
     blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
@@ -50,6 +59,7 @@ def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         "doc_id", *extra,
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.translate(text, string.ascii_uppercase, ""))).cast("long").alias("n_capitals"),
         lines.alias("lines"),
         F.array_remove(F.split(blank, " "), "").alias("w"),
     )
@@ -58,7 +68,7 @@ def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     n = F.size("w")
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(places, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    rows = rows.withColumn("h", hashed).withColumn("n_words", n.cast("long")).drop("w")
+    rows = rows.withColumn("h", hashed).withColumns({"n_words": n.cast("long"), "n_distinct": F.size(F.array_distinct("w")).cast("long")}).drop("w")
     # Only texts with a window that comes again pay for the sort.
     again = F.size(F.array_distinct("h")) < F.size("h")
     pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -72,36 +82,49 @@ def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     covered = F.aggregate("at", start, lambda a, i: F.struct((a["n"] + 3 - F.greatest(F.lit(0), a["end"] - i)).alias("n"), (i + 3).alias("end")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    names = ["doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["doc_id", *extra, "n_words", "word_chars", "n_distinct", "n_capitals", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(*names, failed.alias("base_failed"))
 
 
 def vector(rows: DataFrame) -> DataFrame:
     """The transformed statistics x0.. of base records with words."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    junk = lambda c: F.sqrt(F.col(c) / n * (n + SHORT) / n)
     values = [
         F.log1p(F.col("word_chars") / n),
-        F.sqrt(F.col("n_symbols") / n),
-        F.sqrt(F.col("n_dup_lines") / n),
-        F.sqrt(F.col("n_repeat_words") / n),
+        F.log(F.greatest(F.col("n_distinct"), F.lit(1)) / n),
+        F.log(n),
+        F.sqrt(F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))),
+        junk("n_symbols"),
+        junk("n_dup_lines"),
+        junk("n_repeat_words"),
     ]
     return rows.select("*", *[v.alias(f"x{j}") for j, v in enumerate(values)])
 
 
-def _quantile(cells: DataFrame, keys: list[str], part: Column) -> DataFrame:
-    """Per keys the upper edge (in cells) that holds ``part`` of the rows; cells: keys, cell, n (few rows a key)."""
+def _quantiles(cells: DataFrame, keys: list[str], parts: dict[str, float]) -> DataFrame:
+    """Per keys the upper edges (in cells) that hold these parts of the rows, by name; cells: keys, cell, n (few rows a key)."""
     run = Window.partitionBy(*keys).orderBy("cell")
     total = Window.partitionBy(*keys)
     ranked = cells.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(total))
-    return ranked.where(F.col("upto") >= part * F.col("all")).groupBy(*keys).agg((F.min("cell") + 1).alias("cell"))
+    return ranked.groupBy(*keys).agg(*[(F.min(F.when(F.col("upto") >= part * F.col("all"), F.col("cell"))) + 1).alias(name) for name, part in parts.items()])
 
 
-def _moments(rows: DataFrame, keys: list[str], inside: Column) -> list[Column]:
-    on = lambda c: F.when(inside, c)
+_M, _C = [f"m{j}" for j in range(_D)], [f"c{i}{j}" for i in range(_D) for j in range(i + 1)]
+
+
+def _sums(inside: Column | None = None, s: str = "") -> list[Column]:
+    """Aggregates of the rows that are ``inside``: how many, sums, and sums of products."""
     x = [F.col(f"x{j}") for j in range(_D)]
-    first = [F.avg(on(x[j])).alias(f"m{j}") for j in range(_D)]
-    second = [F.covar_pop(on(x[i]), on(x[j])).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
-    return [*first, *second]
+    on = lambda v: v if inside is None else F.when(inside, v)
+    return [F.count(on(F.lit(1))).alias(f"k{s}"), *[F.sum(on(x[j])).alias(f"m{j}{s}") for j in range(_D)], *[F.sum(on(x[i] * x[j])).alias(f"c{i}{j}{s}") for i in range(_D) for j in range(i + 1)]]
+
+
+def _moments(sums: DataFrame, s: str = "") -> DataFrame:
+    """Means m_j and covariances c_ij in place of the sums."""
+    k = F.col(f"k{s}")
+    means = {f"m{j}{s}": F.col(f"m{j}{s}") / k for j in range(_D)}
+    return sums.withColumns(means | {f"c{i}{j}{s}": F.col(f"c{i}{j}{s}") / k - means[f"m{i}{s}"] * means[f"m{j}{s}"] for i in range(_D) for j in range(i + 1)}).drop(f"k{s}")
 
 
 def _inverse(params: DataFrame, starts: list[str]) -> DataFrame:
@@ -133,47 +156,54 @@ def _near(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(params, same, "inner").drop(*[params[k] for k in keys])
 
 
-def _cells(value: Column) -> Column:
-    return F.floor(value * _RES).cast("long")
+def _cells(value: Column, per_unit: float = _RES) -> Column:
+    return F.floor(value * per_unit).cast("long")
 
 
 def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per keys: means m_j, inverse factor w_ij of the concentrated half, its size n, and ``scale``,
+    """Per keys: means m_j and covariances c_ij of the concentrated half, the size n of the whole, and ``scale``,
     which brings the half's median squared distance to that of a normal sample."""
-    # Start 0: medians and median absolute deviations; start 1: plain moments.
+    # Start 0: medians and quartile ranges; start 1: plain moments.
     stack = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("x")) for j in range(_D)]))
     long = rows.select(*keys, stack.alias("v")).select(*keys, "v.j", "v.x")
-    cells = long.groupBy(*keys, "j", _cells(F.col("x")).alias("cell")).agg(F.count("*").alias("n"))
-    middle = _quantile(cells, [*keys, "j"], F.lit(0.5)).groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, (F.col("cell") - 0.5) / _RES)).alias(f"a{j}") for j in range(_D)])
-    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), *_moments(rows, keys, F.lit(True)))
+    cells = long.groupBy(*keys, "j", _cells(F.col("x"), _FINE).alias("cell")).agg(F.count("*").alias("n"))
+    quarters = _quantiles(cells, [*keys, "j"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    of = lambda j, v: F.max(F.when(F.col("j") == j, v))
+    middle = quarters.groupBy(*keys).agg(*[of(j, (F.col("mid") - 0.5) / _FINE).alias(f"a{j}") for j in range(_D)], *[of(j, (F.col("high") - F.col("low")) / (1.349 * _FINE)).alias(f"d{j}") for j in range(_D)])
+    plain = _moments(rows.groupBy(*keys).agg(F.count("*").alias("n"), *_sums()))
     params = materialize(_inverse(_near(plain, middle, keys), [""]), "mcd-start")
-    first = _near(rows, params, keys)
-    robust = sum((((F.col(f"x{j}") - F.col(f"a{j}")) / FLOOR[j]) ** 2 for j in range(_D)), F.lit(0.0))
+    given = _near(rows, params, keys)
+    robust = sum(((F.col(f"x{j}") - F.col(f"a{j}")) ** 2 / (F.col(f"d{j}") ** 2 + FLOOR[j] ** 2) for j in range(_D)), F.lit(0.0))
     distances = [robust, _distance()]
-    given = first
     for step in range(STEPS + 1):
         # The half with the smallest distances, per start; distances on a log scale keep the histogram short.
         logs = [F.log(d + 1e-9) for d in distances]
         part = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _cells(v).alias("cell")) for s, v in enumerate(logs)]))
         cells = given.select(*keys, part.alias("v")).groupBy(*keys, "v.s", "v.cell").agg(F.count("*").alias("n"))
-        half = _quantile(cells, [*keys, "s"], F.lit(0.5)).groupBy(*keys).agg(*[F.max(F.when(F.col("s") == s, F.col("cell") / _RES)).alias(f"r{s}") for s in range(2)])
+        half = _quantiles(cells, [*keys, "s"], {"cell": 0.5}).groupBy(*keys).agg(*[F.max(F.when(F.col("s") == s, F.col("cell") / _RES)).alias(f"r{s}") for s in range(2)])
         half = materialize(half, "mcd-radius")
         if step == STEPS:
             break
         inside = _near(given, half, keys)
-        sums = [c.alias(f"{n}_{s}") for s in range(2) for c, n in zip(_moments(inside, keys, logs[s] < F.col(f"r{s}")), [*[f"m{j}" for j in range(_D)], *[f"c{i}{j}" for i in range(_D) for j in range(i + 1)]])]
-        params = inside.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+        sums = [c for s in range(2) for c in _sums(logs[s] < F.col(f"r{s}"), f"_{s}")]
+        params = _moments(_moments(inside.groupBy(*keys).agg(F.count("*").alias("n"), *sums), "_0"), "_1")
         params = materialize(_inverse(params, ["_0", "_1"]), "mcd-step")
         given = _near(rows, params, keys)
         distances = [_distance("_0"), _distance("_1")]
     best = F.col("logdet_0") <= F.col("logdet_1")
-    names = [*[f"m{j}" for j in range(_D)], *[f"w{i}{j}" for i in range(_D) for j in range(i + 1)]]
-    # 3.36: the median of chi-square with 4 degrees of freedom.
     radius = F.exp(F.when(best, F.col("r0")).otherwise(F.col("r1")))
-    picked = _near(params, half, keys).select(*keys, "n", F.greatest(radius / 3.36, F.lit(0.25)).alias("scale"), *[F.when(best, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")).alias(x) for x in names])
+    picked = _near(params, half, keys).select(*keys, "n", F.greatest(radius / MIDDLE, F.lit(0.25)).alias("scale"), *[F.when(best, F.col(f"{x}_0")).otherwise(F.col(f"{x}_1")).alias(x) for x in [*_M, *_C]])
     return materialize(picked, "mcd")
 
 
+def _drawn(own: str, wide: str) -> Column:
+    """A struct of estimates, drawn towards a wider one as if that held PRIOR rows."""
+    n = F.coalesce(F.col(f"{own}.n"), F.lit(0))
+    mean = lambda a, b: (n * F.coalesce(a, F.lit(0.0)) + PRIOR * b) / (n + PRIOR)
+    fields = [mean(F.col(f"{own}.{x}"), F.col(f"{wide}.{x}")).alias(x) for x in [*_M, *_C]]
+    return F.struct(n.alias("n"), F.exp(mean(F.log(f"{own}.scale"), F.log(f"{wide}.scale"))).alias("scale"), *fields)
+
+
 def judge(records: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Base records with ``distance`` (scaled squared Mahalanobis) and ``kept``; records carry lang and source."""
     rows = vector(records)
@@ -182,22 +212,22 @@ def judge(records: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     null = F.lit(None).cast("string")
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), null), (null, null)])]))
     x = [f"x{j}" for j in range(_D)]
-    found = mcd(materialize(clean.select(levels.alias("g"), *x).select("g.*", *x), "mcd-vectors"), ["level", "lang", "source"])
-    fields = [c for c in found.columns if c not in ("level", "lang", "source")]
-    # One row of parameters per group of the records: the group's own, else its language's, else those of all rows.
+    vectors = clean.select(levels.alias("g"), *x).select("g.*", *x).distinct()
+    found = mcd(materialize(vectors, "mcd-vectors"), ["level", "lang", "source"])
+    # One row of parameters per group of the records.
     groups = records.select("lang", "source").distinct()
-    pick = lambda k, name, least: found.where((F.col("level") == k) & (F.col("n") >= least)).select(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"), F.struct(*fields).alias(name))
+    fields = F.struct("n", "scale", *_M, *_C)
+    level = lambda k, name: found.where(F.col("level") == k).select(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"), fields.alias(name))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    params = groups.join(pick(0, "own", MIN_GROUP), same("lang", "own_lang") & same("source", "own_source"), "left")
-    params = params.join(pick(1, "wide", MIN_GROUP), same("lang", "wide_lang"), "left")
-    params = params.withColumn("k", F.lit(0)).join(pick(2, "every", 0).withColumn("k", F.lit(0)), "k", "left")
-    params = params.select("lang", "source", F.coalesce("own", "wide", "every").alias("p")).select("lang", "source", "p.*")
-    params = materialize(params, "mcd-groups")
+    params = groups.join(level(0, "own"), same("lang", "own_lang") & same("source", "own_source"), "left").join(level(1, "wide"), same("lang", "wide_lang"), "left")
+    params = params.withColumn("k", F.lit(0)).join(level(2, "every").withColumn("k", F.lit(0)), "k", "left")
+    params = params.withColumn("wide", _drawn("wide", "every")).select("lang", "source", _drawn("own", "wide").alias("p")).select("lang", "source", "p.*")
+    params = materialize(_inverse(params, [""]), "mcd-groups")
     here = rows["lang"].eqNullSafe(params["lang"]) & rows["source"].eqNullSafe(params["source"])
     got = rows.join(params.withColumnRenamed("n", "group_size"), here, "left").drop(params["lang"], params["source"])
-    got = got.withColumn("distance", _distance() / F.col("scale"))
-    lean = [(F.col(f"x{j}") - F.col(f"m{j}")) / FLOOR[j] for j in range(_D)]
-    bad = F.greatest(*[lean[j] if LARGER[j] else F.abs(lean[j]) for j in range(_D)]) > 2
+    got = got.withColumn("distance", _distance() / F.col("scale") * F.col("n_words") / (F.col("n_words") + SHORT))
+    lean = [(F.col(f"x{j}") - F.col(f"m{j}")) / F.sqrt((F.col(f"c{j}{j}") + FLOOR[j] ** 2) * F.col("scale")) for j in range(_D)]
+    bad = F.greatest(*[F.abs(lean[j]) if BAD[j] == 2 else BAD[j] * lean[j] for j in range(_D)]) > 2
     out = F.coalesce((F.col("distance") > cutoff) & bad, F.lit(False))
     return got.withColumn("kept", ~F.col("base_failed") & ~out)
 
@@ -209,7 +239,7 @@ def records(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = judge(records(documents(spark, sf_dir)))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    names = ["doc_id", "n_words", "word_chars", "n_distinct", "n_capitals", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return kept.select(*names)
 
 
