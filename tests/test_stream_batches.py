@@ -6,10 +6,11 @@ import os
 from pyspark.sql import functions as F
 
 from txlog import streaming as S
-from txlog.operators import has, log_stats
+from txlog.operators import assemble, has, log_stats
 from txlog.plans import DEFAULT_FORMAT, format_events
 from txlog.schema import RECORD_SCHEMA, Slot
-from txlog.sources import stream_records
+from txlog.scratch import scratch_path
+from txlog.sources import read_records, stream_records
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -81,3 +82,34 @@ def test_default_format_over_a_shuffled_log(spark, tmp_path):
     got = S.drain(S.stream_events(stream, DEFAULT_FORMAT), "l").collect()
     want = format_events(spark.createDataFrame(rows, RECORD_SCHEMA), DEFAULT_FORMAT).collect()
     assert sorted((r["vxid"], r["line"]) for r in got) == sorted((r["vxid"], r["line"]) for r in want) and len(got) == 20
+
+
+def test_late_records_are_counted_over_restarts(spark, tmp_path):
+    """More batches than progress reports are kept, in two runs of one query."""
+    path, checkpoint = str(tmp_path / "log"), str(tmp_path / "c")
+    listener = S.LateRecords(spark, str(tmp_path / "late"))
+    spark.streams.addListener(listener)
+    try:
+        for part, seconds in enumerate([[0, 3600, 7200, 5], [9000, 6, 7, 10000]]):
+            for k, second in enumerate(seconds):
+                spark.createDataFrame([rec(10 * part + k, second, 100 * part + k, "Begin")], RECORD_SCHEMA).coalesce(1).write.parquet(f"{path}/part={4 * part + k}")
+                folder = f"{path}/part={4 * part + k}"
+                os.utime(next(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")), (1_700_000_000 + 60 * (4 * part + k),) * 2)
+            stream = S.stream_transactions(stream_records(spark, path, from_start=True, max_files=1), [Slot("ReqURL")])
+            query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert S.late_records(query) == 2
+    assert S.late_records_so_far(spark, str(tmp_path / "late"), query.id) == 3 and S.late_records_so_far(spark, str(tmp_path / "late"), "none") == 0
+
+
+def test_a_vxid_that_comes_back(spark):
+    rows = [rec(1, 0, 1, "ReqURL", "/stray"), rec(2, 0, 1, "Begin"), rec(3, 0, 1, "ReqURL", "/a"), rec(4, 1, 1, "End"), rec(10, 900, 1, "Begin"), rec(11, 900, 1, "ReqURL", "/b"), rec(12, 900, 1, "ReqURL", "/c")]
+    log = spark.createDataFrame(rows[::-1], RECORD_SCHEMA).repartition(3)
+    got = assemble(log, [Slot("ReqURL")], with_disposition=False, reused=True)
+    assert sorted((r["epoch"], r["slot:ReqURL"]) for r in got.collect()) == [(0, "/stray"), (1, "/a"), (2, "/b")]
+    log.write.parquet(path := scratch_path(spark, "reused"))
+    plan = assemble(read_records(spark, path), [Slot("ReqURL")], with_disposition=False, reused=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -51,6 +51,7 @@ def assemble(
     needed: Column | None = None,
     extra: Mapping[str, Column] | None = None,
     max_reclen: int | None = None,
+    reused: bool = False,
 ) -> DataFrame:
     """One row per (instance, vxid, side): pvxid, ts, seq of the first record, n_recs (records some slot needs),
     disposition, the slots' payloads, and for ``binary_tags`` their bytes (``raw:<tag>``).
@@ -62,7 +63,10 @@ def assemble(
 
     With ``max_reclen`` records have a column ``size`` (of the uncut payload, terminator included), and len_hi and
     len_overflows are the longest of the payloads that fill slots and how many of them exceed it; a record
-    that fills two slots counts once."""
+    that fills two slots counts once.
+
+    With ``reused`` a vxid may name several transactions one after the other: each Begin (of its side, by seq) starts a new one,
+    numbered in ``epoch``; records before the first Begin are of epoch 0.  The count shares the one exchange."""
     slots = sorted(set(slots))
     rows = records.where("side <> '-'")
     if any(s.header for s in slots):
@@ -90,7 +94,11 @@ def assemble(
         aggs.append(F.max(F.coalesce(where, F.lit(False))).alias("wanted"))
     if not include_open:
         aggs.append(F.max(F.col("tag") == "End").alias("ended"))
-    tx = rows.groupBy(*KEY, "side").agg(*aggs)
+    group = [*KEY, "side"]
+    if reused:
+        begun = F.count(F.when(F.col("tag") == "Begin", 1)).over(Window.partitionBy(*group).orderBy("seq"))
+        rows, group = rows.withColumn("epoch", begun), [*group, "epoch"]
+    tx = rows.groupBy(*group).agg(*aggs)
     if where is not None:
         tx = tx.where("wanted").drop("wanted")
     if not include_open:

@@ -15,8 +15,8 @@ from txlog.operators.select import equals
 from txlog.plans import DEFAULT_FORMAT, format_events, format_raw
 from txlog.plans.formats import format_columns, plan
 from txlog.schema import Slot
-from txlog.scratch import scratch_path
-from txlog.sources import filter_instance, read_records, stream_lines, stream_records, write_lines
+from txlog.scratch import move_files, scratch_path
+from txlog.sources import filter_instance, read_records, stream_folder, stream_lines, stream_records, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,6 +146,20 @@ def _saved(r: DataFrame) -> DataFrame:
     return filter_instance(read_records(r.sparkSession, path), "main").select("seq", "vxid", "tag", "payload")
 
 
+@_query("a2_stream_folder", "select seq, ts as ts_us, vxid, side, tag, payload, is_raw from records")
+def _folder(r: DataFrame) -> DataFrame:
+    """A folder of JSON lines read as a stream from its head, in two runs: the second goes on where the first one stopped."""
+    spark = r.sparkSession
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("folder", "folder-rows", "folder-checkpoint"))
+    for k, part in enumerate((F.col("seq") % 3 == 0, F.col("seq") % 3 != 0)):
+        written = scratch_path(spark, "folder-part")
+        r.where(part).repartition(2).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(written)
+        move_files(spark, written, path, f"{k:06d}-")  # newer files have greater names
+        stream = stream_folder(spark, path, from_start=True)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select("seq", _us(), "vxid", "side", "tag", "payload", F.col("raw").isNotNull().alias("is_raw"))
+
+
 @_query("a4_written_lines", _TX + f"select {_CLIENT_LINE} as value from tx where side = 'c' and {_C_SENT}")
 def _written(r: DataFrame) -> DataFrame:
     path = scratch_path(r.sparkSession, "lines")
@@ -213,6 +227,16 @@ def _assembled(r: DataFrame) -> DataFrame:
     return tx.select("instance", "vxid", "side", "pvxid", _us(), *[F.col(f"`{s.column}`").alias(n) for n, s in _SLOTS.items()], "n_recs")
 
 
+_AGAIN = ", again as (select * replace (vxid % 512 as vxid) from records where side <> '-'), numbered as (select *, count(*) filter (where tag = 'Begin') over (partition by instance, vxid, side order by seq) as epoch from again) "
+
+
+@_query("c1_reused_vxids", _AGAIN + f"select vxid, side, epoch, min(seq) as seq, {_S['url']} as url, {_S['status']} as status from numbered group by instance, vxid, side, epoch")
+def _reused(r: DataFrame) -> DataFrame:
+    """The log of an instance that has started over again and again, so that its vxids come back."""
+    tx = O.assemble(r.withColumn("vxid", F.col("vxid") % 512), [Slot("ReqURL"), Slot("RespStatus")], with_disposition=False, reused=True)
+    return tx.select("vxid", "side", "epoch", "seq", F.col("`slot:ReqURL`").alias("url"), F.col("`slot:RespStatus`").alias("status"))
+
+
 @_query("c5_disposition", _TX + "select vxid, side, disposition from tx")
 def _disposed(r: DataFrame) -> DataFrame:
     return O.assemble(r, []).select("vxid", "side", "disposition")
