@@ -26,7 +26,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlog.llm.common import documents, materialize
+from txlog.llm.common import documents, materialize, scratch_scope
 
 FILTERS = "ABCDE"
 REPEAT = 1 << FILTERS.index("E")
@@ -76,6 +76,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame, max_blocks: int = MAX_BLOCKS
     unique = rows.where("not possible").select("doc_id", "part", mask.alias("mask"))
     possible = rows.where("possible").select("doc_id", "part", "text")
     first = possible.groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that the join has exchanges of its own: Spark can split the partition of a text with many copies.
+    first = materialize(first, "repeats")
     repeat = F.when(F.col("doc_id") > F.col("first"), REPEAT).otherwise(0)
     judged = possible.join(first, "text", "left").select("doc_id", "part", (mask + repeat).alias("mask"))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
@@ -111,7 +113,8 @@ def audit(counts: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return audit(materialize(mask_counts(documents(spark, sf_dir), labels), "masks"))
+    with scratch_scope():
+        return materialize(audit(materialize(mask_counts(documents(spark, sf_dir), labels), "masks")), "audit", keep=True)
 
 
 _W = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
