@@ -229,6 +229,14 @@ def test_parents_only_in_request_grouping(spark):
             format_events(logs, "%m", **how)
 
 
+def test_groups_found_first_are_the_same(spark):
+    r = materialize(records_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)), "few")
+    failed = F.coalesce((F.col("`slot:RespStatus`") == "503") | (F.col("`slot:BerespStatus`") == "503"), F.lit(False))
+    for formats in [("%s %{pvxid}x %U", "%s %m"), ("%s %r", "%s"), ("%s", "%s %{vxid}x")]:
+        lines = lambda **how: sorted(map(tuple, format_events(r, *formats, grouping="request", groups=failed, **how).collect()))  # noqa: B023, E731
+        assert lines(group_slots=[Slot("RespStatus"), Slot("BerespStatus")]) == lines() != []
+
+
 def test_a_hot_group_may_span_partitions(spark):
     """A third of all transactions under one root: same lines, in order, in more than one partition."""
     base = spark.range(3000).select(F.lit("main").alias("instance"), F.col("id").alias("seq"), F.lit(T0).cast("timestamp").alias("ts"), (F.col("id") + 1).alias("vxid"), F.when(F.col("id") % 3 == 1, 1).otherwise(0).cast("long").alias("pvxid"), F.lit("c").alias("side"), F.lit("ReqMethod").alias("tag"), F.lit("GET").alias("payload"), F.lit(None).cast("binary").alias("raw"))

@@ -59,11 +59,22 @@ def group_by_request(tx: DataFrame, where: Column | None = None) -> DataFrame:
 
     ``tx`` is written once; what is joined to find roots and groups are integers only."""
     tx = materialize(tx, "transactions")
+    return tx.join(_groups(tx, where), KEY)
+
+
+def _groups(tx: DataFrame, where: Column | None) -> DataFrame:
     found = request_roots(tx)
-    if where is not None:
-        hits = tx.where(where).select(*KEY).join(found, KEY).select("instance", "root").distinct()
-        found = found.join(hits, ["instance", "root"], "left_semi").select(found.columns)
-    return tx.join(found, KEY)
+    if where is None:
+        return found
+    hits = tx.where(where).select(*KEY).join(found, KEY).select("instance", "root").distinct()
+    return found.join(hits, ["instance", "root"], "left_semi").select(found.columns)
+
+
+def request_groups(narrow: DataFrame, where: Column) -> DataFrame:
+    """(instance, vxid, root, depth) of the transactions of whole groups with one that satisfies ``where``.  The transactions need
+    no more than their keys, parents and what the condition looks at: the rest can then be assembled for these groups alone."""
+    narrow = materialize(narrow, "narrow")
+    return materialize(_groups(narrow, where), "groups")
 
 
 def order_by_request(tx: DataFrame) -> DataFrame:

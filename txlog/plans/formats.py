@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from txlog.functions import basic_auth_user, field, header_field, header_value, microseconds, quote_binary, split_epoch, strftime, url_path, url_query
 from txlog.operators.assemble import DISPOSITION_TAGS, assemble, check_grouping
-from txlog.operators.requests import group_by_request, order_by_request
+from txlog.operators.requests import group_by_request, order_by_request, request_groups
 from txlog.operators.select import MAX_RECLEN, filter_tags, header_condition, truncate_payload
-from txlog.schema import BACKEND, CLIENT, RAW, Slot
+from txlog.schema import BACKEND, CLIENT, KEY, RAW, Slot
 
 DEFAULT_FORMAT = '%h %l %u %t "%r" %s %b "%{Referer}i" "%{User-agent}i"'
 #: The default serves backend transactions as well.
@@ -348,6 +348,7 @@ def plan(
     grouping: str = "vxid",
     keep_all: bool = False,
     measured: bool = False,
+    only: Iterable[Slot] | None = None,
     **how,
 ) -> DataFrame:
     """Assembled transactions of the sides that have a format.
@@ -357,10 +358,11 @@ def plan(
     ``keep_tags`` are the tags that it looks at.  A transaction is kept if it holds a record that its
     side's format needs, or if that format has a formatter of the transaction itself (vxid, pvxid, side).
     pvxid is 0 unless ``grouping`` is request.  With ``keep_all`` every transaction stays, with ``submitted``
-    (it would have been kept); ``measured`` adds len_hi and len_overflows of the payloads that fill slots."""
+    (it would have been kept); ``measured`` adds len_hi and len_overflows of the payloads that fill slots.
+    ``only`` names the slots to fill; which transactions are kept doesn't depend on it."""
     formats = {s: f for s, f in formats.items() if f}
     check_grouping(grouping, formats)
-    slots, dispo = format_needs(formats)
+    slots, dispo = format_needs(formats) if only is None else ({*only}, False)
     rows = cut_records(records, formats, max_reclen, where, keep_tags, keep_all)
     limit = (max_reclen or 1 << 62) if measured else None
     tx = assemble(rows, slots, where=None if where is None else F.col("_hit"), binary_tags=BINARY_TAGS, with_disposition=dispo, needed=F.col("_needed"), max_reclen=limit, **how)
@@ -385,17 +387,22 @@ def format_lines(tx: DataFrame, formats: dict[str, str]) -> DataFrame:
     return tx.withColumn("line", line)
 
 
-def format_events(records: DataFrame, cformat: str = DEFAULT_FORMAT, bformat: str = "", grouping: str = "vxid", groups: Column | None = None, **how) -> DataFrame:
+def format_events(records: DataFrame, cformat: str = DEFAULT_FORMAT, bformat: str = "", grouping: str = "vxid", groups: Column | None = None, group_slots: Iterable[Slot] = (), **how) -> DataFrame:
     """Lines of client and backend transactions, each with its own format; an empty format switches its side off.
     One assembly serves both.
 
     With request ``grouping`` there is a further column ``root``, members of a group come together in the
-    log's order, and ``groups`` (a condition on assembled transactions) selects whole groups."""
+    log's order, and ``groups`` (a condition on assembled transactions) selects whole groups.  With the slots that it looks at
+    (``group_slots``, which the formats need, too) groups are found first, and only their transactions are assembled in full."""
     formats = {CLIENT: cformat, BACKEND: bformat}
+    found = None
+    if grouping == "request" and groups is not None and group_slots:
+        found = request_groups(plan(records, formats, grouping=grouping, only=group_slots, **how), groups)
+        records = records.join(found.select(*KEY), KEY, "left_semi").select(records.columns)
     tx = plan(records, formats, grouping=grouping, **how)
     names = ["instance", "vxid", "pvxid", "side", "ts", "seq", "line"]
     if grouping == "request":
-        tx = order_by_request(group_by_request(tx, groups))
+        tx = order_by_request(group_by_request(tx, groups) if found is None else tx.join(found, KEY))
         names.insert(0, "root")
     elif groups is not None:
         raise ValueError("groups are for request grouping; where selects transactions")

@@ -416,7 +416,7 @@ def _w2(r: DataFrame) -> DataFrame:
     """Client and backend lines of the request groups in which some transaction was answered with 503."""
     formats = {"c": DEFAULT_FORMAT + " %{pvxid}x", "b": BACKEND_LINES + " %{pvxid}x"}
     failed = (F.col("`slot:RespStatus`") == "503") | (F.col("`slot:BerespStatus`") == "503")
-    return format_events(r, formats["c"], formats["b"], grouping="request", groups=failed).select("root", "vxid", "line")
+    return format_events(r, formats["c"], formats["b"], grouping="request", groups=failed, group_slots=[Slot("RespStatus"), Slot("BerespStatus")]).select("root", "vxid", "line")
 
 
 ORACLES["w2_request_lines"] = _recursive(
