@@ -289,6 +289,22 @@ def test_scratch_scope_deletes(spark):
     assert not os.path.exists(path)
 
 
+def test_scratch_scopes_of_threads_are_their_own(spark):
+    from threading import Thread
+
+    made = []
+    with scratch_scope():
+        other = Thread(target=lambda: made.append(scratch_path(spark, "other")))
+        other.start()
+        other.join()
+        spark.range(1).write.parquet(made[0])
+        with scratch_scope():
+            inner, kept = materialize(spark.range(2), "inner"), materialize(spark.range(3), "kept", keep=True)
+            gone = inner.inputFiles()
+        assert kept.count() == 3 and not os.path.exists(gone[0].removeprefix("file://"))
+    assert spark.read.parquet(made[0]).count() == 1
+
+
 def test_messages(spark):
     values = ['{"instance":"main","seq":1,"vxid":5,"pvxid":0,"side":"c","tag":"Debug","payload":"x","raw":"AAE=","ts":"2024-01-01T00:00:00Z"}', "no json", None]
     got = records_of_messages(spark.createDataFrame([(v,) for v in values], "value string")).collect()

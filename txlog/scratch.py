@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Open ``scratch_scope``s, innermost last: the folders made in each.
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Open ``scratch_scope``s of this thread, innermost last: the folders made in each.
+_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scratch_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new folder; it goes with the innermost ``scratch_scope``, or with ``keep`` with the one around that."""
     path = f"{shared_dir(spark)}/txlog/{name}-{uuid.uuid4().hex}"
-    for scope in _SCOPES[-1 - keep : len(_SCOPES) - keep]:
+    scopes = _SCOPES.get()
+    for scope in scopes[max(len(scopes) - 1 - keep, 0) : len(scopes) - keep]:
         scope.append((spark, path))
     return path
 
@@ -60,9 +62,11 @@ def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> No
 @contextmanager
 def scratch_scope() -> Iterator[None]:
     """Scratch tables made inside are deleted at the end: what is read later was made with ``keep``."""
-    _SCOPES.append([])
+    own: list[tuple[SparkSession, str]] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        for spark, path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for spark, path in own:
             discard(spark, path)
