@@ -1,8 +1,8 @@
 """Robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Every document has a base record of counts, and from it a vector of transformed statistics: four that
-vary in clean text (length of words, share of distinct words, number of words, share of capitals) and
-three counts of junk beside them.  Per language and source, location and scatter come from the half of
+Every document has a base record of counts, and from it a vector of transformed statistics: three that
+vary in clean text (length of words, share of distinct words, number of words), and beside them two counts of
+junk (symbols and repeated lines, repeated words).  Per language and source, location and scatter come from the half of
 the vectors whose covariance has the smallest determinant: two deterministic starts (distance from
 medians in quartile ranges, and from plain moments) are each improved by concentration steps, and the
 start with the smaller determinant wins.  Equal vectors count once, so that copies make no half.  The
@@ -26,7 +26,6 @@ no rows; extra columns of the input are dropped.
 
 from __future__ import annotations
 
-import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,14 +33,14 @@ from pyspark.sql import functions as F
 
 from txlog.llm.common import FILE, ROW, documents, drop_rows, keyed, materialize, scratch_scope
 
-STATS = ["log_word_chars", "log_distinct", "log_words", "capitals", "symbols", "dup_lines", "repeats"]
+STATS = ["log_word_chars", "log_distinct", "log_words", "junk", "repeats"]
 #: Added to the deviations: next to nothing where the statistic varies.  Counts of junk are 0 in most clean texts; the
 #: root of a count over n words strays by 0.5 / sqrt(n), which is taken for 100 words; repeats come some at a time.
-FLOOR = [1e-3] * 4 + [0.05, 0.05, 0.08]
+FLOOR = [1e-3] * 3 + [0.05, 0.08]
 #: Which values are suspicious: larger (1), smaller (-1), both (2) or none (0).
-BAD = [2, -1, 0, 1, 1, 1, 1]
-#: The 0.999 quantile and the median of chi-square with 7 degrees of freedom.
-CUTOFF, MIDDLE = 24.322, 6.346
+BAD = [2, -1, 0, 1, 1]
+#: The 0.999 quantile and the median of chi-square with 5 degrees of freedom.
+CUTOFF, MIDDLE = 20.515, 4.351
 STEPS = 3
 PRIOR = 100
 SHORT = 400
@@ -51,7 +50,7 @@ _FINE = 1000.0  # and of statistics
 
 
 def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, word_chars, n_distinct, n_capitals, n_symbols, n_dup_lines, n_repeat_words and base_failed of every text."""
+    """doc_id, n_words, word_chars, n_distinct, n_symbols, n_dup_lines, n_repeat_words and base_failed of every text."""
     text = F.coalesce("text", F.lit(""))
     blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
@@ -59,7 +58,6 @@ def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         "doc_id", *extra,
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length(text) - F.length(F.translate(text, string.ascii_uppercase, ""))).cast("long").alias("n_capitals"),
         lines.alias("lines"),
         F.array_remove(F.split(blank, " "), "").alias("w"),
     )
@@ -82,22 +80,20 @@ def base_record(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     covered = F.aggregate("at", start, lambda a, i: F.struct((a["n"] + 3 - F.greatest(F.lit(0), a["end"] - i)).alias("n"), (i + 3).alias("end")), lambda a: a["n"])
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    names = ["doc_id", *extra, "n_words", "word_chars", "n_distinct", "n_capitals", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["doc_id", *extra, "n_words", "word_chars", "n_distinct", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(*names, failed.alias("base_failed"))
 
 
 def vector(rows: DataFrame) -> DataFrame:
     """The transformed statistics x0.. of base records with words."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    junk = lambda c: F.sqrt(F.col(c) / n * (n + SHORT) / n)
+    junk = lambda c: F.sqrt(c / n * (n + SHORT) / n)
     values = [
         F.log1p(F.col("word_chars") / n),
         F.log(F.greatest(F.col("n_distinct"), F.lit(1)) / n),
         F.log(n),
-        F.sqrt(F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))),
-        junk("n_symbols"),
-        junk("n_dup_lines"),
-        junk("n_repeat_words"),
+        junk(F.col("n_symbols") + F.col("n_dup_lines")),
+        junk(F.col("n_repeat_words")),
     ]
     return rows.select("*", *[v.alias(f"x{j}") for j, v in enumerate(values)])
 
@@ -239,7 +235,7 @@ def records(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = judge(records(documents(spark, sf_dir)))
-    names = ["doc_id", "n_words", "word_chars", "n_distinct", "n_capitals", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    names = ["doc_id", "n_words", "word_chars", "n_distinct", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return kept.select(*names)
 
 
