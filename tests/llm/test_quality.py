@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -352,3 +353,32 @@ def test_toxicity_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, score string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scores(docs, toxicity.fit(docs, labels)).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Each toxic word marks too few rows to be in a sample of all; long texts are learned from as well, shards change little."""
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(200)]
+    marks = ["grobble", "snark", "flem", "quaddle"]
+    rows, labels = [], []
+    for i in range(9000):
+        w = rng.choices(vocabulary, k=rng.randrange(3, 9))
+        if i % 8 == 0:
+            w.insert(0, marks[i // 8 % 4])
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, int(i % 8 == 0)))
+    for i in range(9000, 9400):  # a mark that only long texts have
+        long = i % 2 == 0
+        rows.append((i, " ".join((["zzyzx"] if i % 4 == 0 else []) + rng.choices(vocabulary, k=4100 if long and i < 9100 else 5)), "en"))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in labels)
+    for size in (16 << 20, 200_000):
+        monkeypatch.setattr(toxicity, "SHARD_BYTES", size)
+        seen, blocks = [], toxicity._blocks
+        monkeypatch.setattr(toxicity, "_blocks", lambda r: seen.append(r.count()) or blocks(r))  # noqa: B023
+        got = toxicity.scores(docs, toxicity.fit(docs, table)).where("held_out").toPandas().merge(table.toPandas(), on="doc_id")
+        monkeypatch.setattr(toxicity, "_blocks", blocks)
+        assert seen == [usable]
+        assert (got.predicted == got.toxic).mean() > 0.97
