@@ -151,3 +151,17 @@ def test_filter_audit_against_sql(spark):
     got = filter_audit.query(spark, SF).toPandas()[list(want.columns)]
     by = ["part", "filter_order", "step"]
     assert got.sort_values(by).to_numpy().tolist() == want.sort_values(by).to_numpy().tolist() and len(got) == 600 * got["part"].nunique()
+
+
+def test_counts_are_given_out_before_they_are_many():
+    """Neither many rows of a batch nor many languages let a task hold many entries; none is lost."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(5))
+    texts = [" ".join(word(i * 300 + k) for k in range(300)) for i in range(1000)]
+    given = list(language_id._count_words(iter([{"lang": ["en", "de"] * 500, "text": texts}])))
+    assert max(len(t["word"]) for t in given) <= language_id.HELD + 300
+    assert sum(len(set(t["word"])) for t in given) == 300_000 == sum(sum(t["n"]) for t in given)
+    words = [word(i * 7) for i in range(60_000)]
+    given = list(language_id._count_grams(iter([{"lang": ["en", "de"] * 30_000, "word": words, "n": [2] * 60_000}])))
+    assert max(len(t["gram"]) for t in given) <= language_id.HELD + 40
+    assert sum(sum(t["n"]) for t in given) == 2 * sum(len(language_id.grams(w, n)) for w in words for n in range(1, 6))
