@@ -382,3 +382,17 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "_blocks", blocks)
         assert seen == [usable]
         assert (got.predicted == got.toxic).mean() > 0.97
+
+
+def test_rules_plans_stay_narrow(spark):
+    """Distances need few columns and steps, as the driver holds the plans (before: 32 columns more than were given); they are right."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5))
+    d = range(5)
+    c, m = np.cov(x.T, bias=True), x.mean(axis=0)
+    row = {f"c{i}{j}{s}": float(c[i, j]) for s in ("_0", "_1") for i in d for j in range(i + 1)} | {f"m{j}{s}": float(m[j]) for s in ("_0", "_1") for j in d} | {f"x{j}": float(x[0, j]) for j in d}
+    got = rules._inverse(spark.createDataFrame([row]), ["_0", "_1"])
+    assert len(got.columns) <= len(row) + 4 and len(got._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    found = got.select("logdet_0", rules._distance("_1").alias("d")).first()
+    whole = c + np.diag(np.array(rules.FLOOR) ** 2)
+    assert abs(found["d"] - (x[0] - m) @ np.linalg.inv(whole) @ (x[0] - m)) < 1e-6 and abs(found["logdet_0"] - 0.5 * np.linalg.slogdet(whole)[1]) < 1e-9
