@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from txlog.llm import perplexity as kn
 from txlog.llm import quality_rules as rules
@@ -396,3 +397,22 @@ def test_rules_plans_stay_narrow(spark):
     found = got.select("logdet_0", rules._distance("_1").alias("d")).first()
     whole = c + np.diag(np.array(rules.FLOOR) ** 2)
     assert abs(found["d"] - (x[0] - m) @ np.linalg.inv(whole) @ (x[0] - m)) < 1e-6 and abs(found["logdet_0"] - 0.5 * np.linalg.slogdet(whole)[1]) < 1e-9
+
+
+def test_rules_plans_are_short(spark, monkeypatch):
+    """The driver holds the plans of every step (before: 65 thousand characters for each concentration step, 242 for all on these rows)."""
+    sizes, real = [], rules.materialize
+
+    def noted(df, name, keep=False):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name, keep)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(rules, "materialize", noted)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        records = docs.select("doc_id", "lang", "source", *[F.lit(n).cast("long").alias(c) for c, n in (("n_words", 60), ("word_chars", 300), ("n_distinct", 50), ("n_symbols", 0), ("n_dup_lines", 0), ("n_repeat_words", 0))], F.lit(False).alias("base_failed"))
+        rules.judge(records)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(sizes) > 2 * rules.STEPS and max(sizes) < 20_000 and sum(sizes) < 100_000
