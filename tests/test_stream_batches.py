@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from txlog import queries
 from txlog import streaming as S
 from txlog.operators import assemble, has, log_stats
 from txlog.plans import DEFAULT_FORMAT, format_events
@@ -113,3 +114,31 @@ def test_a_vxid_that_comes_back(spark):
     log.write.parquet(path := scratch_path(spark, "reused"))
     plan = assemble(read_records(spark, path), [Slot("ReqURL")], with_disposition=False, reused=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_transactions_share_state_entries_and_keep_their_own_deadlines(spark, tmp_path):
+    """Runs of vxids are one state entry each; a run's transactions are complete, forced, late or open on their own, whatever their vxid."""
+    vxids = [None, -1, -5000, *range(4090, 4103), 10**12 + 1, *range(8000, 9000)]
+    one = [rec(10 * i + k, i / 100, v, tag, f"/{v}", side=s) for i, v in enumerate(vxids) for s in ("c", "b") for k, tag in enumerate(("Begin", "ReqURL"))]
+    two = [rec(10 * i + 5, 20 + i / 100, v, "End") for i, v in enumerate(vxids) if i % 2 == 0]
+    three = [rec(10**6, 400, 1, "Begin"), *[rec(10**6 + i, 401, v, "ReqURL", "/late") for i, v in enumerate(vxids[:20])]]
+    stream = S.stream_transactions(log_of(spark, tmp_path / "log", [one, two, [rec(10**6 - 1, 300, 2, "Begin")], three]), [Slot("ReqURL"), Slot("ReqURL", "a")], with_late=True)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    want = sorted((str(v), s, "complete" if s == "c" and i % 2 == 0 else "forced", f"/{v}") for i, v in enumerate(vxids) for s in ("c", "b"))
+    assert sorted((str(r["vxid"]), r["side"], r["status"], r["slot:ReqURL"]) for r in got) == want
+    rest = S.pending_transactions(spark, str(tmp_path / "c"), [Slot("ReqURL")]).collect()
+    assert sorted((str(r["vxid"]), r["status"], r["late"]) for r in rest) == sorted([("1", "open", 0), ("2", "open", 0), *[(str(v), "late", 1) for v in vxids[:20]]])
+    runs = {None if v is None else v >> 12 for v in [*vxids, 1, 2]}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == len(runs) == 7
+
+
+def test_parts_of_several_files_are_batches_that_follow_in_time(spark, monkeypatch):
+    monkeypatch.setattr(queries, "PART_ROWS", 1500)
+    stream = queries._stream(queries.records(spark, "/root/testdata/sf0.001"), queries.FILES)
+    seen = []
+    look = lambda df, _: seen.append(df.agg(F.min("ts"), F.max("ts"), F.count("*")).first())
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == queries.FILES and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+    assert sum(r[2] for r in seen) == queries.records(spark, "/root/testdata/sf0.001").count()

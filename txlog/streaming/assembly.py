@@ -1,20 +1,25 @@
-"""Transactions of a stream at their End: state per open transaction, and what a stopped stream has left in it.
+"""Transactions of a stream at their End: state of open transactions, and what a stopped stream has left in it.
 
 Spark finds out beforehand what each record is to its transaction (the slots it fills, a disposition, Begin or End,
 whether a predicate holds); the stateful step in Python only keeps the lowest seq per slot.  What it gives
 out is the held state itself, as text, and Spark makes the columns of it: the same way for transactions that the
 stream emits and for those that ``pending`` reads from the state of a stopped stream.
 
+A state entry is that of a run of ``2 ** RUN_BITS`` consecutive vxids of an instance: the step takes all of a batch's records
+of a run as arrays, so that its costs per call are shared by the run's transactions, and what a batch writes anew are the runs
+that have records in it.  Within a run each transaction has its own deadline; the entry's is the first of them.
+
 A transaction that was given out leaves a mark behind for ``remember_s`` seconds of event time (from when it was due),
 so that records that come later open no second one: they are dropped, and counted in a row of status ``late``."""
 
 from __future__ import annotations
 
-import base64
 import json
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +33,25 @@ _SLOT = "struct<s: bigint, p: string, r: string, z: bigint>"
 _HELD = f"struct<slots: map<string, {_SLOT}>, n: bigint, pvxid: bigint, ts: bigint, seq: bigint, begin: bigint, hit: boolean, given: boolean, late: bigint>"
 #: What a record is besides a slot's.
 _BEGIN, _END = 1, 2
+#: Transactions whose vxids differ in this many low bits only share a state entry.
+RUN_BITS = 12
+_NEVER = (1 << 63) - 1
+_OUT = "instance string, vxid bigint, side string, held string, status string"
+
+
+def _pack(held: dict) -> bytes:
+    return zlib.compress(json.dumps(held).encode(), 1)
+
+
+def _unpack(held: bytes) -> dict:
+    """Per transaction of a run, named ``<vxid> <side>``, what is held of it."""
+    return json.loads(zlib.decompress(held))
+
+
+def _rows(instance: str | None, found: list[tuple[str, dict, str]]) -> pd.DataFrame:
+    names = [k.split(" ", 1) for k, _, _ in found]
+    vxids = pd.array([int(v) if v else None for v, _ in names], "Int64")
+    return pd.DataFrame({"instance": [instance] * len(found), "vxid": vxids, "side": [s for _, s in names], "held": [json.dumps(h) for _, h, _ in found], "status": [x for _, _, x in found]})
 
 
 @dataclass(frozen=True)
@@ -44,92 +68,145 @@ class Assembly:
     remember_s: int = 3600
     delay: str = "10 seconds"
 
+    def _classes(self) -> dict[tuple[str, str], int]:
+        """The conditions of the slots: a record meets one of its tag's and one of its tag's and header's at most."""
+        return {k: i for i, k in enumerate(dict.fromkeys((s.tag, s.header.upper()) for s in self.slots))}
+
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Each record with what it is to its transaction."""
         rows = rows.where("side <> '-'").withColumn("hname", header_name(F.col("payload")))
-        fills = F.array(*[F.when(_slot_condition(s), i) for i, s in enumerate(self.slots)]) if self.slots else F.array().cast("array<int>")
-        fills = F.filter(fills, lambda x: x.isNotNull())
+        plain, headed = ([F.when(_slot_condition(Slot(*k)), i) for k, i in self._classes().items() if bool(k[1]) == h] for h in (False, True))
+        fills = [F.coalesce(*found, F.lit(-1)) for found in (plain, headed)]
+        filling = (fills[0] >= 0) | (fills[1] >= 0)
         lower = F.lower("payload")
-        named = F.when(F.col("tag").isin(*DISPOSITION_TAGS) & lower.isin(*DISPOSITIONS), lower) if self.with_disposition else F.lit(None).cast("string")
+        named = F.coalesce(*[F.when(F.col("tag").isin(*DISPOSITION_TAGS) & (lower == d), i) for i, d in enumerate(DISPOSITIONS) if self.with_disposition], F.lit(-1))
         columns = rows.columns
-        needed = F.col("_needed") if "_needed" in columns else (F.size(fills) > 0) | (F.col("tag").isin(*DISPOSITION_TAGS) & F.lit(self.with_disposition))
-        size = F.col("size") if "size" in columns else F.octet_length(F.coalesce("payload", F.lit(""))).cast("long") + 1
-        raw = F.when(F.col("tag").isin(*self.binary_tags), F.base64("raw")) if self.binary_tags else F.lit(None).cast("string")
+        needed = F.col("_needed") if "_needed" in columns else filling | (F.col("tag").isin(*DISPOSITION_TAGS) & F.lit(self.with_disposition))
+        more = []
+        if self.binary_tags:
+            more.append(F.when(filling & F.col("tag").isin(*self.binary_tags), F.base64("raw")).alias("raw"))
+        if self.max_reclen is not None:
+            more.append((F.col("size") if "size" in columns else F.octet_length(F.coalesce("payload", F.lit(""))).cast("long") + 1).alias("size"))
+        if self.wanted:
+            more.append(F.coalesce("_hit", F.lit(False)).alias("hit"))
         return rows.withWatermark("ts", self.delay).select(
-            *KEY, "side", "ts", "seq", F.coalesce("pvxid", F.lit(0)).alias("pvxid"), F.when(F.col("tag") == "Begin", _BEGIN).when(F.col("tag") == "End", _END).otherwise(0).alias("kind"), fills.alias("fills"),
-            named.alias("named"), F.when(F.size(fills) > 0, F.coalesce("payload", F.lit(""))).alias("payload"), raw.alias("raw"), size.alias("size"), F.coalesce(needed, F.lit(False)).alias("needed"),
-            (F.coalesce("_hit", F.lit(False)) if self.wanted else F.lit(True)).alias("hit"),
+            "instance", F.shiftright("vxid", RUN_BITS).alias("run"), F.coalesce(F.col("vxid").bitwiseAND((1 << RUN_BITS) - 1).cast("int"), F.lit(-1)).alias("place"), "side", "ts",
+            F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))).alias("us"), F.coalesce("seq", F.lit(1 << 62)).alias("seq"), F.coalesce("pvxid", F.lit(0).cast("long")).alias("pvxid"),
+            F.when(F.col("tag") == "Begin", _BEGIN).when(F.col("tag") == "End", _END).otherwise(0).alias("kind"), fills[0].alias("plain"), fills[1].alias("headed"), named.alias("named"),
+            F.when(filling, F.coalesce("payload", F.lit(""))).alias("payload"), F.coalesce(needed, F.lit(False)).alias("needed"), *more,
         )
 
     def run(self, rows: DataFrame) -> DataFrame:
         """(instance, vxid, side, held, status) of a stream of records."""
-        limit, remember = self.timeout_s * 1_000_000, self.remember_s * 1000
+        limit, remember, n_classes = self.timeout_s * 1_000_000, self.remember_s * 1000, len(self._classes())
 
         def due(held: dict) -> int:
             return (held["begin"] if held["begin"] is not None else held["ts"]) // 1000 + limit // 1000
 
-        def out(k: tuple, held: dict, status: str) -> pd.DataFrame:
-            return pd.DataFrame({"instance": [k[0]], "vxid": pd.array([k[1]], "Int64"), "side": [k[2]], "held": [json.dumps(held)], "status": [status]})
-
-        def keep(state: GroupState, held: dict, until: int) -> None:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-
-        def give(k: tuple, held: dict, status: str, state: GroupState) -> Iterator[pd.DataFrame]:
-            if held["hit"]:
-                yield out(k, held, status)
-            keep(state, held | {"slots": {}, "given": True}, due(held) + remember)
+        def given(held: dict, now: int) -> dict:
+            return held | {"slots": {}, "given": True, "until": max(due(held) + remember, now + 1)}
+
+        def first_of(f: pd.DataFrame, tx: np.ndarray, taken: np.ndarray) -> Iterator[tuple[int, str, dict]]:
+            """(transaction, slot, its record) of the lowest seq of each slot among the taken records, of equal ones the first."""
+            at, slot = [], []
+            for c, shift in (("plain", 0), ("headed", 0), ("named", n_classes)):
+                value = f[c].to_numpy()
+                at.append(np.flatnonzero(taken & (value >= 0)))
+                slot.append(value[at[-1]].astype(np.int64) if not shift else np.full(len(at[-1]), shift))
+            at, slot = np.concatenate(at), np.concatenate(slot)
+            code = tx[at] * (n_classes + 1) + slot
+            order = np.lexsort((f["seq"].to_numpy()[at], code))
+            order = order[np.r_[True, code[order][1:] != code[order][:-1]]] if len(order) else order
+            at, slot = at[order], slot[order].tolist()
+            get = lambda c: f[c].to_numpy()[at].tolist() if c in f else [None] * len(at)
+            for t, c, seq, payload, named, raw, size in zip(tx[at].tolist(), slot, get("seq"), get("payload"), get("named"), get("raw"), get("size")):
+                if c == n_classes:
+                    yield t, "d", {"s": seq, "p": DISPOSITIONS[named]}
+                else:
+                    yield t, str(c), {"s": seq, "p": payload} | ({"r": raw} if isinstance(raw, str) else {}) | ({} if size is None else {"z": int(size)})
+
+        def take(run: int | None, f: pd.DataFrame, held: dict, now: int) -> tuple[list[str], list[tuple[str, dict, str]]]:
+            """A batch's records of a run, into ``held``: whose they are, and what is complete or due by them."""
+            sides, names = pd.factorize(f["side"])
+            codes, tx = np.unique(f["place"].to_numpy().astype(np.int64) * len(names) + sides, return_inverse=True)
+            keys = [f"{'' if run is None or p < 0 else (run << RUN_BITS) + p} {names[s]}" for p, s in zip((codes // len(names)).tolist(), (codes % len(names)).tolist())]
+            us, kind, n = f["us"].to_numpy(), f["kind"].to_numpy(), len(keys)
+
+            def each(start: int, ufunc: np.ufunc, where: np.ndarray, values: np.ndarray) -> np.ndarray:
+                out = np.full(n, start, np.int64)
+                ufunc.at(out, tx[where], values[where])
+                return out
+
+            before = [held.get(k) for k in keys]
+            old = np.array([h is not None and h["given"] for h in before], bool)
+            begin = each(_NEVER, np.minimum, kind == _BEGIN, us)
+            begin = np.minimum(begin, [_NEVER if h is None or h["begin"] is None else h["begin"] for h in before])
+            late = us > np.where(begin < _NEVER, np.minimum(begin, _NEVER - limit) + limit, _NEVER)[tx]
+            taken = ~late & ~old[tx]
+            count = lambda where: np.bincount(tx[where], minlength=n).tolist()
+            counts, lates, needed = count(slice(None)), count(late), count(taken & f["needed"].to_numpy())
+            ended, over = count(taken & (kind == _END)), count(late & (kind == _END))
+            hits = count(taken & f["hit"].to_numpy()) if self.wanted else count(taken)
+            pvxid, seq, ts = each(0, np.maximum, taken, f["pvxid"].to_numpy()), each(1 << 62, np.minimum, taken, f["seq"].to_numpy()), each(1 << 62, np.minimum, taken, us)
+            slots: list[dict] = [{} for _ in keys]
+            for t, c, first in first_of(f, tx, taken):
+                slots[t][c] = first
+            found = []
+            for k, h, b, all_, late_, need, end, out, hit, p, s, at, new in zip(keys, before, begin.tolist(), counts, lates, needed, ended, over, hits, pvxid.tolist(), seq.tolist(), ts.tolist(), slots):
+                if h is not None and h["given"]:
+                    h["late"] += all_
+                    h["until"] = max(due(h) + remember, now + 1)
+                    continue
+                if h is None:
+                    h = {"slots": {}, "n": 0, "pvxid": 0, "ts": 1 << 62, "seq": 1 << 62, "begin": None, "hit": False, "given": False, "late": 0}
+                own = h["slots"]
+                own |= {c: x for c, x in new.items() if c not in own or x["s"] < own[c]["s"]}
+                h |= {"n": h["n"] + need, "pvxid": max(h["pvxid"], p), "ts": min(h["ts"], at), "seq": min(h["seq"], s), "begin": None if b == _NEVER else b, "hit": h["hit"] or hit > 0, "late": h["late"] + late_}
+                if end or out or due(h) <= now:
+                    if h["hit"]:
+                        found.append((k, h, "complete" if end else "forced"))
+                    held[k] = given(h, now)
+                else:
+                    held[k] = h | {"until": max(due(h), now + 1)}
+            return keys, found
+
+        def expire(held: dict, keys: Iterable[str], now: int) -> Iterator[tuple[str, dict, str]]:
+            """What is due among the transactions ``keys`` that have no records in this batch."""
+            for k in keys:
+                h = held[k]
+                if h["until"] >= now:
+                    continue
+                if not h["given"]:
+                    if h["hit"]:
+                        yield k, h, "forced"
+                    held[k] = given(h, now)
+                else:
+                    del held[k]
+                    if h["late"] and h["hit"]:
+                        yield k, h, "late"
 
         def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            fresh = {"slots": {}, "n": 0, "pvxid": 0, "ts": 1 << 62, "seq": 1 << 62, "begin": None, "hit": False, "given": False, "late": 0}
-            held = json.loads(state.get[0]) if state.exists else fresh
-            if state.hasTimedOut:
-                if not held["given"]:
-                    yield from give(k, held, "forced", state)
-                    return
-                state.remove()
-                if held["late"] and held["hit"]:
-                    yield out(k, held, "late")
-                return
-            rows = [r for f in frames for r in f.assign(us=f["ts"].astype("datetime64[us]").astype("int64")).itertuples(index=False)]
-            if held["given"]:
-                held["late"] += len(rows)
-                keep(state, held, due(held) + remember)
-                return
-            begins = [r.us for r in rows if r.kind == _BEGIN]
-            held["begin"] = min([*begins, *([] if held["begin"] is None else [held["begin"]])], default=None)
-            end = None if held["begin"] is None else held["begin"] + limit
-            ended = over = False
-            for r in rows:
-                if end is not None and r.us > end:
-                    held["late"] += 1
-                    over |= r.kind == _END
-                else:
-                    ended |= r.kind == _END
-                    take(held, r)
-            if ended or over or due(held) <= state.getCurrentWatermarkMs():
-                yield from give(k, held, "complete" if ended else "forced", state)
+            held, now, found = _unpack(state.get[0]) if state.exists else {}, state.getCurrentWatermarkMs(), []
+            others = {*held}
+            if not state.hasTimedOut:
+                keys, found = take(None if pd.isna(k[1]) else int(k[1]), pd.concat([*frames], ignore_index=True), held, now)
+                others.difference_update(keys)
+            found += expire(held, others, now)
+            if held:
+                state.update((_pack(held),))
+                state.setTimeoutTimestamp(min(h["until"] for h in held.values()))
             else:
-                keep(state, held, due(held))
-
-        def take(held: dict, r) -> None:
-            held["pvxid"], held["ts"], held["seq"] = max(held["pvxid"], int(r.pvxid)), min(held["ts"], int(r.us)), min(held["seq"], int(r.seq))
-            held["n"] += int(r.needed)
-            held["hit"] |= bool(r.hit)
-            for i in r.fills:
-                if str(i) not in held["slots"] or r.seq < held["slots"][str(i)]["s"]:
-                    held["slots"][str(i)] = {"s": int(r.seq), "p": r.payload, "r": r.raw if isinstance(r.raw, str) else None, "z": int(r.size)}
-            if isinstance(r.named, str) and ("d" not in held["slots"] or r.seq < held["slots"]["d"]["s"]):
-                held["slots"]["d"] = {"s": int(r.seq), "p": r.named}
+                state.remove()
+            if found:
+                yield _rows(k[0], found)
 
-        schema = "instance string, vxid bigint, side string, held string, status string"
-        return self._marked(rows).groupBy(*KEY, "side").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+        return self._marked(rows).groupBy("instance", "run").applyInPandasWithState(step, _OUT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
     def columns(self, found: DataFrame) -> DataFrame:
         """Transactions as ``assemble`` gives them, with status and late (records dropped after they were due or given out)."""
         x = found.withColumn("h", F.from_json("held", _HELD))
         get = lambda name: F.col("h.slots")[F.lit(str(name))]
-        place = {s: i for i, s in enumerate(self.slots)}
+        place = {s: self._classes()[s.tag, s.header.upper()] for s in self.slots}
         own = [*KEY, "side", F.col("h.pvxid").alias("pvxid"), F.timestamp_micros("h.ts").alias("ts"), F.col("h.seq").alias("seq"), F.col("h.n").alias("n_recs")]
         if self.with_disposition:
             own.append(get("d")["p"].alias("disposition"))
@@ -143,7 +220,12 @@ class Assembly:
     def pending(self, spark: SparkSession, checkpoint: str) -> DataFrame:
         """What a stopped stream has not given out: its open transactions (status ``open``), and the counts of late records
         (status ``late``).  Reads the state in the stream's checkpoint."""
+        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for instance, packed in zip(b["instance"], b["held"]):
+                    held = [(k, h, "late" if h["given"] else "open") for k, h in _unpack(packed).items() if h["hit"] and (not h["given"] or h["late"])]
+                    if held:
+                        yield _rows(instance, held)
+
         state = spark.read.format("statestore").load(checkpoint)
-        found = state.select("key.*", F.col("value.groupState.held").alias("held")).withColumn("h", F.from_json("held", _HELD))
-        found = found.where("h.hit and (not h.given or h.late > 0)")
-        return self.columns(found.select(*KEY, "side", "held", F.when(F.col("h.given"), "late").otherwise("open").alias("status")))
+        return self.columns(state.select("key.instance", F.col("value.groupState.held").alias("held")).mapInPandas(parts, _OUT))
