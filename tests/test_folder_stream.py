@@ -1,9 +1,13 @@
 """A growing folder of lines: from the head, from the tail, and on after a restart, with no record lost or read twice."""
 
+import gzip
 import json
+import pathlib
 
 import pytest
 
+from txlog import queries
+from txlog.scratch import count_files, move_files
 from txlog.sources import folder, stream_folder
 
 
@@ -57,3 +61,38 @@ def test_ranges_share_out_the_lines(tmp_path, monkeypatch, size):
     parts = reader.partitions(reader.initialOffset(), end := reader.latestOffset())
     assert [r[1] for p in parts for r in reader.read(p)] == list(range(33)) and end["file"] == "c"
     assert reader.partitions(end, end) == [] and list(reader._files("b")) == reader._files()[1:]
+
+
+def test_compressed_files(spark, tmp_path, monkeypatch):
+    """Files of several members, one that ends without a newline, an empty one, and what is appended to the last one."""
+    monkeypatch.setattr(folder, "_PIECE", 16)
+    log, out, checkpoint = tmp_path / "log", tmp_path / "out", tmp_path / "c"
+    log.mkdir()
+    pack = lambda *seqs: gzip.compress("".join(line(k) for k in seqs).encode())
+    (log / "a.json.gz").write_bytes(pack(0, 1) + pack(2))
+    (log / "b.json").write_text(line(3))
+    (log / "c.json.gz").write_bytes(gzip.compress(line(4).rstrip("\n").encode()))
+    (log / "d.json.gz").write_bytes(gzip.compress(b""))
+    (log / "e.json.gz").write_bytes(pack(5))
+    reader = folder.FolderReader(str(log), True)
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [r[1] for p in parts for r in reader.read(p)] == list(range(6))
+    run(stream_folder(spark, str(log), from_start=True), out, checkpoint)
+    with (log / "e.json.gz").open("ab") as f:
+        f.write(pack(6, 7))
+    (log / "f.json.gz").write_bytes(pack(8))
+    run(stream_folder(spark, str(log), from_start=True), out, checkpoint)
+    assert sorted(r["seq"] for r in spark.read.parquet(str(out)).collect()) == list(range(9))
+
+
+def test_the_folder_of_the_query_is_small(spark, monkeypatch):
+    """Its files are compressed and bounded in rows."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 2000)
+    moved = []
+    monkeypatch.setattr(queries, "move_files", lambda s, source, *a: (moved.append(count_files(s, source)), move_files(s, source, *a)))
+    monkeypatch.setattr(queries, "stream_folder", lambda s, path, **how: (paths.append(path), stream_folder(s, path, **how))[1])
+    paths = []
+    rows = queries.QUERIES["a2_stream_folder"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == queries.records(spark, "/root/testdata/sf0.001").count() and sum(moved) > 10
+    found = [p for p in pathlib.Path(paths[0].removeprefix("file://")).iterdir() if not p.name.startswith(".")]
+    assert {p.suffix for p in found} == {".gz"} and sum(p.stat().st_size for p in found) < 40 * rows.count()

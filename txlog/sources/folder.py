@@ -2,13 +2,17 @@
 goes on after a restart where its checkpoint says, within a file that has grown as well as in newer files.
 
 The folder is append-only: files are taken in the order of their names, and only grow at their ends.  A line counts once its newline
-is there.  Spark asks the driver for positions and deals ranges of bytes to tasks; each task reads the lines that begin in its own."""
+is there.  Spark asks the driver for positions and deals ranges of bytes to tasks; each task reads the lines that begin in its own.
+
+Files named ``.gz`` are compressed lines, positions in them compressed bytes.  They are moved into the folder when they are whole, and
+what is new of one is one task's: write them in pieces."""
 
 from __future__ import annotations
 
 import base64
 import datetime as dt
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +25,8 @@ from txlog.schema import RECORD_SCHEMA
 #: Bytes of a range.
 RANGE = 64 << 20
 _PIECE = 1 << 16
+#: The end of the names of compressed files.
+PACKED = ".gz"
 
 
 def _open(path: str):
@@ -51,6 +57,8 @@ class FolderReader(DataSourceStreamReader):
 
     def _whole_lines(self, name: str, size: int, start: int = 0) -> int:
         """The end of the last line that is complete."""
+        if name.endswith(PACKED):
+            return size
         files, root = _open(self.path)
         with files.open_input_file(f"{root}/{name}") as f:
             end = size
@@ -80,12 +88,23 @@ class FolderReader(DataSourceStreamReader):
                 break
             low = start["byte"] if name == start["file"] else 0
             high = end["byte"] if name == end["file"] else size
-            out += [Range(name, k, min(k + RANGE, high)) for k in range(low, high, RANGE)]
+            if name.endswith(PACKED):
+                out += [Range(name, low, high)] if low < high else []
+            else:
+                out += [Range(name, k, min(k + RANGE, high)) for k in range(low, high, RANGE)]
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:
         files, root = _open(self.path)
         with files.open_input_file(f"{root}/{partition.file}") as f:
+            if partition.file.endswith(PACKED):
+                rest = b""
+                for piece in _unpacked(f, partition.start, partition.end):
+                    *lines, rest = (rest + piece).split(b"\n")
+                    for line in lines:
+                        yield from _record(line)
+                yield from _record(rest)
+                return
             at, rest = partition.start, b""
             if at:  # a line that began before belongs to the range before
                 f.seek(at - 1)
@@ -110,6 +129,19 @@ class FolderReader(DataSourceStreamReader):
         """Nothing to release: the folder keeps its files."""
 
 
+def _unpacked(f, start: int, end: int) -> Iterator[bytes]:
+    """What lies between two positions of a compressed file, which may have several members."""
+    f.seek(start)
+    stream, left = zlib.decompressobj(wbits=31), end - start
+    while left and (piece := f.read(min(left, _PIECE))):
+        left -= len(piece)
+        while piece:
+            yield stream.decompress(piece)
+            piece = stream.unused_data
+            if stream.eof:
+                stream = zlib.decompressobj(wbits=31)
+
+
 def _record(line: bytes) -> Iterator[tuple]:
     """The record of a line; what is no JSON object with a tag gives none."""
     try:
