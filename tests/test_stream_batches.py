@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -142,3 +143,14 @@ def test_parts_of_several_files_are_batches_that_follow_in_time(spark, monkeypat
     stream.writeStream.foreachBatch(look).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == queries.FILES and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
     assert sum(r[2] for r in seen) == queries.records(spark, "/root/testdata/sf0.001").count()
+
+
+def test_batches_of_the_windowed_query_are_bounded(spark, monkeypatch):
+    """The state holds the transactions of a batch, not of the log; the rows are the same."""
+    sf, batches = "/root/testdata/sf0.001", []
+    drain = lambda stream, name: (stream.writeStream.foreachBatch(lambda df, _: batches.append(df.count())).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination(), S.drain(stream, name))[1]
+    whole = queries.QUERIES["h3_stream_windowed"](spark, sf).collect()
+    monkeypatch.setattr(queries, "BATCH_ROWS", 6000)
+    monkeypatch.setattr(queries, "S", SimpleNamespace(drain=drain, stream_transactions_windowed=S.stream_transactions_windowed))
+    got = queries.QUERIES["h3_stream_windowed"](spark, sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and len(batches) >= 5 and max(batches) < len(whole) / 3
