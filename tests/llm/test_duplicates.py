@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 
@@ -11,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from txlog.llm import embedding_dups, jaccard_join, substring_dedup
-from txlog.llm.common import FILE, ROW, drop_rows, keyed
+from txlog.llm.common import FILE, ROW, drop_rows, keyed, materialize
 from txlog.llm.components import components
+from txlog.scratch import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -261,3 +263,20 @@ def test_quantisation_bound():
     q, scale, err = embedding_dups.quantise(x)
     near = (q.astype(np.float64) @ q.T) * scale[:, None] * scale
     assert (np.abs(near - x @ x.T) <= err[:, None] + err + err[:, None] * err + 1e-12).all()
+
+
+def test_each_step_of_the_join_deletes_its_tables(spark, monkeypatch):
+    """When the next step begins, nothing is left but what it reads."""
+    root, seen = pathlib.Path(shared_dir(spark).removeprefix("file://"), "txlog"), {}
+    before = {*root.iterdir()} if root.exists() else set()
+
+    def looked(df, name, *a, **how):
+        seen.setdefault(name, []).append({p.name.rsplit("-", 1)[0] for p in root.iterdir() if p not in before} if root.exists() else set())
+        return materialize(df, name, *a, **how)
+
+    monkeypatch.setattr(jaccard_join, "materialize", looked)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[k // 2 : k // 2 + 40])) for k in range(30)], "doc_id long, text string")
+    assert jaccard_join.join(docs).count() == 30
+    assert not seen["heads"][0] & {"common", "shared", "prefixes", "first-texts", "edges"} and not seen["chosen"][0] & {"heads", "forest", "edges"}
+    assert not seen["named"][0] & {"heads", "members", "forest", "edges"}
